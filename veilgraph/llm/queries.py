@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, pii, secrets_scan, toxicity
 from .scratch import table
 
 
@@ -11,7 +11,25 @@ def op10_pareto_mix(spark, sf_dir):
     return mixing.op10(table(spark, sf_dir, "documents"))
 
 
+def op1_nearest_toxicity(spark, sf_dir):
+    """Toxicity by nearest labelled examples under exact TF-IDF cosine."""
+    return toxicity.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_infotheoretic_pii(spark, sf_dir):
+    """Personal data by base patterns and information-theoretic sanitisation."""
+    return pii.op2(table(spark, sf_dir, "documents"))
+
+
+def op3_markov_secrets(spark, sf_dir):
+    """Secrets by base patterns and two character Markov models."""
+    return secrets_scan.op3(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_nearest_toxicity": op1_nearest_toxicity,
+    "op2_infotheoretic_pii": op2_infotheoretic_pii,
+    "op3_markov_secrets": op3_markov_secrets,
     "op10_pareto_mix": op10_pareto_mix,
 }
 

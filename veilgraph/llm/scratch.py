@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 SETTING = "spark.checkpoint.dir"
 
 
@@ -16,6 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     Where the setting is missing (tests, a laptop) a temporary folder is made
     and put into the session's settings, so that it is chosen once.
     """
+    ship(spark)
     known = spark.conf.get(SETTING, None)
     if not known:
         known = "file://" + tempfile.mkdtemp(prefix="veilgraph-")
@@ -50,4 +53,5 @@ def drop(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
