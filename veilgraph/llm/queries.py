@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, secrets_scan, toxicity
+from . import bpe, codes, mixing, pii, secrets_scan, toxicity
 from .scratch import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_addressable_codes(spark, sf_dir):
+    """Token ids as directly addressable codes, read back from the files."""
+    return codes.op5(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_numpy_bpe(spark, sf_dir):
+    """BPE encoding and decoding in batched numpy merge rounds."""
+    return bpe.op8(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_pareto_mix(spark, sf_dir):
     """Mixing sources to target weights by Pareto order sampling."""
     return mixing.op10(table(spark, sf_dir, "documents"))
@@ -30,6 +46,8 @@ QUERIES = {
     "op1_nearest_toxicity": op1_nearest_toxicity,
     "op2_infotheoretic_pii": op2_infotheoretic_pii,
     "op3_markov_secrets": op3_markov_secrets,
+    "op5_addressable_codes": op5_addressable_codes,
+    "op8_numpy_bpe": op8_numpy_bpe,
     "op10_pareto_mix": op10_pareto_mix,
 }
 
