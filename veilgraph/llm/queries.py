@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, codes, mixing, pii, secrets_scan, toxicity
+from . import bpe, codes, media, mixing, pii, secrets_scan, toxicity
 from .scratch import table
 
 
+def op4_media_chunks(spark, sf_dir):
+    """Media as content-defined chunks, put together again and verified."""
+    return media.op4(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -46,6 +51,7 @@ QUERIES = {
     "op1_nearest_toxicity": op1_nearest_toxicity,
     "op2_infotheoretic_pii": op2_infotheoretic_pii,
     "op3_markov_secrets": op3_markov_secrets,
+    "op4_media_chunks": op4_media_chunks,
     "op5_addressable_codes": op5_addressable_codes,
     "op8_numpy_bpe": op8_numpy_bpe,
     "op10_pareto_mix": op10_pareto_mix,
