@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, codes, media, mixing, pii, secrets_scan, toxicity
+from . import bpe, codes, jaccard, media, mixing, pii, secrets_scan, toxicity, vectors
 from .scratch import table
 
 
@@ -22,11 +22,21 @@ def op5_addressable_codes(spark, sf_dir):
     return codes.op5(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_ngram_jaccard(spark, sf_dir):
+    """N-gram Jaccard join: 3-word shingles, 90 %, and the components of its links."""
+    return jaccard.op6(table(spark, sf_dir, "documents"))
+
+
 def op8_numpy_bpe(spark, sf_dir):
     """BPE encoding and decoding in batched numpy merge rounds."""
     return bpe.op8(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_sorted_projections(spark, sf_dir):
+    """Embedding near-duplicates by sorted projection passes."""
+    return vectors.op9(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pareto_mix(spark, sf_dir):
     """Mixing sources to target weights by Pareto order sampling."""
     return mixing.op10(table(spark, sf_dir, "documents"))
@@ -53,7 +63,9 @@ QUERIES = {
     "op3_markov_secrets": op3_markov_secrets,
     "op4_media_chunks": op4_media_chunks,
     "op5_addressable_codes": op5_addressable_codes,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_numpy_bpe": op8_numpy_bpe,
+    "op9_sorted_projections": op9_sorted_projections,
     "op10_pareto_mix": op10_pareto_mix,
 }
 
