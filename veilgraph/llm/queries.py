@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, codes, jaccard, media, mixing, pii, secrets_scan, toxicity, vectors
+from . import bpe, chat, codes, jaccard, media, mixing, pii, secrets_scan, toxicity, vectors
 from .scratch import table
 
 
@@ -27,6 +27,11 @@ def op6_ngram_jaccard(spark, sf_dir):
     return jaccard.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_tool_links(spark, sf_dir):
+    """Chat formatting with tool calls linked, ordered, validated and in canonical JSON."""
+    return chat.op7(table(spark, sf_dir, "conversations"))
+
+
 def op8_numpy_bpe(spark, sf_dir):
     """BPE encoding and decoding in batched numpy merge rounds."""
     return bpe.op8(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -64,6 +69,7 @@ QUERIES = {
     "op4_media_chunks": op4_media_chunks,
     "op5_addressable_codes": op5_addressable_codes,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_tool_links": op7_tool_links,
     "op8_numpy_bpe": op8_numpy_bpe,
     "op9_sorted_projections": op9_sorted_projections,
     "op10_pareto_mix": op10_pareto_mix,
