@@ -75,7 +75,8 @@ def _mentions() -> Column:
 
 def _contexts(found: DataFrame) -> DataFrame:
     """doc_id, vg_hash, entity, context, term, start, end for each word near a mention."""
-    m = found.select("doc_id", "vg_hash", F.explode("vg_mentions").alias("m"))
+    # explode_outer, as explode would have the optimizer repeat the whole span search in a filter
+    m = found.select("doc_id", "vg_hash", F.explode_outer("vg_mentions").alias("m")).filter("m is not null")
     sides = F.array(
         F.struct(F.col("m.before").alias("text"), (F.col("m.start") - F.length("m.before")).alias("at"), F.lit(True).alias("left")),
         F.struct(F.col("m.after").alias("text"), F.col("m.end").alias("at"), F.lit(False).alias("left")),
@@ -83,7 +84,8 @@ def _contexts(found: DataFrame) -> DataFrame:
     context = F.xxhash64("m.before", "m.after")
     s = m.select("doc_id", "vg_hash", entity_key(F.col("m.kind"), F.col("m.value")).alias("entity"), context.alias("context"), F.explode(sides).alias("s"))
     s = S.with_spans(s, F.col("s.text"), [("word", WORD, None, None)])
-    w = s.select("doc_id", "vg_hash", "entity", "context", "s.text", "s.at", "s.left", F.explode("vg_word").alias("w"))
+    w = s.select("doc_id", "vg_hash", "entity", "context", "s.text", "s.at", "s.left", F.explode_outer("vg_word").alias("w"))
+    w = w.filter("w is not null")
     whole = F.length("text") < WINDOW  # else a word at the outer edge may be cut
     w = w.filter(whole | (F.col("left") & (F.col("w.start") > 0)) | (~F.col("left") & (F.col("w.end") < WINDOW)))
     return w.select(
@@ -118,7 +120,7 @@ def base_spans(docs: DataFrame, text="text") -> DataFrame:
 def detect(docs: DataFrame, text="text", generalise=GENERALISE, support=SUPPORT) -> DataFrame:
     """``docs`` with the base spans and vg_terms, array<struct<start, end, share>> of disclosing terms."""
     found = base_spans(docs, text).withColumn("vg_hash", F.xxhash64(text))
-    slim = found.select("doc_id", "vg_hash", _mentions().alias("vg_mentions")).filter(F.size("vg_mentions") > 0)
+    slim = found.select("doc_id", "vg_hash", _mentions().alias("vg_mentions"))
     contexts = stash(_contexts(slim), "pii-contexts")
     telling = stash(disclosing_terms(contexts, docs, text, generalise, support), "pii-terms")
     places = (

@@ -52,9 +52,10 @@ def labelled_strings(docs: DataFrame, text="text", sample=SAMPLE_DOCS) -> DataFr
         transform(vg_access, s -> s.value), transform(vg_hex, s -> s.value))""")
     runs = F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_=-]{%d,}+" % LEAST_WORD), F.lit(0))
     both = found.select(secrets.alias("secrets"), F.array_except(runs, secrets).alias("words"))
-    return both.select(F.explode("secrets").alias("value"), F.lit(True).alias("random")).union(
-        both.select(F.explode("words").alias("value"), F.lit(False).alias("random"))
-    ).distinct()
+    # explode_outer, as explode would have the optimizer repeat the whole span search in a filter
+    return both.select(F.explode_outer("secrets").alias("value"), F.lit(True).alias("random")).union(
+        both.select(F.explode_outer("words").alias("value"), F.lit(False).alias("random"))
+    ).filter("value is not null").distinct()
 
 
 def train(strings: DataFrame) -> list[float]:
