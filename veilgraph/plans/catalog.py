@@ -1,4 +1,6 @@
 """Every query by name, and the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import disclosure
+
+QUERIES = {**disclosure.QUERIES}
+ORACLE_SQL = {**disclosure.ORACLE_SQL}
