@@ -1,6 +1,6 @@
 """Every query by name, and the SQL that gives the same rows."""
 
-from . import disclosure
+from . import disclosure, texts
 
-QUERIES = {**disclosure.QUERIES}
-ORACLE_SQL = {**disclosure.ORACLE_SQL}
+QUERIES = {**disclosure.QUERIES, **texts.QUERIES}
+ORACLE_SQL = {**disclosure.ORACLE_SQL, **texts.ORACLE_SQL}
