@@ -197,9 +197,12 @@ def _labelled(entries: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def _possible(percent: int) -> str:
-    """SQL over n1, n2, pos1, pos2: the length and the positional filter."""
+    """SQL over n1, n2, pos1, pos2: the length filter, and the positional filter for the first shingle in common.
+
+    Of a pair that links, the row of its first common shingle passes; rows of later ones need not.
+    """
     return f"""100 * least(n1, n2) >= {percent} * greatest(n1, n2)
-        and least(pos1, pos2) + 1 + least(n1 - pos1, n2 - pos2) - 1 >= {_need(percent)}"""
+        and least(n1 - pos1, n2 - pos2) >= {_need(percent)}"""
 
 
 def _stars(rows: DataFrame, percent: int) -> DataFrame:
