@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bpe import in_slices
 from .components import components
-from .scratch import drop, stash
+from .scratch import drop, free, stash
 from .words import mixed, shingles
 
 SKETCH_BITS, SLICE_BITS = 21, 12
@@ -238,9 +238,12 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     several = every.groupBy("shingle").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("shingle")
     entries = stash(every.join(several, "shingle", "left_semi").distinct(), "jac-shared")
     drop(every)
+    del every, several
+    free(spark)
 
     wanted = vertices.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(entries.select("key").distinct(), "key", "left_semi")
     sets = stash(whole_sets(docs, wanted, width), "jac-bodies")
+    free(spark)
 
     links = None
     rows = _labelled(entries, None)
@@ -248,6 +251,7 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
         new = stash(verified(_stars(rows, percent), sets, percent), "jac-links")
         links = new if links is None else links.unionByName(new)
         rows = _labelled(entries, links)
+        free(spark)
     links = links.unionByName(stash(verified(_crossing(rows, percent), sets, percent), "jac-links"))
     roots = components(links).toDF("node", "root")
 

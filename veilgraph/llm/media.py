@@ -15,10 +15,8 @@ extra columns pass through (the columns added start with ``vg_``).
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import struct
-import time
 import zlib
 
 import numpy as np
@@ -28,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import in_slices
-from .scratch import new_path, stash
+from .scratch import free, new_path, stash
 
 UNIT, RATE = 64, 8000
 LEAST, MEAN, MOST = 1024, 4096, 16384
@@ -150,13 +148,6 @@ def chunk_rows(docs: DataFrame, text="text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "digest binary, owner binary, place int, data binary")
 
 
-def _free(spark) -> None:
-    """Let go of the shuffle files of what was written and is no longer referred to."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(1)
-
-
 def write_store(docs: DataFrame, known: DataFrame, text="text") -> str:
     """Write every distinct chunk once; returns the folder. ``known`` are the recipes."""
     spark = docs.sparkSession
@@ -224,7 +215,7 @@ def op4(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", "text")
     known = stash(recipes(d), "recipes")
     store = write_store(d, known)
-    _free(spark)
+    free(spark)
     found = read_back(spark, store, known)
     slim = known.select("doc_id", F.col("vg_n_bytes").alias("n_bytes"), "vg_media", F.size("vg_chunks").alias("n_chunks"))
     return slim.join(found, "vg_media").drop("vg_media")
