@@ -24,7 +24,7 @@ from . import spans as S
 
 KINDS = ("assign", "access", "hex")
 MARKOV = "markov"
-SAMPLE_DOCS, LEAST_WORD, LIMIT = 2000, 5, math.log(1e4)
+SAMPLE_DOCS, LEAST_WORD, LIMIT, BACK_OFF = 2000, 5, math.log(1e4), 4.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 VALUE = r"[A-Za-z0-9+/_.=-]"
 
@@ -66,13 +66,20 @@ def train(strings: DataFrame) -> list[float]:
         F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring(F.col("value"), i, F.lit(2)))).alias("pair"),
     )
     pairs = pairs.filter(F.regexp_like("pair", F.lit("^[A-Za-z0-9+/_=-]{2}$")))
-    counts = {True: [[1.0] * k for _ in range(k)], False: [[1.0] * k for _ in range(k)]}
+    counts = {True: [[0.0] * k for _ in range(k)], False: [[0.0] * k for _ in range(k)]}
     for row in pairs.groupBy("random", "pair").count().collect():  # at most 2 k * k rows
         counts[row["random"]][ALPHABET.index(row["pair"][0])][ALPHABET.index(row["pair"][1])] += row["count"]
-    chance = {c: [[math.log(x / sum(line)) for x in line] for line in m] for c, m in counts.items()}
+    chance = {c: _smoothed(m) for c, m in counts.items()}
     return [round(a - b, 4) for ra, rb in zip(chance[True], chance[False]) for a, b in zip(ra, rb)]
 
 
+def _smoothed(counts: list[list[float]]) -> list[list[float]]:
+    """Logarithms of P(next | this), backed off with weight ``BACK_OFF`` to how often a character comes next at all."""
+    n = sum(map(sum, counts))
+    single = [(sum(line[j] for line in counts) + 0.5) / (n + 0.5 * len(counts)) for j in range(len(counts))]
+    return [[math.log((x + BACK_OFF * p) / (sum(line) + BACK_OFF)) for x, p in zip(line, single)] for line in counts]
+
+
 def ratio(value: str, table: list[float]) -> str:
     """SQL: the log-likelihood ratio of a string of :data:`ALPHABET`'s characters."""
     cells = f"cast(split('{','.join(f'{x:g}' for x in table)}', ',') as array<double>)"  # a constant for the optimizer
