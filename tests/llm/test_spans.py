@@ -97,7 +97,8 @@ def test_random_run_is_a_secret_and_a_word_is_not(docs_of):
     rng = random.Random(3)
     key = lambda: "".join(rng.choice(secrets_scan.ALPHABET[:62]) for _ in range(24))
     parts = "con fi gu ra tion man ag er in ter na al is im ple men ta de tails or di na ry".split()
-    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(3, 8)))
+    vocab = ["".join(rng.choice(parts) for _ in range(rng.randint(3, 8))) for _ in range(200)]
+    word = lambda: rng.choice(vocab)
     rows = [(i, " ".join(word() for _ in range(30)) + f" secret = '{key()}' and {i}") for i in range(60)]
     rows.append((99, "run Xk9Qz7Wv3Tb5Nm1Rp8Ld here, internationalisation configurationmanager"))
     found = {r.doc_id: r for r in secrets_scan.op3(docs_of(rows)).collect()}

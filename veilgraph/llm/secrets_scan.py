@@ -4,7 +4,7 @@ Runs of 16 or more key characters are scored by the log-likelihood ratio of two
 first-order Markov models: one of random strings, one of ordinary identifiers.
 Both are trained from labelled strings of a bounded sample of documents
 (``SAMPLE_DOCS``, the ids with the lowest digests): what the base patterns find
-is labelled random, every other run of ``LEAST_WORD`` or more characters is labelled ordinary.
+is labelled random, every other run of ``LEAST_WORD`` or more characters that stands in two of them is labelled ordinary.
 A run is a secret if the ratio is positive on average and reaches ``LIMIT``.
 
 Defined results: null text is empty; without labelled strings both models are
@@ -51,11 +51,11 @@ def labelled_strings(docs: DataFrame, text="text", sample=SAMPLE_DOCS) -> DataFr
     secrets = F.expr(f"""concat(transform(vg_assign, s -> regexp_extract(s.value, {ASSIGNED}, 1)),
         transform(vg_access, s -> s.value), transform(vg_hex, s -> s.value))""")
     runs = F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_=-]{%d,}+" % LEAST_WORD), F.lit(0))
-    both = found.select(secrets.alias("secrets"), F.array_except(runs, secrets).alias("words"))
+    both = found.select(secrets.alias("secrets"), F.array_distinct(F.array_except(runs, secrets)).alias("words"))
     # explode_outer, as explode would have the optimizer repeat the whole span search in a filter
-    return both.select(F.explode_outer("secrets").alias("value"), F.lit(True).alias("random")).union(
-        both.select(F.explode_outer("words").alias("value"), F.lit(False).alias("random"))
-    ).filter("value is not null").distinct()
+    random = both.select(F.explode_outer("secrets").alias("value")).filter("value is not null").distinct()
+    words = both.select(F.explode_outer("words").alias("value")).filter("value is not null").groupBy("value").count().filter("count > 1")
+    return random.select("value", F.lit(True).alias("random")).union(words.select("value", F.lit(False)))
 
 
 def train(strings: DataFrame) -> list[float]:
