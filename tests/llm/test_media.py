@@ -46,11 +46,12 @@ def test_chunks_are_stored_once_and_shared(spark, docs_of):
     body = "".join(map(chr, rng.integers(97, 123, 50_000)))
     docs = docs_of([(1, body), (2, "new start " + body), (3, body)])
     known = media.recipes(docs)
-    store = spark.read.parquet(media.write_store(docs, known))
-    lists = {r.doc_id: r.vg_chunks for r in known.collect()}
-    distinct = {bytes(d) for c in lists.values() for d in c}
-    assert store.count() == len(distinct) < len(lists[1]) + len(lists[2])
-    assert len(set(map(bytes, lists[1])) & set(map(bytes, lists[2]))) > len(lists[1]) // 2
+    store = spark.read.schema(media.STORE).parquet(media.write_store(docs, known)).collect()
+    lists = {r.doc_id: [bytes(d) for d in r.vg_chunks] for r in known.collect()}
+    assert len(set(lists[1]) & set(lists[2])) > len(lists[1]) // 2
+    shared = [bytes(r.digest) for r in store if r.kind == "shared"]
+    assert len(shared) == len(set(shared)) and set(shared) == set(lists[1]) & set(lists[2])
+    assert len(shared) + sum(len(r.lengths) for r in store if r.kind != "shared") == len(set(lists[1]) | set(lists[2]))
 
 
 def test_empty_table(docs_of):

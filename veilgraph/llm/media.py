@@ -3,10 +3,10 @@
 A text's payload is its UTF-8 bytes with bytes 0 up to a positive multiple of 64, and is stored
 losslessly as the 8-bit samples of a mono WAV file, the media. A rolling gear hash
 over the last 32 bytes cuts the media into chunks where its low bits are 0 (``LEAST`` to ``MOST`` bytes,
-about ``MEAN`` beyond the least). The store holds each chunk once, by digest, compressed, with one
-owner (media, place); a media's recipe is its ordered list of digests. To read back, chunks
-that a media owns come from the store as they lie; those owned by others are joined
-by digest from the shared part of the store alone. Every media is verified against its digest.
+about ``MEAN`` beyond the least). Digests alone tell which chunks stand in more than one place; those are stored
+once by their owner, the others of a media lie together in one row. A media's recipe is its ordered list of
+digests. To read back, shared chunks are joined by digest to the media that hold them, and
+the bytes of media without any never move. Every media is verified against its digest.
 
 Defined results: null and empty texts are 64 bytes 0; equal texts share media, chunks and
 values; repeated rows have a row each; an empty table gives an empty result;
@@ -121,93 +121,130 @@ def recipes(docs: DataFrame, text="text") -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*fields, *[T.StructField(n, t) for n, t in new]]))
 
 
-def chunk_rows(docs: DataFrame, text="text") -> DataFrame:
-    """digest, owner, place, data: the compressed chunks of every text, each about once a task."""
+def sharing(known: DataFrame) -> DataFrame:
+    """media, shared: the places of each media's chunks that stand elsewhere too, as array<struct<place, owned>>.
+
+    A chunk's owner is its least (media, place), and stores it. Digests alone are dealt out here.
+    """
+    distinct = known.select("vg_media", "vg_chunks").dropDuplicates(["vg_media"])
+    refs = stash(distinct.select(F.col("vg_media").alias("media"), F.posexplode("vg_chunks").alias("place", "digest")), "chunk-refs")
+    many = refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("media", "place")).alias("owner")).filter("n > 1")
+    places = refs.join(many.select("digest", "owner"), "digest").select("media", F.struct("place", (F.struct("media", "place") == F.col("owner")).alias("owned")).alias("s"))
+    return places.groupBy("media").agg(F.array_sort(F.collect_list("s")).alias("shared"))
+
+
+def bodies(docs: DataFrame, text="text") -> DataFrame:
+    """media, body: every distinct media, compressed, about once a task."""
 
     def run(batches):
         import zstandard
 
-        pack, sent = zstandard.ZstdCompressor(level=6), set()
+        pack, sent = zstandard.ZstdCompressor(level=9), set()
         for _, texts in in_slices(batches, text):
             rows = []
             for t in texts:
-                media = to_wav(payload_of(t)[0])
-                owner = hashlib.sha256(media).digest()
-                for place, (digest, part) in enumerate(_chunks(media)):
-                    if digest not in sent:
-                        if len(sent) >= REMEMBERED:
-                            sent.clear()
-                        sent.add(digest)
-                        rows.append((digest, owner, place, pack.compress(part)))
+                body = to_wav(payload_of(t)[0])
+                media = hashlib.sha256(body).digest()
+                if media not in sent:
+                    if len(sent) >= REMEMBERED:
+                        sent.clear()
+                    sent.add(media)
+                    rows.append((media, pack.compress(body)))
             if rows:
-                d, o, p, b = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(d, pa.binary()), pa.array(o, pa.binary()), pa.array(p, pa.int32()), pa.array(b, pa.binary())], names=["digest", "owner", "place", "data"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["media", "body"])
 
-    return docs.select(text).mapInArrow(run, "digest binary, owner binary, place int, data binary")
+    return docs.select(text).mapInArrow(run, "media binary, body binary")
+
+
+STORE = "media binary, digest binary, lengths array<int>, shared array<int>, data binary, kind string"
 
 
 def write_store(docs: DataFrame, known: DataFrame, text="text") -> str:
-    """Write every distinct chunk once; returns the folder. ``known`` are the recipes."""
+    """Write every distinct chunk once; returns the folder. ``known`` are the recipes.
+
+    Chunks that stand in one place only lie together in a row of kind ``whole`` (a media of nothing
+    else) or ``part``, shared ones in a row of kind ``shared`` each.
+    """
     spark = docs.sparkSession
-    refs = known.select("vg_media", "vg_chunks").dropDuplicates(["vg_media"]).select(F.explode("vg_chunks").alias("digest"))
-    shared = refs.groupBy("digest").count().filter("count > 1").select("digest", F.lit(True).alias("shared"))
-    once = chunk_rows(docs, text).groupBy("digest").agg(F.first(F.struct("owner", "place", "data")).alias("x"))
+    once = bodies(docs, text).groupBy("media").agg(F.first("body").alias("body"))
+    rows = once.join(sharing(known), "media", "left")
+
+    def run(batches):
+        import zstandard
+
+        pack, unpack = zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part, rows = b.slice(i, 256), []
+                for media, body, shared in zip(*[part.column(j).to_pylist() for j in range(3)]):
+                    if not shared:
+                        body_ = unpack.decompress(body)
+                        rows.append((media, None, [len(p) for _, p in _chunks(body_)], None, body, "whole"))
+                        continue
+                    owned = {x["place"]: x["owned"] for x in shared}
+                    own, lengths = [], []
+                    for place, (digest, piece) in enumerate(_chunks(unpack.decompress(body))):
+                        if place not in owned:
+                            own.append(piece)
+                            lengths.append(len(piece))
+                        elif owned[place]:
+                            rows.append((None, digest, None, None, pack.compress(piece), "shared"))
+                    rows.append((media, None, lengths, sorted(owned), pack.compress(b"".join(own)), "part"))
+                kinds = (pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.string())
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["media", "digest", "lengths", "shared", "data", "kind"])
+
     out = new_path(spark, "chunks")
-    rows = once.join(shared, "digest", "left").select("digest", "x.*", F.coalesce("shared", F.lit(False)).alias("shared"))
-    rows.write.option("compression", "none").partitionBy("shared").parquet(out)
+    rows.select("media", "body", "shared").mapInArrow(run, STORE).write.option("compression", "none").partitionBy("kind").parquet(out)
     return out
 
 
-def read_back(spark, store: str, known: DataFrame) -> DataFrame:
-    """vg_media and, from the media put together again: payload and feature columns."""
-    schema = "digest binary, owner binary, place int, data binary, shared boolean"
-    chunks = spark.read.schema(schema).parquet(store)
-    own = chunks.select(F.col("owner").alias("media"), "place", "data")
-    distinct = known.select("vg_media", "vg_chunks").dropDuplicates(["vg_media"])
-    refs = distinct.select(F.col("vg_media").alias("media"), F.posexplode("vg_chunks").alias("place", "digest"))
-    shared = chunks.filter("shared")
-    held = shared.select(F.col("owner").alias("media"), "place")
-    foreign = refs.join(shared.select("digest", F.col("data")), "digest").select("media", "place", "data").join(held, ["media", "place"], "left_anti")
-    every = own.unionByName(foreign).repartition("media").sortWithinPartitions("media", "place")
+READ = "vg_media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def run(batches):
-        import zstandard
 
-        unpack = zstandard.ZstdDecompressor()
-        media, parts = None, []
+def _verified(media: bytes, body: bytes) -> tuple:
+    digest = hashlib.sha256(body).digest()
+    if digest != media:
+        raise ValueError(f"media {media.hex()} does not verify: {digest.hex()}")
+    samples = from_wav(body)
+    return media, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(body), digest.hex(), feature(samples)
+
 
-        def done():
-            body = b"".join(parts)
-            digest = hashlib.sha256(body).digest()
-            if digest != media:
-                raise ValueError(f"media {media.hex()} does not verify: {digest.hex()}")
-            samples = from_wav(body)
-            return media, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(body), digest.hex(), feature(samples)
+def read_back(spark, store: str, known: DataFrame) -> DataFrame:
+    """vg_media and, from the media put together again and verified: payload and feature columns."""
+    chunks = spark.read.schema(STORE).parquet(store)
 
-        def batch(rows):
-            kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    def assemble(batches):
+        import zstandard
 
-        names = ["vg_media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            rows = []
-            for owner, data in zip(b.column(0), b.column(2)):
-                owner = owner.as_py()
-                if owner != media:
-                    if media is not None:
-                        rows.append(done())
-                    media, parts = owner, []
-                parts.append(unpack.decompress(data.as_py()))
-            if rows:
-                yield batch(rows)
-        if media is not None:
-            yield batch([done()])
-
-    return every.mapInArrow(
-        run, "vg_media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+            for i in range(0, b.num_rows, 256):
+                rows = []
+                for media, lengths, data, foreign in zip(*[b.slice(i, 256).column(j).to_pylist() for j in range(4)]):
+                    own, at = unpack.decompress(data), 0
+                    there = {x["place"]: x["data"] for x in foreign or []}
+                    parts = []
+                    for place in range(len(lengths) + len(there)):
+                        if place in there:
+                            parts.append(unpack.decompress(there[place]))
+                        else:
+                            n = lengths[len(parts) - sum(p < place for p in there)]
+                            parts.append(own[at : at + n])
+                            at += n
+                    rows.append(_verified(media, b"".join(parts)))
+                kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in READ.split(", ")])
+
+    none = F.lit(None).cast("array<struct<place:int,data:binary>>").alias("foreign")
+    whole = chunks.filter("kind = 'whole'").select("media", "lengths", "data", none)
+    part = chunks.filter("kind = 'part'").select("media", "lengths", "data", "shared")
+    digests = known.select(F.col("vg_media").alias("media"), "vg_chunks").dropDuplicates(["media"])
+    refs = part.select("media", F.explode("shared").alias("place")).join(digests, "media").select("media", "place", F.get("vg_chunks", F.col("place")).alias("digest"))
+    shared = chunks.filter("kind = 'shared'").select("digest", F.col("data").alias("piece"))
+    foreign = refs.join(shared, "digest").groupBy("media").agg(F.collect_list(F.struct("place", F.col("piece").alias("data"))).alias("foreign"))
+    return whole.unionByName(part.drop("shared").join(foreign, "media")).mapInArrow(assemble, READ)
 
 
 def op4(docs: DataFrame) -> DataFrame:

@@ -56,9 +56,10 @@ def drop(df: DataFrame) -> None:
 
 def free(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of what has been written and is no longer referred to."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(0.5)
+    for _ in range(2):  # the first round detaches what Python held, the second collects it
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
