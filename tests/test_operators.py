@@ -112,7 +112,7 @@ def test_audit_refuses_content(spark):
 
 def test_contest(spark):
     text = "The Billing migration is blocked. RiverPlan was approved. RiverPlan ships in March 3."
-    other = "the billing  migration is completed. RiverPlan was Rejected."
+    other = "the billing migration is completed. RiverPlan was Rejected."
     src = spark.createDataFrame([("1", "A", text), ("2", "B", other)], "source_id string, space string, text string")
     claims = contest.extract_claims(src)
     got = {(r.predicate, r.subject): r.cross_space for r in contest.contradictions(claims).collect()}

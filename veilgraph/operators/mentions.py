@@ -122,15 +122,20 @@ def resolve(mentions: DataFrame, sources: DataFrame, employees: DataFrame, roste
         F.sum(F.col("in_pool").cast("int")).alias("n_pool"), F.sum(F.col("narrow").cast("int")).alias("n_narrow"), pick(F.lit(True)).alias("any"), pick(yes("here")).alias("here"),
         pick(F.col("in_pool") & yes("on_team")).alias("team"), F.min(F.when(F.col("narrow") & F.col("distance").isNotNull(), F.struct("distance", "cand"))).alias("nearest"), pick(F.col("narrow")).alias("left"),
     )
+
+    def choice(who, method: str, pool, confidence: float):
+        return F.struct(who.cast("string").alias("resolved"), F.lit(method).alias("method"), pool.cast("long").alias("candidates"), F.lit(confidence).alias("confidence"))
+
+    nobody, one = F.lit(None), F.lit(1)
     step = (
-        F.when(F.col("n") == 1, F.struct(F.col("any"), F.lit("unique-name"), F.lit(1), F.lit(0.95)))
-        .when(F.col("n_here") == 1, F.struct(F.col("here"), F.lit("co-presence"), F.lit(1), F.lit(0.92)))
-        .when(F.col("roll") & (F.col("n_here") == 0), F.struct(F.lit(None).cast("string"), F.lit("abstained"), F.col("n_pool"), F.lit(0.0)))
-        .when(F.col("n_team") == 1, F.struct(F.col("team"), F.lit("space-roster"), F.lit(1), F.lit(0.85)))
-        .when((F.col("n_narrow") > 1) & F.col("nearest").isNotNull(), F.struct(F.col("nearest.cand"), F.lit("proximity"), F.col("n_narrow"), F.lit(0.7)))
-        .when(F.col("n_narrow") == 1, F.struct(F.col("left"), F.lit("space-roster"), F.lit(1), F.lit(0.85)))
-        .otherwise(F.struct(F.lit(None).cast("string"), F.lit("abstained"), F.col("n_narrow"), F.lit(0.0)))
-    ).cast("struct<resolved:string,method:string,candidates:bigint,confidence:double>")
+        F.when(F.col("n") == 1, choice(F.col("any"), "unique-name", one, 0.95))
+        .when(F.col("n_here") == 1, choice(F.col("here"), "co-presence", one, 0.92))
+        .when(F.col("roll") & (F.col("n_here") == 0), choice(nobody, "abstained", F.col("n_pool"), 0.0))
+        .when(F.col("n_team") == 1, choice(F.col("team"), "space-roster", one, 0.85))
+        .when((F.col("n_narrow") > 1) & F.col("nearest").isNotNull(), choice(F.col("nearest.cand"), "proximity", F.col("n_narrow"), 0.7))
+        .when(F.col("n_narrow") == 1, choice(F.col("left"), "space-roster", one, 0.85))
+        .otherwise(choice(nobody, "abstained", F.col("n_narrow"), 0.0))
+    )
     decided = g.select("source_id", "nth", step.alias("s")).select("source_id", "nth", "s.*")
     sure = mentions.filter("register = 'identifier'").selectExpr("source_id", "nth", "employee_id as resolved", "'identifier' as method", "1L as candidates", "1D as confidence")
     none = named.join(decided, ["source_id", "nth"], "left_anti").selectExpr("source_id", "nth", "cast(null as string) as resolved", "'abstained' as method", "0L as candidates", "0D as confidence")

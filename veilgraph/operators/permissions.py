@@ -29,7 +29,7 @@ def as_arrays(permitted_rows: DataFrame) -> DataFrame:
 
 def admissible(perm: Column, req: Column) -> Column:
     """Whether every required space is permitted; an unknown principal (null ``perm``) is refused even where nothing is required."""
-    return F.coalesce(F.forall(req, lambda s: F.array_contains(perm, s)), F.lit(False))
+    return F.coalesce(perm.isNotNull() & F.forall(req, lambda s: F.array_contains(perm, s)), F.lit(False))
 
 
 def missing(perm: Column, req: Column) -> Column:

@@ -118,7 +118,7 @@ def load_snapshot(spark: SparkSession, path: str) -> Corpus:
     accounts = direct.select("principal").union(by_team.select("principal")).union(spark.createDataFrame([("public",)], "principal string")).distinct()
     public = accounts.crossJoin(repos.filter("not private").select(F.col("name").alias("space")))
     issues = s.select(F.explode("issues").alias("x")).select("x.*")
-    text = F.concat_ws("\n", F.nullif("title", F.lit("")), F.nullif("body", F.lit("")), F.concat_ws("\n", F.transform("comments", lambda c: c["body"])))
+    text = F.concat_ws("\n", F.nullif("title", F.lit("")), F.nullif("body", F.lit("")), F.nullif(F.concat_ws("\n", F.transform("comments", lambda c: c["body"])), F.lit("")))
     voices = F.array_distinct(F.concat(F.array("author"), F.coalesce(F.transform("comments", lambda c: c["author"]), F.array().cast("array<string>"))))
     sources = issues.select(
         F.col("number").cast("string").alias("id"), F.col("repo").alias("space"), F.lit("document").alias("kind"), text.alias("text"), "title", "author", voices.alias("participants"),
