@@ -129,6 +129,13 @@ class Segment:
 _encoders: dict = {}
 
 
+def encoder_of(path: str):
+    """One encoder per worker, so that what it remembers serves all of the worker's tasks."""
+    if path not in _encoders:
+        _encoders[path] = library_encoder(path)
+    return _encoders[path]
+
+
 def write(docs: DataFrame, path: str, out: str, text="text", end_id=END_ID, segment_tokens=SEGMENT_TOKENS) -> None:
     """Encode every text under the tokenizer file ``path`` and write the segments to ``out``."""
     from pyspark import TaskContext
@@ -138,9 +145,7 @@ def write(docs: DataFrame, path: str, out: str, text="text", end_id=END_ID, segm
     sorted_docs = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches):
-        if path not in _encoders:
-            _encoders[path] = library_encoder(path)
-        encoder, part, seq = _encoders[path], TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_of(path), TaskContext.get().partitionId(), 0
         doc_ids, ids, held = [], [], 0
 
         def flush():

@@ -16,7 +16,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 #: White space other than the space and the line feed.
 OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
 
