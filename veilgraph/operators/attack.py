@@ -66,3 +66,17 @@ def witness_cover(candidates: DataFrame) -> DataFrame:
         return pd.DataFrame({"case": [pdf["case"].iloc[0]], "size": [len(chosen)], "witnesses": [",".join(map(str, chosen))]})
 
     return candidates.groupBy("case").applyInPandas(cover, "case string, size long, witnesses string")
+
+
+def replay(probes: DataFrame, cache: DataFrame) -> DataFrame:
+    """``probes`` (model, prompt) with the cached answer of a model, by a digest of both; no model is called."""
+    key = F.substring(F.sha2(F.concat_ws(" ", "model", "prompt"), 256), 1, 32)
+    return probes.withColumn("key", key).join(cache.select("key", "answer"), "key", "left").drop("key")
+
+
+def confusion(answers: DataFrame) -> DataFrame:
+    """tp, fp, tn, fn, recall, fpr, advantage, degenerate over (truth, said), booleans; unanswered rows do not count."""
+    n = lambda t, s, name: F.count_if((F.col("truth") == t) & (F.col("said") == s)).alias(name)
+    c = answers.filter("said is not null").agg(n(True, True, "tp"), n(False, True, "fp"), n(False, False, "tn"), n(True, False, "fn"))
+    recall, fpr = F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.try_divide(F.col("fp"), F.col("fp") + F.col("tn"))
+    return c.select("*", F.round(recall, 6).alias("recall"), F.round(fpr, 6).alias("fpr"), F.round(recall - fpr, 6).alias("advantage"), (((F.col("tp") + F.col("fp")) == 0) | ((F.col("tn") + F.col("fn")) == 0)).alias("degenerate"))

@@ -54,3 +54,20 @@ def preview(before: DataFrame, after: DataFrame, facts0: DataFrame, facts: DataF
         .select("principal", F.size("gained").alias("spaces_gained"), F.size("lost").alias("spaces_lost"), zero("documents_gained"), zero("documents_lost"),
                 "derived_gained", "derived_lost", "by_combination")
     )
+
+
+def simulate_grants(perms: DataFrame, grants: DataFrame, facts0: DataFrame, facts: DataFrame) -> DataFrame:
+    """principal, space, documents, derived, by_combination for each single grant (principal, space) tried alone."""
+    rows = grants.join(perms, "principal", "left").withColumn("old", F.coalesce("perm", F.array().cast("array<string>"))).drop("perm")
+    rows = rows.withColumn("new", F.array_sort(F.array_union("old", F.array("space"))))
+    docs = facts0.groupBy("space").agg(F.count(F.lit(1)).alias("n_docs"))
+    req = facts.groupBy("req").agg(F.count(F.lit(1)).alias("n"))
+    sets = rows.select("old", "new", "space").distinct().crossJoin(req)
+    hit = ~admissible(F.col("old"), F.col("req")) & admissible(F.col("new"), F.col("req"))
+    gain = sets.groupBy("old", "space").agg(
+        F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("derived"), F.sum(F.when(hit & F.arrays_overlap("req", "old"), F.col("n")).otherwise(0)).alias("by_combination")
+    )
+    held = F.array_contains("old", F.col("space"))
+    return rows.join(gain, ["old", "space"]).join(docs, "space", "left").select(
+        "principal", "space", F.when(held, F.lit(0)).otherwise(F.coalesce("n_docs", F.lit(0))).alias("documents"), "derived", "by_combination"
+    )
