@@ -51,7 +51,7 @@ def preview(before: DataFrame, after: DataFrame, facts0: DataFrame, facts: DataF
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return (
         changed.join(derived, ["old", "new"]).join(count("gained", "documents_gained"), "principal", "left").join(count("lost", "documents_lost"), "principal", "left")
-        .select("principal", F.size("gained").alias("spaces_gained"), F.size("lost").alias("spaces_lost"), zero("documents_gained"), zero("documents_lost"),
+        .select("principal", F.size("gained").cast("long").alias("spaces_gained"), F.size("lost").cast("long").alias("spaces_lost"), zero("documents_gained"), zero("documents_lost"),
                 "derived_gained", "derived_lost", "by_combination")
     )
 
