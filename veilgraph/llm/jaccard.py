@@ -36,6 +36,9 @@ from .words import mixed, shingles
 
 SKETCH_BITS, SLICE_BITS = 21, 12
 PARTS = 128
+#: Of 256 ranges of the hash, whether a set has an odd number of shingles in each: the bits in which two sets differ number
+#: at most their symmetric difference, so the suffix filter can stand in a join's condition.
+ODD = ("odd1", "odd2", "odd3", "odd4")
 STAR_ROUNDS = 2
 #: Sets remembered by a task so that copies are sent once; forgetting one costs only rows.
 REMEMBERED = 200_000
@@ -135,13 +138,18 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 found = shingles(t, width)
                 if len(found) and vertex(found) == k:
                     part = np.bincount((mixed(found) >> np.uint64(64 - 7)).astype(np.int64), minlength=PARTS).clip(0, 255).astype(np.uint8)
-                    rows.append((k, len(found), part.tobytes(), found.tobytes()))
+                    odd = np.bincount((mixed(found) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+                    bits = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+                    rows.append((k, len(found), part.tobytes(), found.tobytes(), *bits))
             if rows:
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "parts", "body"])
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 4)
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "parts", "body", *ODD])
 
     w = wanted.select(F.col("doc_id").alias("w_id"), "key")
-    return docs.join(w, F.col("doc_id") == F.col("w_id")).select("key", "text").mapInArrow(run, "key long, n int, parts binary, body binary")
+    return docs.join(w, F.col("doc_id") == F.col("w_id")).select("key", "text").mapInArrow(
+        run, "key long, n int, parts binary, body binary, odd1 long, odd2 long, odd3 long, odd4 long"
+    )
 
 
 def _need(percent: int):
@@ -217,13 +225,16 @@ def _stars(rows: DataFrame, percent: int) -> DataFrame:
     return best.select("m.a", "m.b").distinct()
 
 
-def _crossing(rows: DataFrame, percent: int) -> DataFrame:
+def _crossing(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Every pair of sets of different components at a shingle; only what is outside the largest component is joined with all."""
     sizes = rows.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("c"))
     major = sizes.groupBy("shingle").agg(F.max(F.struct("c", "comp")).alias("m")).select("shingle", F.col("m.comp").alias("major"))
-    minor = rows.join(major, "shingle").filter("comp != major").selectExpr("shingle", "key as a", "n as n1", "pos as pos1", "comp as c1", "major")
-    every = rows.selectExpr("shingle", "key as b", "n as n2", "pos as pos2", "comp as c2")
+    rows = rows.join(sets.select("key", *ODD), "key")
+    minor = rows.join(major, "shingle").filter("comp != major").selectExpr("shingle", "key as a", "n as n1", "pos as pos1", "comp as c1", "major", *[f"{x} as x{x}" for x in ODD])
+    every = rows.selectExpr("shingle", "key as b", "n as n2", "pos as pos2", "comp as c2", *[f"{x} as y{x}" for x in ODD])
+    apart = " + ".join(f"bit_count(x{x} ^ y{x})" for x in ODD)
     met = minor.join(every, "shingle").filter("c1 != c2 and (c2 = major or a < b)").filter(_possible(percent))
+    met = met.filter(f"({apart}) * {100 + percent} <= {100 - percent} * (n1 + n2)")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -252,7 +263,7 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
         links = new if links is None else links.unionByName(new)
         rows = _labelled(entries, links)
         free(spark)
-    links = links.unionByName(stash(verified(_crossing(rows, percent), sets, percent), "jac-links"))
+    links = links.unionByName(stash(verified(_crossing(rows, sets, percent), sets, percent), "jac-links"))
     roots = components(links).toDF("node", "root")
 
     known = vertices.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
