@@ -93,6 +93,13 @@ def test_copies_are_no_evidence(docs_of):
     assert {r.spans for r in pii.op2(docs).collect() if r.doc_id < 5} == {"email:13:25"}
 
 
+def test_a_shared_passage_in_different_texts_is_evidence(docs_of):
+    passage = "the board of the company sends its regards to everyone who reads this note, signed Zorbulon zed@mail.org who also wrote the board of the company regards everyone reading"
+    docs = docs_of([(i, f"matter{i} stands here. {passage}") for i in range(5)] + [(9 + i, "the board of other text") for i in range(90)])
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("Zorbulon" not in clean[i] and f"matter{i}" in clean[i] for i in range(5))
+
+
 def test_random_run_is_a_secret_and_a_word_is_not(docs_of):
     rng = random.Random(3)
     key = lambda: "".join(rng.choice(secrets_scan.ALPHABET[:62]) for _ in range(24))

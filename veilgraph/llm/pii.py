@@ -6,8 +6,8 @@ counts over all documents, ``PMI(e; t) = log p(e, t) / (p(e) p(t))`` and
 ``IC(e) = -log p(e)`` say which part of the entity's information a term gives
 away. A term whose share ``PMI / IC`` reaches ``GENERALISE`` is generalised to
 its class where it stands near that entity; from ``REMOVE`` on it is removed.
-Only terms seen with the entity in ``SUPPORT`` different contexts count, so
-that copies of one text are no evidence.
+Only terms seen with the entity in ``SUPPORT`` different whole texts count, so
+that copies of one text are no evidence, while one passage in different texts is.
 
 Defined results: null text is empty; an entity that stands in all documents has
 no information to lose; texts without an entity never change; rows repeated
@@ -74,22 +74,21 @@ def _mentions() -> Column:
 
 
 def _contexts(found: DataFrame) -> DataFrame:
-    """doc_id, vg_hash, entity, context, term, start, end for each word near a mention."""
+    """doc_id, vg_hash, entity, term, start, end for each word near a mention."""
     # explode_outer, as explode would have the optimizer repeat the whole span search in a filter
     m = found.select("doc_id", "vg_hash", F.explode_outer("vg_mentions").alias("m")).filter("m is not null")
     sides = F.array(
         F.struct(F.col("m.before").alias("text"), (F.col("m.start") - F.length("m.before")).alias("at"), F.lit(True).alias("left")),
         F.struct(F.col("m.after").alias("text"), F.col("m.end").alias("at"), F.lit(False).alias("left")),
     )
-    context = F.xxhash64("m.before", "m.after")
-    s = m.select("doc_id", "vg_hash", entity_key(F.col("m.kind"), F.col("m.value")).alias("entity"), context.alias("context"), F.explode(sides).alias("s"))
+    s = m.select("doc_id", "vg_hash", entity_key(F.col("m.kind"), F.col("m.value")).alias("entity"), F.explode(sides).alias("s"))
     s = S.with_spans(s, F.col("s.text"), [("word", WORD, None, None)])
-    w = s.select("doc_id", "vg_hash", "entity", "context", "s.text", "s.at", "s.left", F.explode_outer("vg_word").alias("w"))
+    w = s.select("doc_id", "vg_hash", "entity", "s.text", "s.at", "s.left", F.explode_outer("vg_word").alias("w"))
     w = w.filter("w is not null")
     whole = F.length("text") < WINDOW  # else a word at the outer edge may be cut
     w = w.filter(whole | (F.col("left") & (F.col("w.start") > 0)) | (~F.col("left") & (F.col("w.end") < WINDOW)))
     return w.select(
-        "doc_id", "vg_hash", "entity", "context", F.lower("w.value").alias("term"),
+        "doc_id", "vg_hash", "entity", F.lower("w.value").alias("term"),
         (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"),
     )
 
@@ -97,15 +96,14 @@ def _contexts(found: DataFrame) -> DataFrame:
 def disclosing_terms(contexts: DataFrame, docs: DataFrame, text="text", generalise=GENERALISE, support=SUPPORT) -> DataFrame:
     """entity, term, share: the terms that give away at least ``generalise`` of an entity's information."""
     n_docs = docs.count()
-    # Counts by context first: a key with many rows is summed before it is dealt out.
-    per_context = contexts.groupBy("entity", "term", "context").agg(F.count_distinct(F.struct("doc_id", "vg_hash")).alias("n"))
-    pair = per_context.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count(F.lit(1)).alias("support"))
+    # Counts by text first: a key with many rows is summed before it is dealt out.
+    per_text = contexts.groupBy("entity", "term", "vg_hash").agg(F.count_distinct(F.struct("doc_id", "vg_hash")).alias("n"))
+    pair = per_text.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count(F.lit(1)).alias("support"))
     pair = pair.filter(F.col("support") >= support)
     entity = contexts.groupBy("entity", "doc_id", "vg_hash").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
     term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     counted = pair.join(entity, "entity").join(term, "term")
-    # A document may hold a pair in several contexts.
     joint = F.least("n_pair", "n_entity", "n_term") / F.lit(float(max(n_docs, 1)))
     p_e, p_t = F.col("n_entity") / F.lit(float(max(n_docs, 1))), F.col("n_term") / F.lit(float(max(n_docs, 1)))
     share = F.when(p_e < 1, F.log(joint / (p_e * p_t)) / -F.log(p_e))
