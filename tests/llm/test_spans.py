@@ -100,6 +100,47 @@ def test_a_shared_passage_in_different_texts_is_evidence(docs_of):
     assert all("Zorbulon" not in clean[i] and f"matter{i}" in clean[i] for i in range(5))
 
 
+def test_terms_far_from_the_mention_are_found_in_whole_documents(docs_of):
+    far = "words of no weight at all " * 20
+    told = [(i, f"Zorbulon opens matter{i}. {far} zed@mail.org {far} closed by Zorbulon{' zed@mail.org' * (i % 2)}") for i in range(6)]
+    docs = docs_of(told + [told[0]] + [(9 + i, f"{far} other{i}") for i in range(90)])
+    clean = [(r.doc_id, r.text) for r in pii.sanitise(docs).collect() if r.doc_id < 6]
+    assert len(clean) == 7 and all("Zorbulon" not in t and "[EMAIL]" in t and f"matter{i}" in t and "weight" in t for i, t in clean)
+
+
+def test_shares_match_brute_force_over_whole_documents(docs_of):
+    import math
+
+    rng = random.Random(11)
+    mails = [f"user{i}@host{i}.org" for i in range(12)]
+    rows = []
+    for i in range(160):
+        body = [f"word{min(int(rng.expovariate(0.05)), 200)}x" for _ in range(40)]
+        for m in rng.sample(mails, rng.choice([0, 0, 1, 2])):
+            body.insert(rng.randrange(len(body)), m)
+            body.insert(rng.randrange(len(body)), f"nick{mails.index(m)}y" if rng.random() < 0.8 else "plain")
+        rows.append((i, " ".join(body)))
+    rows += [(200 + i, rows[3][1]) for i in range(3)]
+    word, mail = re.compile(r"[^\W_\d][\w-]{2,}"), re.compile(PII[0][1])
+    held = {i: (set(m[0] for m in mail.finditer(t)), set(word.findall(t))) for i, t in rows}
+    n, texts = len(rows), dict(rows)
+    told = {}
+    for e in {e for es, _ in held.values() for e in es}:
+        n_e = sum(e in es for es, _ in held.values())
+        for t in {t for es, ts in held.values() if e in es for t in ts}:
+            both = [i for i, (es, ts) in held.items() if e in es and t in ts]
+            share = math.log(len(both) * n / (n_e * sum(t in ts for _, ts in held.values()))) / math.log(n / n_e)
+            if len({texts[i] for i in both}) >= 2 and share >= pii.GENERALISE:
+                told.setdefault(e, set()).add(t)
+    assert any(told.values())
+    for r in pii.op2(docs_of(rows)).collect():
+        t, (es, _) = texts[r.doc_id], held[r.doc_id]
+        terms = set().union(*(told.get(e, set()) for e in es))
+        base = [(m.start(), m.end()) for m in mail.finditer(t)]
+        want = [f"term:{m.start()}:{m.end()}" for m in word.finditer(t) if m[0] in terms and not any(m.start() < e and s < m.end() for s, e in base)]
+        assert [s for s in r.spans.split(",") if s.startswith("term")] == want
+
+
 def test_random_run_is_a_secret_and_a_word_is_not(docs_of):
     rng = random.Random(3)
     key = lambda: "".join(rng.choice(secrets_scan.ALPHABET[:62]) for _ in range(24))

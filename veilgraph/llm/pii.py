@@ -1,11 +1,11 @@
 """Personal data: base patterns, then information-theoretic sanitisation (DataFrame operations only).
 
 Every e-mail address, IP address, payment card and phone number found is a
-protected entity. Words near an entity's mentions are candidate terms. From
+protected entity. The words of the documents that hold it are candidate terms. From
 counts over all documents, ``PMI(e; t) = log p(e, t) / (p(e) p(t))`` and
 ``IC(e) = -log p(e)`` say which part of the entity's information a term gives
 away. A term whose share ``PMI / IC`` reaches ``GENERALISE`` is generalised to
-its class where it stands near that entity; from ``REMOVE`` on it is removed.
+its class wherever it stands in a document that holds the entity; from ``REMOVE`` on it is removed.
 Only terms seen with the entity in ``SUPPORT`` different whole texts count, so
 that copies of one text are no evidence, while one passage in different texts is.
 
@@ -26,8 +26,6 @@ from .scratch import stash
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 GENERALISE, REMOVE, SUPPORT = 0.75, 0.95, 2
-#: Code points on either side of a mention that are its context.
-WINDOW = 64
 WORD = r"\p{L}[\p{L}\p{N}_-]{2,}+"
 
 
@@ -59,55 +57,49 @@ def entity_key(kind: Column, value: Column) -> Column:
     return F.xxhash64(kind, plain)
 
 
-def _mentions() -> Column:
-    """The mentions of a text with what stands on either side of each."""
+def _held(found: DataFrame, text: str) -> DataFrame:
+    """doc_id, vg_hash, entities, words (array<struct<term, start, end>>), copies for each text that holds an entity; equal rows are one."""
+    of = lambda kind: F.transform(f"vg_{kind}", lambda s: entity_key(F.lit(kind), s["value"]))
+    entities = F.array_distinct(F.concat(*[of(k) for k in KINDS]))
+    # explode_outer of one array, as the optimizer would else repeat the whole span search in the filter
+    m = found.select("doc_id", "vg_hash", F.col(text).alias("text"), F.explode_outer(F.array(entities)).alias("entities")).filter("size(entities) > 0")
+    words = F.transform("vg_word", lambda s: F.struct(F.lower(s["value"]).alias("term"), s["start"].alias("start"), s["end"].alias("end")))
+    m = S.with_spans(m, F.col("text"), [("word", WORD, None, None)]).select("doc_id", "vg_hash", "entities", words.alias("words"))
+    return m.groupBy("doc_id", "vg_hash").agg(F.first("entities").alias("entities"), F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))
 
-    def of(kind: str, keep: str | None) -> str:
-        cut, at = f"vg_cut_{kind}", f"vg_at_{kind}"
-        every = f"""transform(sequence(1, size({cut}) - 2, 2), i -> struct('{kind}' as kind, get({cut}, i) as value, get({at}, i) as start,
-            get({at}, i + 1) as end, right(get({cut}, i - 1), {WINDOW}) as before, left(get({cut}, i + 1), {WINDOW}) as after))"""
-        kept = every if keep is None else f"filter({every}, m -> exists(array(m.value), v -> {keep}))"
-        none = "cast(array() as array<struct<kind:string,value:string,start:int,end:int,before:string,after:string>>)"
-        return f"case when size(vg_{kind}) > 0 then {kept} else {none} end"
 
-    return F.expr(f"concat({', '.join(of(k, keep) for k, _, _, keep in RULES)})")
+def disclosing_terms(held: DataFrame, docs: DataFrame, text="text", generalise=GENERALISE, support=SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """The terms that give away at least ``generalise`` of an entity's information: (entity, term, share), and
+    (doc_id, vg_hash, entity, term) for the documents that hold both.
 
-
-def _contexts(found: DataFrame) -> DataFrame:
-    """doc_id, vg_hash, entity, term, start, end for each word near a mention."""
-    # explode_outer, as explode would have the optimizer repeat the whole span search in a filter
-    m = found.select("doc_id", "vg_hash", F.explode_outer("vg_mentions").alias("m")).filter("m is not null")
-    sides = F.array(
-        F.struct(F.col("m.before").alias("text"), (F.col("m.start") - F.length("m.before")).alias("at"), F.lit(True).alias("left")),
-        F.struct(F.col("m.after").alias("text"), F.col("m.end").alias("at"), F.lit(False).alias("left")),
-    )
-    s = m.select("doc_id", "vg_hash", entity_key(F.col("m.kind"), F.col("m.value")).alias("entity"), F.explode(sides).alias("s"))
-    s = S.with_spans(s, F.col("s.text"), [("word", WORD, None, None)])
-    w = s.select("doc_id", "vg_hash", "entity", "s.text", "s.at", "s.left", F.explode_outer("vg_word").alias("w"))
-    w = w.filter("w is not null")
-    whole = F.length("text") < WINDOW  # else a word at the outer edge may be cut
-    w = w.filter(whole | (F.col("left") & (F.col("w.start") > 0)) | (~F.col("left") & (F.col("w.end") < WINDOW)))
-    return w.select(
-        "doc_id", "vg_hash", "entity", F.lower("w.value").alias("term"),
-        (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"),
-    )
-
-
-def disclosing_terms(contexts: DataFrame, docs: DataFrame, text="text", generalise=GENERALISE, support=SUPPORT) -> DataFrame:
-    """entity, term, share: the terms that give away at least ``generalise`` of an entity's information."""
+    No term that can reach ``generalise`` is passed over: as a pair stands in at most ``n_entity`` documents, its share is at most
+    ``log(n_docs / n_term) / log(n_docs / n_entity)``, so terms with more than ``n_docs^(1-g) n_entity^g`` documents are left out of pairs.
+    """
     n_docs = docs.count()
-    # Counts by text first: a key with many rows is summed before it is dealt out.
-    per_text = contexts.groupBy("entity", "term", "vg_hash").agg(F.count_distinct(F.struct("doc_id", "vg_hash")).alias("n"))
-    pair = per_text.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count(F.lit(1)).alias("support"))
-    pair = pair.filter(F.col("support") >= support)
-    entity = contexts.groupBy("entity", "doc_id", "vg_hash").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    n = float(max(n_docs, 1))
+    keys = ["doc_id", "vg_hash"]
+    mine = held.select(*keys, "copies", F.explode("entities").alias("entity"))
+    # Counts by text first, here and below: a key with many rows is summed before it is dealt out.
+    entity = mine.groupBy("entity", "vg_hash").agg(F.sum("copies").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("texts"))
+    entity = stash(entity.filter((F.col("texts") >= support) & (F.col("n_entity") < n_docs)).drop("texts"), "pii-entities")
+    bound = lambda n_entity: F.pow(F.lit(n), F.lit(1 - generalise)) * F.pow(n_entity.cast("double"), F.lit(generalise)) * (1 + 1e-9)
+    most = entity.agg(F.max("n_entity")).first()[0] or 0
+    words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
     term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    counted = pair.join(entity, "entity").join(term, "term")
-    joint = F.least("n_pair", "n_entity", "n_term") / F.lit(float(max(n_docs, 1)))
-    p_e, p_t = F.col("n_entity") / F.lit(float(max(n_docs, 1))), F.col("n_term") / F.lit(float(max(n_docs, 1)))
-    share = F.when(p_e < 1, F.log(joint / (p_e * p_t)) / -F.log(p_e))
-    return counted.select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
+    term = term.filter((F.col("n_term") >= support) & (F.col("n_term") <= bound(F.lit(most))))
+    theirs = held.select(*keys, F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term")).join(term, "term")
+    mine = mine.join(entity, "entity").withColumnsRenamed({"doc_id": "e_id", "vg_hash": "e_hash"})
+    same = F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("vg_hash") == F.col("e_hash"))
+    both = theirs.join(mine, same & (F.col("n_term") <= bound(F.col("n_entity"))))
+    both = stash(both.select(*keys, "copies", "entity", "term", "n_entity", "n_term"), "pii-pairs")
+    pair = both.groupBy("entity", "term", "vg_hash").agg(F.sum("copies").alias("n"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    pair = pair.groupBy("entity", "term").agg(
+        F.sum("n").alias("n_pair"), F.count(F.lit(1)).alias("support"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")
+    )
+    p_e, p_t = F.col("n_entity") / F.lit(n), F.col("n_term") / F.lit(n)
+    share = F.log(F.col("n_pair") / F.lit(n) / (p_e * p_t)) / -F.log(p_e)
+    told = pair.filter(F.col("support") >= support).select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
+    return told, both.select(*keys, "entity", "term")
 
 
 def base_spans(docs: DataFrame, text="text") -> DataFrame:
@@ -118,17 +110,20 @@ def base_spans(docs: DataFrame, text="text") -> DataFrame:
 def detect(docs: DataFrame, text="text", generalise=GENERALISE, support=SUPPORT) -> DataFrame:
     """``docs`` with the base spans and vg_terms, array<struct<start, end, share>> of disclosing terms."""
     found = base_spans(docs, text).withColumn("vg_hash", F.xxhash64(text))
-    slim = found.select("doc_id", "vg_hash", _mentions().alias("vg_mentions"))
-    contexts = stash(_contexts(slim), "pii-contexts")
-    telling = stash(disclosing_terms(contexts, docs, text, generalise, support), "pii-terms")
+    held = stash(_held(found, text), "pii-held")
+    telling, both = disclosing_terms(held, docs, text, generalise, support)
+    telling = stash(telling, "pii-terms")
+    told = both.join(telling, ["entity", "term"]).groupBy("doc_id", "vg_hash", "term").agg(F.max("share").alias("share"))
+    told = told.withColumnsRenamed({"doc_id": "vg_t_id", "vg_hash": "vg_t_hash", "term": "vg_t_term"})
+    words = held.select("doc_id", "vg_hash", F.explode("words").alias("w")).select("doc_id", "vg_hash", "w.*")
+    same = F.col("doc_id").eqNullSafe(F.col("vg_t_id")) & (F.col("vg_hash") == F.col("vg_t_hash"))
     places = (
-        contexts.join(telling, ["entity", "term"])
-        .groupBy("doc_id", "vg_hash", "start", "end").agg(F.max("share").alias("share"))
-        .groupBy(F.col("doc_id").alias("vg_t_id"), F.col("vg_hash").alias("vg_t_hash"))
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("vg_terms"))
+        words.join(told, same & (F.col("term") == F.col("vg_t_term")))
+        .groupBy("vg_t_id", "vg_t_hash", "start", "end").agg(F.max("share").alias("share"))
+        .groupBy("vg_t_id", "vg_t_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("vg_terms"))
     )
     cuts = [f"vg_{part}_{k}" for part in ("cut", "at") for k in KINDS]
-    out = found.drop(*cuts).join(places, F.col("doc_id").eqNullSafe(F.col("vg_t_id")) & (F.col("vg_hash") == F.col("vg_t_hash")), "left")
+    out = found.drop(*cuts).join(places, same, "left")
     base = f"concat({', '.join(f'vg_{k}' for k in KINDS)})"
     terms = "coalesce(vg_terms, cast(array() as array<struct<start:int,end:int,share:double>>))"
     return out.withColumn("vg_terms", F.expr(S.apart(terms, base))).drop("vg_t_id", "vg_t_hash", "vg_hash")
