@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,21 +34,76 @@ def closure(facts: list[tuple]) -> set[str]:
     return claims
 
 
-def plan(candidates: list[tuple], prior: list[tuple], protected: set[str]):
+class Ledger:
+    """Facts disclosed in their order, and which of ``protected`` their :func:`closure` holds with some more facts.
+
+    Only the entities of those facts are looked at again, so that long ledgers cost no more than short ones.
+    """
+
+    def __init__(self, protected: set[str], facts: list[tuple] = ()):
+        self.protected, self.held = protected, set()
+        self.spaces: dict = {}
+        self.spanned: Counter = Counter()
+        self.near: dict = {}
+        self.add(facts)
+
+    def _with(self, facts: list[tuple]):
+        """(violations, spaces of the entities, newly spanned pairs and their counts) once ``facts`` are disclosed too."""
+        claims = {f[4] for f in facts if f[1] > 0}
+        seen: dict = {}
+        for _, level, entity, space, _ in facts:
+            if level == 0:
+                seen.setdefault(entity, dict(self.spaces.get(entity, ()))).setdefault(space)
+        more: Counter = Counter()
+        for entity, now in seen.items():
+            if len(now) >= 2:
+                claims.add(f"person:{entity}")
+                old = list(self.spaces.get(entity, ()))[:MOST_SPACES]
+                if len(old) < min(len(now), MOST_SPACES):
+                    known = set(combinations(sorted(old), 2))
+                    more.update(p for p in combinations(sorted(list(now)[:MOST_SPACES]), 2) if p not in known)
+        near: dict = {}
+        for (a, b), n in more.items():
+            if self.spanned[a, b] < 2 <= self.spanned[a, b] + n:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        around = lambda x: self.near.get(x, set()) | near.get(x, set())
+        for a, ends in near.items():
+            for b in ends:
+                if a < b:
+                    claims.add(f"pair|{a}|{b}")
+                    claims |= {"cluster|" + "|".join(sorted((a, b, c))) for c in around(a) & around(b)}
+        return self.held | (claims & self.protected), seen, more, near
+
+    def violations(self, facts: list[tuple]) -> set[str]:
+        return self._with(facts)[0] if self.protected else set()
+
+    def add(self, facts: list[tuple]) -> None:
+        if self.protected:
+            self.held, seen, more, near = self._with(facts)
+            self.spaces.update(seen)
+            self.spanned.update(more)
+            for a, ends in near.items():
+                self.near.setdefault(a, set()).update(ends)
+
+
+def plan(candidates: list[tuple], prior: list[tuple] | Ledger, protected: set[str]):
     """(kept, dropped, safe): the candidates to disclose, best first, so that nothing protected can be rebuilt.
 
     While something can, the lowest-ranked fact whose removal lessens the violations goes, or else the last.
+    ``prior`` is what was disclosed before, as facts or as the ledger of ``protected``.
     """
+    before = prior if isinstance(prior, Ledger) else Ledger(protected, prior)
     kept, dropped = list(candidates), []
-    bad = closure(prior + kept) & protected
+    bad = before.violations(kept)
     while bad and kept:
         for i in range(len(kept) - 1, -1, -1):
-            left = closure(prior + kept[:i] + kept[i + 1 :]) & protected
+            left = before.violations(kept[:i] + kept[i + 1 :])
             if len(left) < len(bad):
                 break
         else:
             i = len(kept) - 1
-            left = closure(prior + kept[:i]) & protected
+            left = before.violations(kept[:i])
         dropped.append(kept.pop(i))
         bad = left
     return kept, dropped, not bad
@@ -62,14 +117,15 @@ def plan_sessions(candidates: DataFrame, protected: DataFrame, session: bool = T
     """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        secret, prior, rows = set(right["claim"]), [], []
-        for query, g in left.sort_values(["query", "rank"]).groupby("query", sort=True):
-            facts = list(g[["fact_id", "level", "entity", "space", "claim"]].itertuples(index=False, name=None))
-            kept, dropped, safe = plan(facts, prior, secret)
-            rows.append((left["principal"].iloc[0], query, len(facts), len(kept), len(dropped), safe, len(kept) / len(facts) if facts else 1.0))
+        secret, rows = set(right["claim"]), []
+        ledger = Ledger(secret)
+        ranked = left.sort_values(["query", "rank"])[["principal", "query", "fact_id", "level", "entity", "space", "claim"]]
+        for (principal, query), g in groupby(ranked.itertuples(index=False, name=None), key=lambda r: r[:2]):
+            facts = [r[2:] for r in g]
+            kept, dropped, safe = plan(facts, ledger if session else Ledger(secret), secret)
+            rows.append((principal, query, len(facts), len(kept), len(dropped), safe, len(kept) / len(facts)))
             if session:
-                known = {p[0] for p in prior}
-                prior = prior + [f for f in kept if f[0] not in known]
+                ledger.add(kept)
         return pd.DataFrame(rows, columns=["principal", "query", "n_admissible", "n_disclosed", "n_suppressed", "safe", "retention"])
 
     return candidates.groupBy("principal").cogroup(protected.groupBy("principal")).applyInPandas(

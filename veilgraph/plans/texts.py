@@ -187,19 +187,19 @@ def latency_stats(spark, d):
     return read(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.round(F.max("value"), 6).alias("worst"))
 
 
-def _planning(spark, d):
-    """Thirty answers of twelve ranked facts each, for forty principals, and what is kept from them."""
+def _planning(spark, d, turns=30, size=12):
+    """What every principal may read, as answers of up to ``size`` ranked facts dealt over ``turns``, and what is kept from them."""
     c = Case(world(spark, d))
-    people = c.permitted.groupBy("principal").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "principal").limit(40).select("principal")
-    seen = c.w.facts0.join(c.permitted.join(people, "principal", "left_semi"), "space")
-    turn = lambda e: (F.pmod(F.xxhash64("principal", e), F.lit(30)))
+    seen = c.w.facts0.join(c.permitted, "space")
     from pyspark.sql import Window
 
-    rows = seen.withColumn("query", turn("entity"))
-    w = Window.partitionBy("principal", "query").orderBy("entity", "ord")
-    rows = rows.withColumn("rank", F.row_number().over(w)).filter("rank <= 12")
+    rows = seen.withColumn("turn", F.pmod(F.xxhash64("principal", "entity"), F.lit(turns)))
+    w = Window.partitionBy("principal", "turn").orderBy("entity", "ord")
+    # a turn with more than an answer holds goes on in answers after all first ones
+    rows = rows.withColumn("at", F.row_number().over(w) - 1).withColumn("query", F.col("turn") + turns * F.floor(F.col("at") / size)).withColumn("rank", F.col("at") % size + 1)
     rows = rows.select("principal", "query", "rank", "fact_id", F.lit(0).alias("level"), "entity", "space", F.lit("").alias("claim"))
-    denied = c.facts.select("claim", "req").crossJoin(c.perms.join(people, "principal", "left_semi")).filter(~P.admissible(F.col("perm"), F.col("req")))
+    refused = c.perms.select("perm").distinct().crossJoin(c.facts.select("req").distinct()).filter(~P.admissible(F.col("perm"), F.col("req")))
+    denied = refused.join(c.perms, "perm").join(c.facts.select("claim", "req"), "req")
     return rows, denied.select("principal", "claim")
 
 
