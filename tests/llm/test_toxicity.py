@@ -42,3 +42,14 @@ def test_no_labels_and_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in toxicity.op1(docs_of([(1, "x")]), none).collect()] == [0.0]
     assert toxicity.op1(docs_of([]), none).count() == 0
+
+
+def test_examples_are_distinct_texts(spark, docs_of):
+    rows = [(i, "one copied rude text") for i in range(400)] + [(1000 + i, f"rude text {i}") for i in range(4)] + [(2000 + i, f"calm text {i}") for i in range(3)]
+    kept = [r[0] for r in rows]
+    labels = spark.createDataFrame([(i, 1, int(i < 2000)) for i in kept], "doc_id long, quality int, toxic int")
+    found = [(r.label, r.text) for r in toxicity.labelled(docs_of(rows), labels, per_class=5)[0].collect()]
+    import zlib
+
+    used = [(int(i < 2000), t) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    assert len(found) == len(set(found)) and set(found) == set(used)

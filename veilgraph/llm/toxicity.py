@@ -2,7 +2,7 @@
 
 Terms are the starts of words (``PREFIXES`` characters long) and whole words, lower-cased.
 Of those in the labelled examples, the ``MOST_TERMS`` that the log-likelihood ratio test ties most
-firmly to either label, and at least with ``LEAST_G2``, are the vocabulary. Inverse document
+firmly to the toxic label, and at least with ``LEAST_G2``, are the vocabulary. Inverse document
 frequencies of its terms are counted over all documents. Each class gives up to
 ``EXAMPLES_PER_CLASS`` examples (lowest digests of distinct texts); their unit vectors are
 held in an inverted index whose postings, in blocks, carry the greatest weight within. A
@@ -51,26 +51,29 @@ def terms_of(text: str | None) -> set[str]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, per_class=EXAMPLES_PER_CLASS) -> tuple[DataFrame, dict[int, float]]:
-    """The examples (doc_id, text, label) and how many labelled rows stand behind each, by label.
+    """The examples (doc_id, text, label), of distinct texts within a label, and how many labelled rows stand behind each, by label.
 
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     count = {int(r["label"]): r["count"] for r in known.groupBy("label").count().collect()}
-    # Twice as many ids as examples, as some texts may be equal: a bounded number of rows.
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("vg_text", F.xxhash64("text"))
+    distinct = texts.select("doc_id", "vg_text").join(known, "doc_id").groupBy("label", "vg_text").agg(F.min("doc_id").alias("doc_id"))
+    # Twice as many texts as examples, for the choice of terms: a bounded number of rows.
     ids = None
     for label in sorted(count):
-        some = known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class)
+        some = distinct.filter(F.col("label") == label).orderBy("vg_text", "doc_id").limit(2 * per_class)
         ids = some if ids is None else ids.union(some)
     if ids is None:
         return docs.select("doc_id", "text", F.lit(0).alias("label")).limit(0), {}
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    return texts.dropDuplicates(["doc_id"]), {k: float(n) for k, n in count.items()}
+    chosen = texts.join(F.broadcast(ids), ["doc_id", "vg_text"]).dropDuplicates(["label", "vg_text"])
+    return chosen.select("doc_id", "text", "label"), {k: float(n) for k, n in count.items()}
 
 
 def choose_terms(examples: DataFrame, most=MOST_TERMS, least=LEAST_G2) -> list[str]:
-    """The terms that the log-likelihood ratio test (G2) ties to a label, the firmest first."""
+    """The terms that the log-likelihood ratio test (G2) ties to the toxic label, the firmest first."""
 
     def explode(batches):
         for pdf in batches:
@@ -259,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, counted=None, most_terms=MOST_TERMS,
     model = Model(terms, idf, None, np.empty(0), np.empty(0), rate, k)
     if not terms:
         return model, counts
-    own = term_counts(examples, terms).withColumn("vg_order", F.xxhash64("doc_id")).orderBy("vg_order", "doc_id").toPandas()
+    own = term_counts(examples.withColumn("vg_order", F.xxhash64("text")), terms).orderBy("vg_order", "doc_id").toPandas()
     vectors, ys, ids, empty, seen = [], [], [], {0: 0, 1: 0}, {0: 0, 1: 0}
     for doc_id, y, t, c in zip(own["doc_id"], own["label"], own["vg_terms"], own["vg_counts"]):
         y = int(y)
