@@ -19,13 +19,14 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .units import Encoder, load
+from .units import NEW_WORD, Encoder, load
 
-#: Texts that are worked on together.
-TOGETHER = 256
+#: Texts are worked on together in slices of about so many bytes and at most so many rows.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 4096
 
 
 def byte_symbols() -> dict[str, int]:
@@ -100,21 +101,32 @@ class Codec:
         tokenizer = load(path)
         self.table = MergeTable(path)
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
-        self.encoder = Encoder(tokenizer, self._units)
+        self.encoder = Encoder(tokenizer, self._apart, self._together)
         self.bytes = dict(self.table.token_bytes)
         self.bytes |= {i: t.content.encode() for i, t in tokenizer.get_added_tokens_decoder().items()}
 
-    def _units(self, units: list[str]) -> list[bytes]:
-        cut = [[p for p, _ in self.split(u)] for u in units]
-        distinct = sorted({p for pieces in cut for p in pieces})
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        distinct = sorted(set(pieces))
         ids = dict(zip(distinct, self.table.encode(distinct)))
-        return [b"".join([ids[p] for p in pieces]) for pieces in cut]
+        return [ids[p] for p in pieces]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _apart(self, strings: list[str]) -> list[bytes]:
+        cut = [[p for p, _ in self.split(s)] for s in strings]
+        ids = iter(self._pieces([p for pieces in cut for p in pieces]))
+        return [b"".join([next(ids) for _ in pieces]) for pieces in cut]
+
+    def _together(self, string: str):
+        pieces = [p for p, _ in self.split(string)]
+        found = self._pieces(pieces)
+        starts = np.cumsum([0, *[len(x) // 4 for x in found]]).tolist()
+        return np.frombuffer(b"".join(found), np.uint32), [s for p, s in zip(pieces, starts) if p[0] == NEW_WORD]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin, with the end."""
         return self.encoder.encode(texts)
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, np.uint32).tolist())).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 _codecs: dict[str, Codec] = {}
@@ -127,11 +139,19 @@ def codec(path: str) -> Codec:
 
 
 def in_slices(batches, text: str):
-    """(batch, texts) in slices of ``TOGETHER`` rows."""
+    """(batch, texts) in slices of about ``SLICE_BYTES`` and at most ``SLICE_ROWS``; longer texts are slices of their own."""
     for batch in batches:
-        for i in range(0, batch.num_rows, TOGETHER):
-            part = batch.slice(i, TOGETHER)
-            yield part, part.column(part.schema.get_field_index(text)).to_pylist()
+        at = batch.schema.get_field_index(text)
+        column = batch.column(at)
+        size = (pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length)(column).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        i = 0
+        while i < batch.num_rows:
+            before = ends[i - 1] if i else 0
+            j = min(max(int(np.searchsorted(ends, before + SLICE_BYTES, "right")), i + 1), i + SLICE_ROWS, batch.num_rows)
+            part = batch.slice(i, j - i)
+            yield part, part.column(at).to_pylist()
+            i = j
 
 
 def encode(docs: DataFrame, path: str, text="text") -> DataFrame:
@@ -141,8 +161,8 @@ def encode(docs: DataFrame, path: str, text="text") -> DataFrame:
     def run(batches):
         c = codec(path)
         for part, texts in in_slices(batches, text):
-            ids = [np.frombuffer(b, np.int32) for b in c.encode(texts)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*names, "vg_ids"])
+            ids, bounds = c.encode(texts)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))], names=[*names, "vg_ids"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("vg_ids", T.ArrayType(T.IntegerType()))]))
 
@@ -154,7 +174,7 @@ def decode(tokens: DataFrame, path: str, ids="vg_ids") -> DataFrame:
     def run(batches):
         c = codec(path)
         for part, lists in in_slices(batches, ids):
-            texts = [c.decode(np.asarray(x or [], np.uint32).tobytes()) for x in lists]
+            texts = [c.decode(np.asarray(x or [], np.uint32)) for x in lists]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, "vg_text"])
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("vg_text", T.StringType())]))
@@ -164,11 +184,12 @@ def op8(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         c = codec(path)
         for part, texts in in_slices(batches, "text"):
-            coded = c.encode(texts)
-            sha = [hashlib.sha256(b).hexdigest() for b in coded]
-            back = [hashlib.sha256(c.decode(b).encode("utf-8")).hexdigest() for b in coded]
+            ids, bounds = c.encode(texts)
+            each = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+            sha = [hashlib.sha256(x.tobytes()).hexdigest() for x in each]
+            back = [hashlib.sha256(c.decode(x).encode("utf-8")).hexdigest() for x in each]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(b) // 4 for b in coded], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())],
+                [part.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

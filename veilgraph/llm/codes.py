@@ -6,7 +6,7 @@ those, and so on. A rank directory counts the set bits before each stretch of
 ``STRETCH`` bits, so the chunk of a token on the next level is found without
 decoding what lies before it. A segment file holds whole documents: a header, the
 document table and the levels. Segments are rows of a Parquet table (part, seq,
-n_docs, n_tokens, payload), in ascending order of doc_id.
+first_id, last_id, n_docs, n_tokens, payload), in ascending order of doc_id.
 
 Defined results: null and empty texts have the end id alone; documents without an
 id come first; rows repeated under an id stand side by side, ordered by a digest of the text; an
@@ -32,6 +32,7 @@ STRETCH = 512
 END_ID = 2
 #: A segment is closed once it holds so many tokens.
 SEGMENT_TOKENS = 1 << 20
+SEGMENTS = "part int, seq int, first_id long, last_id long, n_docs long, n_tokens long, payload binary"
 
 
 class Level:
@@ -150,16 +151,17 @@ def write(docs: DataFrame, path: str, out: str, text="text", end_id=END_ID, segm
 
         def flush():
             payload = Segment.build(doc_ids, ids).dump()
+            ends = (part, pa.int32()), (seq, pa.int32()), (doc_ids[0], pa.int64()), (doc_ids[-1], pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (len(doc_ids), pa.int64()), (held, pa.int64()), (payload, pa.binary()))],
-                names=["part", "seq", "n_docs", "n_tokens", "payload"],
+                [pa.array([x], t) for x, t in (*ends, (len(doc_ids), pa.int64()), (held, pa.int64()), (payload, pa.binary()))], names=[f.split()[0] for f in SEGMENTS.split(", ")]
             )
 
-        end = np.uint32(end_id).tobytes()
+        end = np.array([end_id], np.uint32)
         for slice_, texts in in_slices(batches, "text"):
-            for doc_id, coded in zip(slice_.column(0).to_pylist(), encoder.encode(texts)):
+            coded, bounds = encoder.encode(texts)
+            for doc_id, a, b in zip(slice_.column(0).to_pylist(), bounds[:-1], bounds[1:]):
                 doc_ids.append(doc_id)
-                ids.append(np.frombuffer(coded + end, np.uint32))
+                ids.append(np.concatenate([coded[a:b], end]))
                 held += len(ids[-1])
                 if held >= segment_tokens:
                     yield flush()
@@ -167,15 +169,18 @@ def write(docs: DataFrame, path: str, out: str, text="text", end_id=END_ID, segm
         if doc_ids:
             yield flush()
 
-    rows = sorted_docs.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, payload binary")
+    rows = sorted_docs.mapInArrow(run, SEGMENTS)
     rows.write.option("compression", "zstd").parquet(out)
 
 
 def read(spark, out: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the segments of ``out``."""
     segments = spark.read.parquet(out)
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = segments.select("part", "seq", "n_tokens").withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).drop("n_tokens")
+    # sums over the parts, of which there are as many as tasks wrote, then within each
+    past = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", past(Window.orderBy("part")).alias("head"))
+    within = segments.select("part", "seq", past(Window.partitionBy("part").orderBy("seq")).alias("before"))
+    starts = within.join(parts, "part").select("part", "seq", (F.col("head") + F.col("before")).alias("base"))
 
     def run(batches):
         for batch in batches:
@@ -198,8 +203,8 @@ def read(spark, out: str) -> DataFrame:
 
 
 def token_at(spark, out: str, doc_id: int, place: int) -> int | None:
-    """One token of one document: reads the payload of its segment alone and decodes one token."""
-    here = spark.read.parquet(out)
+    """One token of one document: reads the payloads of the segments whose range of ids holds it, and decodes one token."""
+    here = spark.read.parquet(out).filter(F.lit(doc_id).between(F.col("first_id"), F.col("last_id")) | F.col("first_id").isNull())
 
     def find(batches):
         for batch in batches:
