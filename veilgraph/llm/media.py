@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import in_slices
-from .scratch import free, new_path, stash
+from .scratch import drop, new_path, stash, writing
 
 UNIT, RATE = 64, 8000
 LEAST, MEAN, MOST = 1024, 4096, 16384
 #: Chunks remembered by a task so as not to send them twice; forgetting one costs only a row.
 REMEMBERED = 100_000
+#: Bodies are dealt by digest one portion at a time, so that shuffle files never hold more than that part of all media.
+PORTIONS = 4
 
 
 def gear() -> np.ndarray:
@@ -130,7 +132,9 @@ def sharing(known: DataFrame) -> DataFrame:
     refs = stash(distinct.select(F.col("vg_media").alias("media"), F.posexplode("vg_chunks").alias("place", "digest")), "chunk-refs")
     many = refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("media", "place")).alias("owner")).filter("n > 1")
     places = refs.join(many.select("digest", "owner"), "digest").select("media", F.struct("place", (F.struct("media", "place") == F.col("owner")).alias("owned")).alias("s"))
-    return places.groupBy("media").agg(F.array_sort(F.collect_list("s")).alias("shared"))
+    shared = stash(places.groupBy("media").agg(F.array_sort(F.collect_list("s")).alias("shared")), "chunk-shared")
+    drop(refs)
+    return shared
 
 
 def bodies(docs: DataFrame, text="text") -> DataFrame:
@@ -165,9 +169,9 @@ def write_store(docs: DataFrame, known: DataFrame, text="text") -> str:
     Chunks that stand in one place only lie together in a row of kind ``whole`` (a media of nothing
     else) or ``part``, shared ones in a row of kind ``shared`` each.
     """
-    spark = docs.sparkSession
-    once = bodies(docs, text).groupBy("media").agg(F.first("body").alias("body"))
-    rows = once.join(sharing(known), "media", "left")
+    spark, shared = docs.sparkSession, sharing(known)
+    # Texts that differ in bytes 0 at their end alone may have the same media, so they are of one portion.
+    portion = F.pmod(F.xxhash64(F.rtrim(F.coalesce(text, F.lit("")), F.lit("\0"))), F.lit(PORTIONS))
 
     def run(batches):
         import zstandard
@@ -195,7 +199,12 @@ def write_store(docs: DataFrame, known: DataFrame, text="text") -> str:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["media", "digest", "lengths", "shared", "data", "kind"])
 
     out = new_path(spark, "chunks")
-    rows.select("media", "body", "shared").mapInArrow(run, STORE).write.option("compression", "none").partitionBy("kind").parquet(out)
+    for k in range(PORTIONS):
+        once = bodies(docs.filter(portion == k), text).groupBy("media").agg(F.first("body").alias("body"))
+        rows = once.join(shared, "media", "left").select("media", "body", "shared").mapInArrow(run, STORE)
+        with writing(spark):
+            rows.write.mode("append").option("compression", "none").partitionBy("kind").parquet(out)
+    drop(shared)
     return out
 
 
@@ -252,7 +261,6 @@ def op4(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", "text")
     known = stash(recipes(d), "recipes")
     store = write_store(d, known)
-    free(spark)
     found = read_back(spark, store, known)
     slim = known.select("doc_id", F.col("vg_n_bytes").alias("n_bytes"), "vg_media", F.size("vg_chunks").alias("n_chunks"))
     return slim.join(found, "vg_media").drop("vg_media")
