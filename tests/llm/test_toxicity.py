@@ -53,3 +53,118 @@ def test_examples_are_distinct_texts(spark, docs_of):
 
     used = [(int(i < 2000), t) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
     assert len(found) == len(set(found)) and set(found) == set(used)
+
+
+def brute_scores(rows, labels, k):
+    """Scores by dictionaries and dense cosines: what op1 says it computes, the slow way."""
+    import math
+    import re
+    import zlib
+
+    terms = lambda t: [w[: toxicity.PREFIX] for x in (t or "").split() for w in re.findall(r"[^\W_]+", x.lower())]
+    known = {}
+    for i, _, y in labels:
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5:
+            known[i] = max(y, known.get(i, 0))
+    behind = [sum(1 for y in known.values() if y == c) for c in (0, 1)]
+    examples = sorted({(known[i], t or ""): i for i, t in sorted(rows, reverse=True) if i in known}.items(), key=lambda e: e[1])
+    ys, texts, ids = [e[0][0] for e in examples], [e[0][1] for e in examples], [e[1] for e in examples]
+    n = [ys.count(0), ys.count(1)]
+    df = {}
+    for _, t in rows:
+        for x in set(terms(t)):
+            df[x] = df.get(x, 0) + 1
+    has = {}
+    for y, t in zip(ys, texts):
+        for x in set(terms(t)):
+            has.setdefault(x, [0, 0])[y] += 1
+
+    def worth(x):
+        rate, g2 = sum(has[x]) / sum(n), 0.0
+        for c in (0, 1):
+            for seen, expected in ((has[x][c], rate * n[c]), (n[c] - has[x][c], (1 - rate) * n[c])):
+                g2 += 2 * seen * math.log(seen / expected) if seen else 0.0
+        return (math.log((len(rows) + 1) / (df[x] + 1)) + 1) * (toxicity.FLOOR + min(max(g2, 0) / toxicity.SURE, 1.0) ** 2)
+
+    def vector(t):
+        tf = {}
+        for x in terms(t):
+            if x in has:
+                tf[x] = tf.get(x, 0) + 1
+        v = {x: (1 + math.log(c)) * worth(x) for x, c in tf.items()}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {x: w / norm for x, w in v.items()}
+
+    vectors = [vector(t) for t in texts]
+    strongest = lambda v: max(v.values(), default=0)
+    assert all(strongest(v) > 0 for v in vectors)
+    each = [behind[c] / n[c] for c in (0, 1)]
+    votes = [e / max(each) for e in each]
+
+    def share(v, skip=None):
+        c = sorted(((sum(w * e.get(x, 0.0) for x, w in v.items()), j) for j, e in enumerate(vectors) if j != skip), reverse=True)
+        near = [(min(x, 1.0), j) for x, j in c if x > 0][:k]
+        w = [(votes[ys[j]] * x * x / (1 + toxicity.EPS - x), ys[j]) for x, j in near]
+        return (sum(a for a, y in w if y) / (sum(a for a, _ in w) + toxicity.DOUBT * votes[1])) if near else None
+
+    own = [share(v, j) for j, v in enumerate(vectors)]
+    kept = [j for j, s in enumerate(own) if s is not None]
+    ends, rates = toxicity.monotone(np.array([own[j] for j in kept]), np.array([ys[j] for j in kept]), np.array([each[ys[j]] for j in kept]))
+
+    def score(t):
+        s = share(vector(t))
+        if s is None:
+            return behind[1] / sum(behind)
+        at = min(int(np.searchsorted(ends, s)), len(rates) - 1)
+        lo, hi = (rates[at - 1], rates[at]) if at else (rates[0], rates[0])
+        return float(np.clip(hi - 1e-3 * (1 - s), min(lo, hi), hi))
+
+    return [score(t) for _, t in rows]
+
+
+def test_scores_match_brute_force(spark, docs_of):
+    import random
+
+    rng = random.Random(5)
+    vocab = [f"{chr(97 + i % 26)}{chr(98 + i % 24)}word{i}" for i in range(60)]
+    rude = ["rotter!", "(STINKER)", "oafish-loutish"]
+    rows, labels = [], []
+    for i in range(90):
+        words = [rng.choice(vocab) for _ in range(rng.randint(3, 12))]
+        bad = i % 3 == 0
+        if bad:
+            words.insert(rng.randrange(len(words)), rng.choice(rude))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(bad)))
+    rows += [(500, None), (501, ""), (502, "!!!"), (503, "unknownword"), (504, " ".join(vocab * 40)), (504, rows[0][1]), (505, rows[0][1])]
+    found = toxicity.op1(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert found.count() == len(rows)
+    want = {}
+    for (i, t), s in zip(rows, brute_scores(rows, labels, toxicity.NEIGHBOURS)):
+        want.setdefault(i, []).append(s)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    assert all(np.allclose(sorted(got[i]), sorted(want[i]), atol=1e-6) for i in want)
+    by_text = {t: {round(s, 12) for i, u in rows if u == t for s in got[i] if i != 504} for _, t in rows}
+    assert len(by_text[rows[0][1]]) == 1  # equal texts have equal scores
+
+
+def test_every_text_that_shares_a_term_has_evidence(spark, docs_of):
+    rows = [(i, f"common words here {'rude' if i % 2 else 'calm'} {i}") for i in range(60)] + [(100, "here"), (101, "nothing known")]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r.vg_evidence for r in toxicity.score(docs_of(rows), labels).collect()}
+    assert all(found[i] for i in range(60)) and found[100] and not found[101]
+
+
+def test_names_that_clash_and_long_texts(spark, docs_of):
+    import pytest
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"plain {i} words " + ("vile" if i % 2 else "kind")) for i in range(40)] + [(77, "kind " * 400_000), (78, "vile words")]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = docs_of(rows).withColumn("vg_terms", F.lit(1)).withColumn("vg_text", F.lit("x")).withColumn("vg_score", F.lit(2))
+    left = toxicity.keep_harmless(docs, labels)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i in range(0, 40, 2)} | {77}
+    with pytest.raises(ValueError, match="vg_score"):
+        toxicity.score(docs, labels)

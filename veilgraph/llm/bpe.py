@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .units import NEW_WORD, Encoder, load
 
-#: Texts are worked on together in slices of about so many bytes and at most so many rows.
-SLICE_BYTES, SLICE_ROWS = 4 << 20, 4096
+#: Texts are worked on together in slices of about so many bytes and at most so many rows; encoding gains from longer ones.
+SLICE_BYTES, SLICE_ROWS, ENCODED_BYTES = 1 << 20, 4096, 4 << 20
 
 
 def byte_symbols() -> dict[str, int]:
@@ -138,8 +138,8 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def in_slices(batches, text: str):
-    """(batch, texts) in slices of about ``SLICE_BYTES`` and at most ``SLICE_ROWS``; longer texts are slices of their own."""
+def in_slices(batches, text: str, most=SLICE_BYTES):
+    """(batch, texts) in slices of about ``most`` bytes and at most ``SLICE_ROWS``; longer texts are slices of their own."""
     for batch in batches:
         at = batch.schema.get_field_index(text)
         column = batch.column(at)
@@ -148,7 +148,7 @@ def in_slices(batches, text: str):
         i = 0
         while i < batch.num_rows:
             before = ends[i - 1] if i else 0
-            j = min(max(int(np.searchsorted(ends, before + SLICE_BYTES, "right")), i + 1), i + SLICE_ROWS, batch.num_rows)
+            j = min(max(int(np.searchsorted(ends, before + most, "right")), i + 1), i + SLICE_ROWS, batch.num_rows)
             part = batch.slice(i, j - i)
             yield part, part.column(at).to_pylist()
             i = j
@@ -160,7 +160,7 @@ def encode(docs: DataFrame, path: str, text="text") -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for part, texts in in_slices(batches, text):
+        for part, texts in in_slices(batches, text, ENCODED_BYTES):
             ids, bounds = c.encode(texts)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))], names=[*names, "vg_ids"])
 
@@ -183,7 +183,7 @@ def decode(tokens: DataFrame, path: str, ids="vg_ids") -> DataFrame:
 def op8(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         c = codec(path)
-        for part, texts in in_slices(batches, "text"):
+        for part, texts in in_slices(batches, "text", ENCODED_BYTES):
             ids, bounds = c.encode(texts)
             each = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
             sha = [hashlib.sha256(x.tobytes()).hexdigest() for x in each]

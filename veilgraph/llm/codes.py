@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import in_slices
+from .bpe import ENCODED_BYTES, in_slices
 from .scratch import new_path
 from .units import library_encoder
 
@@ -157,7 +157,7 @@ def write(docs: DataFrame, path: str, out: str, text="text", end_id=END_ID, segm
             )
 
         end = np.array([end_id], np.uint32)
-        for slice_, texts in in_slices(batches, "text"):
+        for slice_, texts in in_slices(batches, "text", ENCODED_BYTES):
             coded, bounds = encoder.encode(texts)
             for doc_id, a, b in zip(slice_.column(0).to_pylist(), bounds[:-1], bounds[1:]):
                 doc_ids.append(doc_id)

@@ -1,10 +1,10 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are the starts of words (``PREFIXES`` characters long) and whole words, lower-cased.
-Of those in the labelled examples, the ``MOST_TERMS`` that the log-likelihood ratio test ties most
-firmly to the toxic label, and at least with ``LEAST_G2``, are the vocabulary. Inverse document
-frequencies of its terms are counted over all documents. Each class gives up to
-``EXAMPLES_PER_CLASS`` examples (lowest digests of distinct texts); their unit vectors are
+Terms are words, lower-cased and cut to their first ``PREFIX`` characters. Each label gives up to
+``EXAMPLES_PER_CLASS`` examples (lowest digests of distinct texts), and all terms of theirs are the vocabulary. A term
+weighs ``(1 + log count) * idf * (FLOOR + telling)``: inverse document frequencies are counted over all
+documents, and ``telling``, up to 1, is the square of the term's log-likelihood ratio against the labels (G2 over ``SURE``), so that words
+that say nothing about the label still tell documents apart, but faintly. The unit vectors of the examples are
 held in an inverted index whose postings, in blocks, carry the greatest weight within. A
 document's ``NEIGHBOURS`` nearest examples are exact: blocks are passed over only where their
 bounds cannot reach the least cosine kept. Votes are weighted by ``cosine^2 / (1 + EPS - cosine)``
@@ -13,41 +13,80 @@ a monotone fit to the leave-one-out shares of the examples. Labels, languages, s
 ids are no input of a score: equal texts have equal scores.
 
 Defined results: null and empty texts, and texts with no term of the vocabulary, score
-as the examples that have none; without labels of both classes everything scores the share of
-toxic labels (0 where there are none); ties in cosine go to the lower example number; labels repeated
+as the share of toxic labels, as do all texts where there are no labels of both classes (0 without labels);
+ties in cosine go to the lower example number; labels repeated
 under an id count as toxic if any is; repeated rows are each scored; an empty table gives an
-empty result; extra columns pass through (the columns added start with ``vg_``).
+empty result; extra columns pass through (the columns added are ``vg_score`` and ``vg_evidence``; a table that
+has them already is refused).
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from dataclasses import dataclass, field
 
-import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import in_slices
 from .scratch import stash
+from .units import ranges
 
-PREFIXES = (4, 5, 6)
-MOST_TERMS, LEAST_G2, EXAMPLES_PER_CLASS, NEIGHBOURS, EPS, DOUBT, BLOCK = 512, 40.0, 2000, 15, 0.05, 0.5, 64
-COUNTS = T.ArrayType(T.IntegerType())
+PREFIX, EXAMPLES_PER_CLASS, NEIGHBOURS, EPS, DOUBT, BLOCK = 5, 2000, 15, 0.05, 0.5, 64
+SURE, FLOOR, COMMON = 40.0, 0.005, 0.2
 EVIDENCE = T.ArrayType(T.StructType().add("doc_id", "long").add("cosine", "double").add("label", "integer"))
 SPLIT_WORDS = re.compile(r"[^\W_]+")
+#: Marks that stand around words.
+MARKS = ".,;:!?\"'()[]{}|*_-"
+#: Terms of a slice of the document frequencies.
+SLICE = 1 << 14
 
 
-def terms_of(text: str | None) -> set[str]:
-    """Whole words as ``word$``, starts of words as themselves."""
-    words = set(SPLIT_WORDS.findall((text or "").lower()))
-    found = {w + "$" for w in words}
-    for n in PREFIXES:
-        found.update(w[:n] for w in words if len(w) >= n)
-    return found
+def slice_terms(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Terms of the slice, the number of the term of each word of all texts, and where each text's words begin, with the end.
+
+    Terms may be repeated. The distinct runs without ASCII white space are taken apart: most are a word and marks around it.
+    """
+    split = pc.ascii_split_whitespace(pc.fill_null(pa.array(texts, pa.large_string()), ""))
+    flat = split.flatten().dictionary_encode()
+    runs, codes, bounds = pc.utf8_lower(flat.dictionary), flat.indices.to_numpy(), split.offsets.to_numpy()
+    core = pc.utf8_trim(runs, characters=MARKS)
+    plain = pc.utf8_is_alnum(core).to_numpy(zero_copy_only=False)
+    odd = np.flatnonzero(~plain)
+    found = [SPLIT_WORDS.findall(x) for x in runs.take(pa.array(odd)).to_pylist()]
+    n = plain.astype(np.int64)
+    n[odd] = [len(f) for f in found]
+    begins = np.empty(len(n), np.int64)
+    begins[plain] = np.arange(int(plain.sum()))
+    begins[odd] = int(plain.sum()) + np.cumsum(n[odd]) - n[odd]
+    words = pa.concat_arrays([core.filter(pa.array(plain)), pa.array([w for f in found for w in f], core.type)])
+    ends = np.r_[0, np.cumsum(n[codes])]
+    return pc.utf8_slice_codeunits(words, 0, PREFIX), ranges(begins[codes], n[codes]), ends[bounds]
+
+
+def counted(ids: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids (ascending) of each text and their counts, one after the other, and where each text's begin, with the end; ids below 0 do not count."""
+    key = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * size + ids
+    key, counts = np.unique(key[ids >= 0], return_counts=True)
+    return key % size, counts, np.searchsorted(key // size, np.arange(len(bounds)))
+
+
+class Counter:
+    """Counts the vocabulary's terms in texts."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.size, self.terms = len(vocabulary), pa.array(vocabulary, pa.large_string())
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        terms, words, bounds = slice_terms(texts)
+        ids = pc.fill_null(pc.index_in(terms, value_set=self.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return counted(ids[words], bounds, max(self.size, 1))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, per_class=EXAMPLES_PER_CLASS) -> tuple[DataFrame, dict[int, float]]:
@@ -61,10 +100,9 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class=EXAMPLES_PER_CLASS) -
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("vg_text", F.xxhash64("text"))
     distinct = texts.select("doc_id", "vg_text").join(known, "doc_id").groupBy("label", "vg_text").agg(F.min("doc_id").alias("doc_id"))
-    # Twice as many texts as examples, for the choice of terms: a bounded number of rows.
     ids = None
     for label in sorted(count):
-        some = distinct.filter(F.col("label") == label).orderBy("vg_text", "doc_id").limit(2 * per_class)
+        some = distinct.filter(F.col("label") == label).orderBy("vg_text", "doc_id").limit(per_class)
         ids = some if ids is None else ids.union(some)
     if ids is None:
         return docs.select("doc_id", "text", F.lit(0).alias("label")).limit(0), {}
@@ -72,104 +110,137 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class=EXAMPLES_PER_CLASS) -
     return chosen.select("doc_id", "text", "label"), {k: float(n) for k, n in count.items()}
 
 
-def choose_terms(examples: DataFrame, most=MOST_TERMS, least=LEAST_G2) -> list[str]:
-    """The terms that the log-likelihood ratio test (G2) ties to the toxic label, the firmest first."""
-
-    def explode(batches):
-        for pdf in batches:
-            for text, label in zip(pdf["text"], pdf["label"]):
-                found = sorted(terms_of(text))
-                yield pd.DataFrame({"term": found, "label": np.full(len(found), label, np.int64)})
-
-    sizes = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return []
-    seen = examples.select("text", F.col("label").cast("long").alias("label")).mapInPandas(explode, "term string, label long")
-    table = seen.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(F.lit(0.0))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    rate = (a + b) / F.lit(float(n1 + n0))
-    g2 = 2 * (part(a, rate * n1) + part(b, rate * n0) + part(n1 - a, (1 - rate) * n1) + part(n0 - b, (1 - rate) * n0))
-    best = table.withColumn("g2", g2).filter((F.col("g2") >= least) & (a / n1 > b / n0)).orderBy(F.desc("g2"), "term").limit(most)
-    return [r["term"] for r in best.collect()]
-
-
-class Matcher:
-    """Counts the vocabulary's terms in a text, all in one pass over it."""
-
-    def __init__(self, terms: list[str]):
-        self.size = len(terms)
-        self.automaton = ahocorasick.Automaton()
-        for i, t in enumerate(terms):
-            self.automaton.add_word(" " + (t[:-1] + " " if t.endswith("$") else t), i)
-        if terms:
-            self.automaton.make_automaton()
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        if not text or not self.size:
-            return np.empty(0, np.int32), np.empty(0, np.int32)
-        plain = " " + " ".join(SPLIT_WORDS.findall(text.lower())) + " "
-        hits = np.fromiter((i for _, i in self.automaton.iter(plain)), np.int32)
-        return np.unique(hits, return_counts=True) if len(hits) else (hits, hits)
+def example_terms(examples: DataFrame) -> DataFrame:
+    """doc_id, label, terms, counts of the examples."""
+
+    def run(batches):
+        for b, texts in in_slices(batches, "text"):
+            terms, words, bounds = slice_terms(texts)
+            terms = terms.dictionary_encode()
+            ids, counts, ends = counted(terms.indices.to_numpy().astype(np.int64)[words], bounds, max(len(terms.dictionary), 1))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (terms.dictionary.take(pa.array(ids)).cast(pa.string()), pa.array(counts, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists], names=["doc_id", "label", "terms", "counts"])
+
+    return examples.select("doc_id", "text", F.col("label").cast("long")).mapInArrow(run, "doc_id long, label long, terms array<string>, counts array<long>")
+
+
+def telling(has: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each term, from how many examples of each label have it (terms x 2) out of ``n``: (G2 / SURE)^2, 1 at most."""
+    part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / np.maximum(e, 1e-300)), 0.0)
+    rate = has.sum(1, keepdims=True) / n.sum()
+    g2 = 2 * (part(has, rate * n) + part(n - has, (1 - rate) * n)).sum(1)
+    return np.minimum(np.maximum(g2, 0) / SURE, 1.0) ** 2
+
+
+def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
+    """In how many rows of ``docs`` (text) each term stands, and how many rows there are.
+
+    Every task sends its counts in packed slices, so what is shuffled hangs on tasks and on the vocabulary, which the
+    sample bounds.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches):
+        counter, total, rows = Counter(sent.value), np.zeros(len(sent.value), np.uint32), 0
+        for _, texts in in_slices(batches, "text"):
+            rows += len(texts)
+            total += np.bincount(counter(texts)[0], minlength=len(total)).astype(np.uint32)
+        parts = [(-1, np.uint32(rows).tobytes())] + [(i, total[i : i + SLICE].tobytes()) for i in range(0, len(total), SLICE) if total[i : i + SLICE].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([zlib.compress(x, 1) for _, x in parts], pa.binary())], names=["part", "counts"])
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.int64)
+                held[part] = held[part] + x if part in held else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "counts"])
+
+    kinds, df, rows = "part int, counts binary", np.zeros(len(vocabulary), np.int64), 0
+    for r in docs.select("text").mapInArrow(count, kinds).repartition("part").mapInArrow(add, kinds).collect():
+        x = np.frombuffer(bytes(r["counts"]), np.int64)
+        if r["part"] < 0:
+            rows = int(x[0])
+        else:
+            df[r["part"] : r["part"] + len(x)] = x
+    return df, rows
 
 
 @dataclass
 class Index:
-    """Inverted lists of unit vectors, in blocks of ``BLOCK`` examples with the greatest weight of each."""
+    """Inverted lists of unit vectors: a term's cells, one for each block of ``BLOCK`` examples that have it, with the
+    greatest weight within, and each cell's postings. The lists of terms that ``COMMON`` of the examples have are rows of a matrix."""
 
     labels: np.ndarray
     ids: np.ndarray
-    starts: np.ndarray
+    n_blocks: int
+    cells: np.ndarray  # where a term's cells begin, with the end
+    blocks: np.ndarray
+    greatest: np.ndarray
+    starts: np.ndarray  # where a cell's postings begin, with the end
     examples: np.ndarray
     weights: np.ndarray
-    n_blocks: int
-    block_max: np.ndarray  # term x block
+    row: np.ndarray  # a common term's row of the matrix, else -1
+    matrix: np.ndarray
     votes: np.ndarray = field(default_factory=lambda: np.ones(2))
 
     @classmethod
     def build(cls, vectors, labels, ids, n_terms: int) -> Index:
-        rows = np.concatenate([np.full(len(t), i) for i, (t, _) in enumerate(vectors)] + [np.empty(0, np.int64)]).astype(np.int64)
+        rows = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]).astype(np.int32)
         terms = np.concatenate([t for t, _ in vectors] + [np.empty(0, np.int64)]).astype(np.int64)
         weights = np.concatenate([w for _, w in vectors] + [np.empty(0)])
+        n_blocks = max(1, -(-len(vectors) // BLOCK))
+        common = np.flatnonzero(np.bincount(terms, minlength=n_terms) > COMMON * len(vectors))
+        row = np.full(n_terms, -1, np.int64)
+        row[common] = np.arange(len(common))
+        matrix, dense = np.zeros((len(common), n_blocks * BLOCK)), row[terms] >= 0
+        matrix[row[terms[dense]], rows[dense]] = weights[dense]
+        rows, terms, weights = rows[~dense], terms[~dense], weights[~dense]
         order = np.lexsort((rows, terms))
         rows, terms, weights = rows[order], terms[order], weights[order]
-        n_blocks = max(1, -(-len(vectors) // BLOCK))
-        block_max = np.zeros((n_terms, n_blocks))
-        np.maximum.at(block_max, (terms, rows // BLOCK), weights)
-        return cls(np.asarray(labels), np.asarray(ids), np.searchsorted(terms, np.arange(n_terms + 1)), rows, weights, n_blocks, block_max)
+        cell = terms * n_blocks + rows // BLOCK
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
+        greatest = np.maximum.reduceat(weights, starts) if len(cell) else np.empty(0)
+        at = np.searchsorted(cell[starts] // n_blocks, np.arange(n_terms + 1))
+        return cls(
+            np.asarray(labels), np.asarray(ids), n_blocks, at, (cell[starts] % n_blocks).astype(np.int32), greatest, np.r_[starts, len(cell)], rows, weights, row, matrix
+        )
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of the greatest positive cosine, exactly; ``skip`` is left out."""
-        bound = weights @ self.block_max[terms]
-        best_c, best_i = np.empty(0), np.empty(0, np.int64)
-        lists = [(self.examples[s:e], self.weights[s:e]) for s, e in zip(self.starts[terms], self.starts[terms + 1])]
-        order = np.argsort(-bound, kind="stable")
-        at = 0
-        while at < len(order) and bound[order[at]] > 0:
-            if len(best_c) == k and bound[order[at]] < best_c[-1] - 1e-12:
-                break
-            group = np.sort(order[at : at + 8])  # blocks opened together
-            at += 8
-            slot = np.full(self.n_blocks, -1, np.int64)
-            slot[group] = np.arange(len(group))
-            score = np.zeros(len(group) * BLOCK)
-            for (rows, w), q in zip(lists, weights):
-                if len(group) * 2 >= self.n_blocks:
-                    r, x = rows, w
-                else:
-                    cut = [slice(*np.searchsorted(rows, (b * BLOCK, (b + 1) * BLOCK))) for b in group]
-                    r, x = np.concatenate([rows[c] for c in cut]), np.concatenate([w[c] for c in cut])
-                s = slot[r // BLOCK]
-                ok = s >= 0
-                score[s[ok] * BLOCK + r[ok] % BLOCK] += q * x[ok]
-            found = np.flatnonzero(score > 0)
-            rows = group[found // BLOCK] * BLOCK + found % BLOCK
-            keep = rows != skip
-            c, i = np.concatenate([best_c, score[found][keep]]), np.concatenate([best_i, rows[keep]])
-            top = np.lexsort((i, -np.round(c, 12)))[:k]
-            best_c, best_i = c[top], i[top]
-        return np.minimum(best_c, 1.0), best_i
+        row = self.row[terms]
+        dense, size = row >= 0, len(self.labels)
+        score = weights[dense] @ self.matrix[row[dense]]
+        terms, weights = terms[~dense], weights[~dense]
+        n = self.cells[terms + 1] - self.cells[terms]
+        cells, q = ranges(self.cells[terms], n), np.repeat(weights, n)
+        blocks = self.blocks[cells]
+        bound = score.reshape(-1, BLOCK).max(axis=1) + np.bincount(blocks, q * self.greatest[cells], self.n_blocks)
+
+        def opened(which: np.ndarray) -> float:
+            """Completes the scores of the examples of these blocks; returns the ``k``-th best score so far, or 0."""
+            shut[which] = False
+            mask = np.zeros(self.n_blocks, bool)
+            mask[which] = True
+            take = mask[blocks]
+            c = cells[take]
+            m = self.starts[c + 1] - self.starts[c]
+            p = ranges(self.starts[c], m)
+            score[:] += np.bincount(self.examples[p], np.repeat(q[take], m) * self.weights[p], len(score))
+            if skip >= 0:
+                score[skip] = 0
+            done = score.reshape(-1, BLOCK)[~shut].ravel()
+            return float(np.partition(done, -k)[-k]) if len(done) >= k else 0.0
+
+        shut = np.ones(self.n_blocks, bool)
+        least = opened(np.argsort(-bound, kind="stable")[:4])
+        rest = np.flatnonzero(shut & (bound >= least - 1e-9))
+        if len(rest):
+            least = opened(rest)
+        score.reshape(-1, BLOCK)[shut] = 0
+        found = np.flatnonzero((score[:size] > 0) & (score[:size] >= least - 1e-9))
+        top = found[np.lexsort((found, -np.round(score[found], 12)))[:k]]
+        return np.minimum(score[top], 1.0), top
 
     def share(self, cosines: np.ndarray, rows: np.ndarray) -> float:
         w = self.votes[self.labels[rows]] * cosines**2 / (1 + EPS - cosines)
@@ -178,108 +249,80 @@ class Index:
 
 
 def monotone(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: upper ends of the shares' ranges and the share of toxic rows in each."""
+    """Pool adjacent violators: upper ends of the shares' ranges (midway to the next range) and the share of toxic rows in each."""
     order = np.argsort(shares, kind="stable")
-    pools: list[list[float]] = []
+    pools: list[list[float]] = []  # toxic weight, weight, least share, greatest share
     for s, y, w in zip(shares[order], labels[order], weights[order]):
-        if pools and pools[-1][2] == s:
+        if pools and pools[-1][3] == s:
             pools[-1][0] += w * y
             pools[-1][1] += w
         else:
-            pools.append([w * y, w, s])
+            pools.append([w * y, w, s, s])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             top = pools.pop()
-            pools[-1] = [pools[-1][0] + top[0], pools[-1][1] + top[1], top[2]]
-    ends = np.array([p[2] for p in pools])
+            pools[-1] = [pools[-1][0] + top[0], pools[-1][1] + top[1], pools[-1][2], top[3]]
+    ends = np.array([(p[3] + q[2]) / 2 for p, q in zip(pools, pools[1:])] + [p[3] for p in pools[-1:]])
     rates = np.array([(p[0] + 0.05) / (p[1] + 0.1) for p in pools])
     return ends, np.maximum.accumulate(rates)
 
 
 class Model:
-    """What :func:`fit` learns; small and of bounded size, so it is sent to every worker."""
+    """What :func:`fit` learns; the sample bounds its size (some tens of MB), so it is sent to every worker."""
 
-    def __init__(self, terms, idf, index, ends, rates, none_score, k):
-        self.terms, self.idf, self.index, self.ends, self.rates, self.none_score, self.k = terms, idf, index, ends, rates, none_score, k
-        self.memo: dict = {}
+    def __init__(self, vocabulary, worth, index, ends, rates, rate, k):
+        self.vocabulary, self.worth, self.index, self.ends, self.rates, self.rate, self.k = vocabulary, worth, index, ends, rates, rate, k
 
     def vector(self, terms, counts):
-        w = (1 + np.log(counts)) * self.idf[terms]
+        w = (1 + np.log(counts)) * self.worth[terms]
         norm = math.sqrt(float(w @ w))
         return w / norm if norm else w
 
     def score(self, terms, counts):
         """score, ids, cosines and labels of the evidence."""
-        if not len(terms) or self.index is None:
-            return self.none_score, (), (), ()
-        key = (terms.tobytes(), counts.tobytes())
-        if key not in self.memo:
-            if len(self.memo) > 50_000:
-                self.memo.clear()
-            c, i = self.index.nearest(terms, self.vector(terms, counts), self.k)
-            if len(i):
-                s = self.index.share(c, i)
-                at = min(int(np.searchsorted(self.ends, s)), len(self.rates) - 1)
-                lo, hi = (self.rates[at - 1], self.rates[at]) if at else (self.rates[0], self.rates[0])
-                # within a range the share itself still orders documents
-                score = float(np.clip(hi - 1e-3 * (1 - s), min(lo, hi), hi))
-            else:
-                score = self.none_score
-            self.memo[key] = (score, self.index.ids[i], c, self.index.labels[i])
-        return self.memo[key]
-
-
-def term_counts(docs: DataFrame, terms: list[str], text="text") -> DataFrame:
-    """``docs`` with vg_terms and vg_counts: how often each term of the vocabulary stands in the text."""
-    names = [c for c in docs.columns if c != text]
-
-    def count(batches):
-        matcher = Matcher(terms)
-        for pdf in batches:
-            found = [matcher.counts(t) for t in pdf[text]]
-            out = pdf[names].copy()
-            out["vg_terms"] = [t.astype(np.int32) for t, _ in found]
-            out["vg_counts"] = [c.astype(np.int32) for _, c in found]
-            yield out
-
-    schema = docs.select(*names).schema.add("vg_terms", COUNTS).add("vg_counts", COUNTS)
-    return docs.mapInPandas(count, schema)
-
-
-def fit(docs: DataFrame, labels: DataFrame, counted=None, most_terms=MOST_TERMS, per_class=EXAMPLES_PER_CLASS, k=NEIGHBOURS) -> tuple[Model, DataFrame]:
-    """The model, and the term counts of all documents (key, vg_terms, vg_counts) it was fitted with.
-
-    ``counted`` makes the table of term counts from the vocabulary.
-    """
+        if self.index is None or not len(terms):
+            return self.rate, (), (), ()
+        c, i = self.index.nearest(terms, self.vector(terms, counts), self.k)
+        if not len(i):
+            return self.rate, (), (), ()
+        s = self.index.share(c, i)
+        at = min(int(np.searchsorted(self.ends, s)), len(self.rates) - 1)
+        lo, hi = (self.rates[at - 1], self.rates[at]) if at else (self.rates[0], self.rates[0])
+        # within a range the share itself still orders documents
+        return float(np.clip(hi - 1e-3 * (1 - s), min(lo, hi), hi)), self.index.ids[i], c, self.index.labels[i]
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class=EXAMPLES_PER_CLASS, k=NEIGHBOURS) -> Model:
+    """The model of ``docs`` (doc_id, text)."""
     examples, behind = labelled(docs, labels, per_class)
-    examples = stash(examples.select("doc_id", "text", "label"), "tox-examples")
-    terms = choose_terms(examples, most_terms)
-    counts = counted(terms)
-    n = max(counts.count(), 1)
-    df = {r["t"]: r["n"] for r in counts.select(F.explode("vg_terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = np.array([math.log((n + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))])
     total = sum(behind.values())
     rate = behind.get(1, 0.0) / total if total else 0.0
-    model = Model(terms, idf, None, np.empty(0), np.empty(0), rate, k)
-    if not terms:
-        return model, counts
-    own = term_counts(examples.withColumn("vg_order", F.xxhash64("text")), terms).orderBy("vg_order", "doc_id").toPandas()
-    vectors, ys, ids, empty, seen = [], [], [], {0: 0, 1: 0}, {0: 0, 1: 0}
-    for doc_id, y, t, c in zip(own["doc_id"], own["label"], own["vg_terms"], own["vg_counts"]):
-        y = int(y)
-        if seen[y] == per_class:
-            continue
-        seen[y] += 1
-        t, c = np.asarray(t, np.int64), np.asarray(c, np.int64)
-        if len(t):
-            vectors.append((t, model.vector(t, c)))
-            ys.append(y)
-            ids.append(doc_id)
-        else:
-            empty[y] += 1
-    each = np.array([behind.get(y, 0.0) / max(seen[y], 1) for y in (0, 1)])  # rows that an example stands for
-    none = each * [empty[0], empty[1]]
-    model.none_score = float((none[1] + 0.05) / (none.sum() + 0.1))
-    index = Index.build(vectors, ys, ids, len(terms))
+    nothing = Model([], np.empty(0), None, np.empty(0), np.empty(0), rate, k)
+    if len(behind) < 2:
+        return nothing
+    own = stash(example_terms(examples), "tox-examples").toArrow()
+    ys, ids, flat = own["label"].to_numpy(), own["doc_id"].to_numpy(), pc.list_flatten(own["terms"]).combine_chunks().dictionary_encode()
+    if not len(flat) or len(set(ys.tolist())) < 2:
+        return nothing
+    vocabulary = flat.dictionary.to_pylist()
+    terms, counts = flat.indices.to_numpy().astype(np.int64), pc.list_flatten(own["counts"]).to_numpy()
+    sizes = pc.list_value_length(own["terms"]).to_numpy()
+    n = np.bincount(ys, minlength=2).astype(float)
+    has = np.stack([np.bincount(terms, np.repeat(ys == y, sizes), len(vocabulary)) for y in (0, 1)], axis=1)
+    df, n_docs = document_frequencies(docs, vocabulary)
+    worth = (np.log((n_docs + 1) / (df + 1)) + 1) * (FLOOR + telling(has, n))
+    model = Model(vocabulary, worth, None, np.empty(0), np.empty(0), rate, k)
+    ends = np.cumsum(sizes)
+    vectors = []
+    for a, b in zip(ends - sizes, ends):
+        order = np.argsort(terms[a:b])
+        t = terms[a:b][order]
+        vectors.append((t, model.vector(t, counts[a:b][order])))
+    # examples with the same strongest term lie together, so that the blocks' bounds are tight
+    strongest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
+    order = np.lexsort((ids, strongest, ys))
+    vectors, ys, ids = [vectors[i] for i in order], ys[order], ids[order]
+    index = Index.build(vectors, ys, ids, len(vocabulary))
+    each = np.array([behind.get(y, 0.0) for y in (0, 1)]) / n  # rows that an example stands for
     index.votes = each / each.max()
     shares, kept = [], []
     for i, (t, w) in enumerate(vectors):
@@ -287,48 +330,57 @@ def fit(docs: DataFrame, labels: DataFrame, counted=None, most_terms=MOST_TERMS,
         if len(rows):
             shares.append(index.share(c, rows))
             kept.append(i)
-    y = np.asarray(ys)[kept] if kept else np.empty(0, np.int64)
-    if len(kept):
+    if kept:
         model.index = index
-        model.ends, model.rates = monotone(np.asarray(shares), y, each[y])
-    return model, counts
+        model.ends, model.rates = monotone(np.asarray(shares), ys[kept], each[ys[kept]])
+    return model
 
 
-def _scored(counts: DataFrame, model: Model) -> DataFrame:
-    """``counts`` with vg_score and vg_evidence instead of the counts."""
-    names = [c for c in counts.columns if c not in ("vg_terms", "vg_counts")]
-    sent = counts.sparkSession.sparkContext.broadcast(model)  # at most MOST_TERMS terms and 2 * EXAMPLES_PER_CLASS vectors
+def _slices(docs: DataFrame, model: Model):
+    """A function for mapInArrow's batches: (slice, model, terms, counts, bounds)."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches):
+    def each(batches, text):
         m = sent.value
-        for pdf in batches:
-            found = [m.score(np.asarray(t, np.int64), np.asarray(c, np.int64)) for t, c in zip(pdf["vg_terms"], pdf["vg_counts"])]
-            out = pdf[names].copy()
-            out["vg_score"] = [f[0] for f in found]
-            out["vg_evidence"] = [[(int(a), float(b), int(c)) for a, b, c in zip(*f[1:])][:3] for f in found]
-            yield out
-
-    schema = counts.select(*names).schema.add("vg_score", "double").add("vg_evidence", EVIDENCE)
-    return counts.mapInPandas(score, schema)
-
-
-def score(docs: DataFrame, labels: DataFrame, text="text", keep_text=False, **rules) -> DataFrame:
-    """``docs`` (with ``text`` if ``keep_text``) with vg_score and vg_evidence, its nearest examples."""
-    plain = docs.withColumnRenamed(text, "text") if text != "text" else docs
-    if keep_text:
-        slim = plain.select("text")
-        model, _ = fit(plain, labels, counted=lambda terms: stash(term_counts(slim, terms), "tox-counts"), **rules)
-        carried = term_counts(plain.withColumn("vg_text", F.col("text")), model.terms)
-        out = _scored(carried, model).withColumnRenamed("vg_text", text)
-        return out.select(*docs.columns, "vg_score", "vg_evidence")
-    names = [c for c in plain.columns if c != "text"]
-    model, counts = fit(plain, labels, counted=lambda terms: stash(term_counts(plain.select(*names, "text"), terms), "tox-counts"), **rules)
-    return _scored(counts, model)
-
-
-def keep_harmless(docs: DataFrame, labels: DataFrame, limit=0.5, **rules) -> DataFrame:
-    """The documents whose score is below ``limit``, with the columns of ``docs``."""
-    return score(docs, labels, keep_text=True, **rules).filter(F.col("vg_score") < limit).select(*docs.columns)
+        counter = Counter(m.vocabulary)
+        for part, texts in in_slices(batches, text):
+            terms, counts, bounds = counter(texts)
+            yield part, [m.score(terms[a:b], counts[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+
+    return each
+
+
+def _plain(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select("doc_id", F.col(text).alias("text"))
+
+
+def score(docs: DataFrame, labels: DataFrame, text="text", **rules) -> DataFrame:
+    """``docs`` without ``text``, with vg_score and vg_evidence, its nearest examples."""
+    taken = {"vg_score", "vg_evidence"} & set(docs.columns)
+    if taken:
+        raise ValueError(f"the table has columns of the result's names: {sorted(taken)}")
+    each = _slices(docs, fit(_plain(docs, text), labels, **rules))
+    names = [c for c in docs.columns if c != text]
+
+    def run(batches):
+        for part, found in each(batches, text):
+            evidence = [[{"doc_id": int(a), "cosine": float(b), "label": int(c)} for a, b, c in zip(*f[1:])][:3] for f in found]
+            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+            kept = [part.column(part.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([f[0] for f in found], pa.float64()), pa.array(evidence, kind)], names=[*names, "vg_score", "vg_evidence"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.select(*names).schema.fields, T.StructField("vg_score", T.DoubleType()), T.StructField("vg_evidence", EVIDENCE)]))
+
+
+def keep_harmless(docs: DataFrame, labels: DataFrame, limit=0.5, text="text", **rules) -> DataFrame:
+    """The documents whose score is below ``limit``, with the columns of ``docs`` alone."""
+    each = _slices(docs, fit(_plain(docs, text), labels, **rules))
+
+    def run(batches):
+        for part, found in each(batches, text):
+            yield part.filter(pa.array([f[0] < limit for f in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
