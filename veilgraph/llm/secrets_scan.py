@@ -10,7 +10,7 @@ A run is a secret if the ratio is positive on average and reaches ``LIMIT``.
 Defined results: null text is empty; without labelled strings both models are
 uniform and add nothing; found runs that overlap a base span are not repeated;
 repeated rows are each done alike; an empty table gives an empty result; extra
-columns pass through (the columns added start with ``vg_``).
+columns pass through :func:`redact` whatever their names (:func:`detect` adds columns that start with ``vg_``).
 """
 
 from __future__ import annotations
@@ -61,10 +61,10 @@ def labelled_strings(docs: DataFrame, text="text", sample=SAMPLE_DOCS) -> DataFr
 def train(strings: DataFrame) -> list[float]:
     """The log-likelihood ratio of every pair of neighbouring characters, by row."""
     k = len(ALPHABET)
-    pairs = strings.filter(F.length("value") > 1).select(
-        "random",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring(F.col("value"), i, F.lit(2)))).alias("pair"),
-    )
+    # a value is split into characters once, so that long ones take linear time
+    chars = F.split("value", "")
+    pair = F.explode(F.zip_with(F.slice(chars, 1, F.length("value") - 1), F.slice(chars, 2, F.length("value") - 1), lambda a, b: F.concat(a, b)))
+    pairs = strings.filter(F.length("value") > 1).select("random", pair.alias("pair"))
     pairs = pairs.filter(F.regexp_like("pair", F.lit("^[A-Za-z0-9+/_=-]{2}$")))
     counts = {True: [[0.0] * k for _ in range(k)], False: [[0.0] * k for _ in range(k)]}
     for row in pairs.groupBy("random", "pair").count().collect():  # at most 2 k * k rows
@@ -81,11 +81,13 @@ def _smoothed(counts: list[list[float]]) -> list[list[float]]:
 
 
 def ratio(value: str, table: list[float]) -> str:
-    """SQL: the log-likelihood ratio of a string of :data:`ALPHABET`'s characters."""
-    cells = f"cast(split('{','.join(f'{x:g}' for x in table)}', ',') as array<double>)"  # a constant for the optimizer
-    at = lambda i: f"(instr('{ALPHABET}', substring({value}, {i}, 1)) - 1)"
-    cell = f"get({cells}, {at('i')} * {len(ALPHABET)} + {at('i + 1')})"
-    return f"aggregate(sequence(1, length({value}) - 1), cast(0 as double), (t, i) -> t + coalesce({cell}, cast(0 as double)))"
+    """SQL: the log-likelihood ratio of a string of :data:`ALPHABET`'s characters, which is split into characters once."""
+    array = lambda values, kind: f"cast(split('{','.join(f'{x:g}' for x in values)}', ',') as array<{kind}>)"  # noqa: E731  a constant for the optimizer
+    place = array([ALPHABET.find(chr(i)) for i in range(128)], "int")
+    at = lambda i: f"get({place}, ascii(get(c, {i})))"
+    cell = f"get({array(table, 'double')}, {at('i - 1')} * {len(ALPHABET)} + {at('i')})"
+    total = f"aggregate(sequence(1, size(c) - 1), cast(0 as double), (t, i) -> t + coalesce({cell}, cast(0 as double)))"
+    return f"aggregate(array(split({value}, '')), cast(0 as double), (u, c) -> u + {total})"
 
 
 def detect(docs: DataFrame, text="text", table: list[float] | None = None, limit=LIMIT) -> DataFrame:
@@ -104,8 +106,9 @@ def _sorted(kinds) -> str:
 
 def redact(docs: DataFrame, text="text", **rules) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by its kind."""
-    found = detect(docs, text, **rules).withColumn("vg_all", F.expr(_sorted((*KINDS, MARKOV))))
-    return S.replaced(found, text, "vg_all", "concat('[', upper(s.kind), ']')").select(*docs.columns)
+    plain, named = S.shielded(docs)
+    found = detect(plain, text, **rules).withColumn("vg_all", F.expr(_sorted((*KINDS, MARKOV))))
+    return named(S.replaced(found, text, "vg_all", "concat('[', upper(s.kind), ']')"))
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -61,6 +61,22 @@ def with_spans(df, text: Column, rules, prefix="vg_"):
     return df.withColumns(found).drop(*[f"{prefix}len_{k}" for k in names])
 
 
+def shielded(df):
+    """``df`` with its own columns that begin like those added here (``vg_``) under free names, and the function that gives them their names back."""
+    names = {c.lower() for c in df.columns}
+    away = {}
+    for c in df.columns:
+        if c.lower().startswith("vg_"):
+            free = f"own_{c}"
+            while free.lower() in names:
+                free = f"own_{free}"
+            names.add(free.lower())
+            away[c] = free
+    back = {free: c for c, free in away.items()}
+    order = [away.get(c, c) for c in df.columns]
+    return df.withColumnsRenamed(away), lambda out: out.select(*order).withColumnsRenamed(back)
+
+
 def tagged(kind: str, spans: str, order: int) -> str:
     """SQL: the spans as array<struct<start, ord, end, kind>>, which sorts by start, then by the order of kinds."""
     return f"transform({spans}, s -> struct(s.start as start, {order} as ord, s.end as end, '{kind}' as kind))"
