@@ -6,30 +6,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .permissions import gates
+from .permissions import admissible
+
+
+GATES = ("ungated", "document-acl", "derivation-aware", "claim-aware")
 
 
 def census(claims: DataFrame, facts: DataFrame, perms: DataFrame) -> DataFrame:
-    """gate, level, denied, leaks, coverage_sum over refused derived facts and principals.
+    """gate, level, denied, leaks, coverage_sum over refused derived facts that claim anything, and principals.
 
-    ``claims``: fact_id, entity, space (a fact asserts that an entity is in a space); ``facts``: fact_id, level, space, req. Principals count by
-    the set of spaces they may read, so work grows with distinct sets.
+    ``claims``: fact_id, entity, space (a fact asserts that an entity is in a space); ``facts``: fact_id, level, space, req, widened. Principals
+    count by the set of spaces they may read. Facts that carry a claim are grouped by what the gates look at before they meet a set, so
+    only carriers of a refused fact's claims are looked at, once for all gates.
     """
     sets = perms.groupBy("perm").agg(F.count(F.lit(1)).alias("n_principals")).withColumn("sig", F.xxhash64("perm"))
-    rule = gates(F.col("perm"), F.col("req"), F.col("space"))
-    shown = F.array(*[F.when(c, F.lit(g)) for g, c in rule.items() if g != "ungated"])
-    shown = F.filter(F.array_union(shown, F.array(F.lit("ungated"))), lambda g: g.isNotNull())
-    disclosed = facts.crossJoin(sets).select("sig", "fact_id", F.explode(shown).alias("gate"))
-    targets = facts.filter("level > 0").crossJoin(sets).filter(~rule["derivation-aware"]).select("sig", "n_principals", F.col("fact_id").alias("target"), "level")
+    targets = facts.filter("level > 0").join(claims.select("fact_id").distinct(), "fact_id", "left_semi")
+    targets = targets.crossJoin(sets).filter(~admissible(F.col("perm"), F.col("req"))).select("sig", "perm", "n_principals", F.col("fact_id").alias("target"), "level")
     wanted = targets.join(claims.toDF("target", "entity", "w_space"), "target")
-    size = wanted.groupBy("sig", "target", "level", "n_principals").agg(F.count(F.lit(1)).alias("n_claims"))
-    # a claim counts as carried if a disclosed fact other than the target asserts it: two carriers are enough to know
-    carried = disclosed.join(claims, "fact_id").groupBy("sig", "gate", "entity", "space").agg(F.min("fact_id").alias("one"), F.max("fact_id").alias("two"))
-    hit = wanted.join(carried.withColumnRenamed("space", "w_space"), ["sig", "entity", "w_space"]).filter("one != target or two != target")
-    covered = hit.groupBy("sig", "target", "gate").agg(F.count(F.lit(1)).alias("n_hit"))
-    gate = F.explode(F.array(*[F.lit(g) for g in rule]))
-    full = size.withColumn("gate", gate).join(covered, ["sig", "target", "gate"], "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
-    return full.groupBy("gate", "level").agg(
+    # two carriers are enough to know whether one beside the target itself asserts the claim
+    kinds = claims.withColumnRenamed("space", "w_space").join(facts.select("fact_id", "space", "req", "widened"), "fact_id")
+    kinds = kinds.groupBy("entity", "w_space", "space", "req", "widened").agg(F.min("fact_id").alias("one"), F.max("fact_id").alias("two"))
+    met = wanted.join(kinds, ["entity", "w_space"], "left")
+    perm, other = F.col("perm"), F.coalesce((F.col("one") != F.col("target")) | (F.col("two") != F.col("target")), F.lit(False))
+    filed = F.coalesce(F.array_contains(perm, F.col("space")), F.lit(False))
+    opened = {"ungated": F.lit(True), "document-acl": filed, "derivation-aware": admissible(perm, F.col("req")), "claim-aware": admissible(perm, F.col("widened"))}
+    hit = met.groupBy("sig", "target", "level", "n_principals", "entity", "w_space").agg(*[F.max((other & opened[g]).cast("int")).alias(g) for g in GATES])
+    full = hit.groupBy("sig", "target", "level", "n_principals").agg(F.count(F.lit(1)).alias("n_claims"), *[F.sum(g).alias(g) for g in GATES])
+    each = full.select("level", "n_principals", "n_claims", F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.col(g).alias("n_hit")) for g in GATES])).alias("x"))
+    each = each.select("level", "n_principals", "n_claims", "x.gate", "x.n_hit")
+    return each.groupBy("gate", "level").agg(
         F.sum("n_principals").alias("denied"),
         F.sum(F.when(F.col("n_hit") == F.col("n_claims"), F.col("n_principals")).otherwise(0)).alias("leaks"),
         F.round(F.sum(F.col("n_hit") / F.col("n_claims") * F.col("n_principals")), 6).alias("coverage_sum"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import adversary as A
-from ..operators import attack, channels, derivation, policy, provenance
+from ..operators import attack, channels, claims, derivation, graph, policy, provenance, sampling
 from ..operators import permissions as P
 from ..operators.loops import settle
 from ..sources.driver_tables import PRELUDE, World, world
@@ -71,6 +71,35 @@ class Case:
         zero = self.w.facts0.select("fact_id", "entity", "space")
         return zero.unionByName(derivation.person_support(self.w.facts0).select("fact_id", "entity", "space"))
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """fact_id, level, space, text of every fact that says something: sources, and people across spaces."""
+        person = derivation.person_support(self.w.facts0).groupBy("fact_id", "entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "space"))), lambda x: x["space"]), ", ").alias("where"))
+        person = person.join(self.w.people, F.col("entity") == F.col("id")).select("fact_id", F.concat("name", F.lit(" spans "), "where").alias("text"))
+        zero = self.w.facts0.select("fact_id", F.lit(0).alias("level"), "space").join(self.w.said, "fact_id")
+        return zero.unionByName(self.derived[0].filter("level = 1").select("fact_id", "level", "space").join(person, "fact_id"))
+
+    @cached_property
+    def about(self) -> DataFrame:
+        """fact_id, entity."""
+        return self.w.facts0.select("fact_id", "entity").union(derivation.person_support(self.w.facts0).filter("nth = 1").select("fact_id", "entity"))
+
+    @cached_property
+    def named(self) -> DataFrame:
+        """fact_id, named."""
+        return settle(claims.spaces_named(self.texts, claims.space_names(self.w.facts0.select("space", F.lit(None).cast("string").alias("label")).distinct())))
+
+    @cached_property
+    def said(self) -> DataFrame:
+        """fact_id, entity, space: the claims read from texts."""
+        return settle(claims.claims_of(self.texts, self.about, self.named, claims.entity_names(self.w.people)))
+
+    @cached_property
+    def widened(self) -> DataFrame:
+        """:attr:`everything` with named and widened."""
+        rows = self.everything.join(self.named, "fact_id", "left")
+        return rows.withColumn("widened", claims.widened(F.col("req"), F.col("named")))
+
     def pairs(self, facts: DataFrame | None = None) -> DataFrame:
         return (self.facts if facts is None else facts).crossJoin(self.perms)
 
@@ -453,17 +482,67 @@ def claim_locality(c: Case):
     return attack.claim_locality(c.claims, c.everything)
 
 
-@query(CLAIMS + """, sig AS (SELECT perm, count(*) AS n FROM perm GROUP BY perm),
-disclosed AS (SELECT perm, fact_id, unnest(['ungated', 'document-acl', 'any-source', 'derivation-aware']) AS gate, unnest([true, list_contains(perm, e.space), list_has_any(perm, e.req), list_has_all(perm, e.req)]) AS open FROM every e CROSS JOIN sig),
-carried AS (SELECT perm, gate, entity, c.space, min(fact_id) AS one, max(fact_id) AS two FROM disclosed JOIN claims c USING (fact_id) WHERE open GROUP BY ALL),
-wanted AS (SELECT s.perm, s.n, e.fact_id AS target, e.level, c.entity, c.space FROM every e CROSS JOIN sig s JOIN claims c USING (fact_id) WHERE e.level > 0 AND NOT list_has_all(s.perm, e.req)),
-g AS (SELECT unnest(['ungated', 'document-acl', 'any-source', 'derivation-aware']) AS gate),
+TEXTS = CLAIMS + """, opened AS (SELECT l_orderkey, min(p_brand) AS opening FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 GROUP BY l_orderkey),
+texts AS (SELECT f.fact_id, 0 AS level, f.space, coalesce(c_name, 'someone') || ' returned goods of ' || f.space || coalesce(' bought with ' || opening, '') AS text
+    FROM facts0 f LEFT JOIN opened ON l_orderkey = k1 LEFT JOIN customer ON c_custkey = entity
+  UNION ALL SELECT p.fact_id, 1, any_value(d.space), any_value(c_name) || ' spans ' || string_agg(p.space, ', ' ORDER BY nth) FROM person_support p JOIN derived d USING (fact_id) JOIN customer ON c_custkey = entity GROUP BY p.fact_id),
+about AS (SELECT fact_id, entity FROM facts0 UNION ALL SELECT fact_id, entity FROM person_first),
+named AS (SELECT fact_id, list(s.space ORDER BY s.space) AS named FROM texts t JOIN (SELECT DISTINCT space FROM facts0) s ON contains(lower(t.text), lower(s.space)) GROUP BY fact_id),
+said AS (SELECT fact_id, entity, space FROM facts0 UNION SELECT t.fact_id, a.entity, unnest(n.named) FROM texts t JOIN named n USING (fact_id) JOIN about a USING (fact_id)
+  LEFT JOIN customer ON c_custkey = a.entity WHERE c_custkey IS NULL OR contains(lower(t.text), lower(c_name)) OR contains(lower(t.text), c_custkey::VARCHAR)),
+wide AS (SELECT e.*, coalesce(named, []) AS named, list_sort(list_distinct(list_concat(e.req, coalesce(named, [])))) AS widened FROM every e LEFT JOIN named USING (fact_id))
+"""
+
+
+@query(TEXTS + "SELECT fact_id, array_to_string(named, ',') AS named FROM named")
+def spaces_named_in_texts(c: Case):
+    """The spaces that each fact's text names."""
+    return c.named.select("fact_id", csv("named").alias("named"))
+
+
+@query(TEXTS + "SELECT fact_id, entity, space FROM said")
+def claims_from_texts(c: Case):
+    """The atomic claims read from texts."""
+    return c.said
+
+
+@query(TEXTS + """SELECT level, count(*) AS n_facts, count_if(len(list_filter(named, lambda x: NOT list_contains(req, x))) > 0) AS n_named_beyond FROM wide GROUP BY level""")
+def named_beyond_evidence(c: Case):
+    """Facts that name a space they do not rest on."""
+    gap = claims.names_but_does_not_rest_on(F.col("req"), F.col("named"))
+    return c.widened.groupBy("level").agg(F.count(F.lit(1)).alias("n_facts"), F.count_if(F.size(gap) > 0).alias("n_named_beyond"))
+
+
+@query(TEXTS + """SELECT level, count(*) AS n_facts, count_if(list_contains(named, space)) AS n_own, count_if(len(list_filter(named, lambda x: x != space)) > 0) AS n_foreign FROM wide GROUP BY level""")
+def prose_channel(c: Case):
+    """Facts whose text names their own space, and others."""
+    return claims.prose_channel(c.widened)
+
+
+@query(TEXTS + """SELECT level, count_if(list_has_all(perm, req)) AS n_allowed, count_if(list_has_all(perm, req) AND NOT list_has_all(perm, widened)) AS n_over FROM wide CROSS JOIN perm
+  GROUP BY level HAVING n_allowed > 0""")
+def over_restriction(c: Case):
+    """What the claim-aware gate withholds beyond need."""
+    return claims.over_restricted(c.widened, c.perms)
+
+
+@query(TEXTS + """SELECT level, count(*) AS n_claims, count_if(list_contains(e.req, c.space)) AS n_local FROM every e JOIN said c USING (fact_id) GROUP BY level""")
+def claim_locality_of_texts(c: Case):
+    """Claims read from texts that the asserting fact's requirement covers."""
+    return attack.claim_locality(c.said, c.everything)
+
+
+@query(TEXTS + """, sig AS (SELECT perm, count(*) AS n FROM perm GROUP BY perm),
+disclosed AS (SELECT perm, fact_id, unnest(['ungated', 'document-acl', 'derivation-aware', 'claim-aware']) AS gate, unnest([true, list_contains(perm, e.space), list_has_all(perm, e.req), list_has_all(perm, e.widened)]) AS open FROM wide e CROSS JOIN sig),
+carried AS (SELECT perm, gate, entity, c.space, min(fact_id) AS one, max(fact_id) AS two FROM disclosed JOIN said c USING (fact_id) WHERE open GROUP BY ALL),
+wanted AS (SELECT s.perm, s.n, e.fact_id AS target, e.level, c.entity, c.space FROM every e CROSS JOIN sig s JOIN said c USING (fact_id) WHERE e.level > 0 AND NOT list_has_all(s.perm, e.req)),
+g AS (SELECT unnest(['ungated', 'document-acl', 'derivation-aware', 'claim-aware']) AS gate),
 cov AS (SELECT g.gate, w.perm, w.n, w.target, w.level, count(*) AS n_claims, count_if(k.one IS NOT NULL AND (k.one != w.target OR k.two != w.target)) AS n_hit FROM wanted w CROSS JOIN g
   LEFT JOIN carried k ON k.perm = w.perm AND k.gate = g.gate AND k.entity = w.entity AND k.space = w.space GROUP BY ALL)
 SELECT gate, level, sum(n)::BIGINT AS denied, sum(CASE WHEN n_hit = n_claims THEN n ELSE 0 END)::BIGINT AS leaks, round(sum(n_hit / n_claims * n), 6) AS coverage_sum FROM cov GROUP BY gate, level""")
 def aggregation_census(c: Case):
-    """Refused facts whose claims disclosed facts carry, by gate."""
-    return attack.census(c.claims, c.everything, c.perms)
+    """Refused facts whose claims disclosed facts carry, by gate; claims are read from texts."""
+    return attack.census(c.said, c.widened, c.perms)
 
 
 @query()

@@ -18,11 +18,13 @@ KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 @dataclass
 class World:
-    """Level-0 facts (fact_id, entity, space, ord), memberships and reporting lines."""
+    """Level-0 facts (fact_id, entity, space, ord), memberships and reporting lines; what a level-0 fact says (fact_id, text)."""
 
     facts0: DataFrame
     member_of: DataFrame
     manages: DataFrame
+    said: DataFrame
+    people: DataFrame
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +54,12 @@ def world(spark: SparkSession, sf_dir: str) -> World:
         .filter("s_suppkey > 0")
         .select(F.expr("(s_suppkey - 1) div 4").alias("manager"), F.col("s_suppkey").alias("report"))
     )
-    return World(facts0, member_of, manages)
+    # a source says whose order it was, its brand, and the brand that the order opened with
+    opened = line.filter("l_linenumber = 1").select("l_orderkey", "l_partkey").join(part, "l_partkey").groupBy("l_orderkey").agg(F.min("space").alias("opening"))
+    people = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    named = facts0.select("fact_id", "entity", "space", F.col("ord.l_orderkey").alias("l_orderkey")).join(opened, "l_orderkey", "left").join(people, F.col("entity") == F.col("id"), "left")
+    text = F.concat(F.coalesce("name", F.lit("someone")), F.lit(" returned goods of "), F.col("space"), F.coalesce(F.concat(F.lit(" bought with "), F.col("opening")), F.lit("")))
+    return World(facts0, member_of, manages, named.select("fact_id", text.alias("text")), people)
 
 
 #: The same roles for DuckDB, as common table expressions.
