@@ -1,4 +1,4 @@
-"""A tamper-evident audit log: written per chain, verified in parallel."""
+"""A tamper-evident audit log: written per chain, resumed where it ended, verified in parallel."""
 
 from __future__ import annotations
 
@@ -12,41 +12,85 @@ from pyspark.sql import functions as F
 GENESIS = "0" * 64
 # Names of fields that would carry content.
 CONTENT = "(?i)^(text|content|body|snippet|excerpt|answer|value|summary)$"
-SCHEMA = "chain string, seq long, at string, decision string, principal string, facts array<string>, detail string, prev string, hash string"
+LISTS = ("required", "missing", "would_complete")
+COLUMNS = ("chain", "seq", "at", "decision", "principal", "facts", *LISTS, "detail")
+SCHEMA = (
+    "chain string, seq long, at string, decision string, principal string, facts array<string>, required array<string>, missing array<string>, "
+    "would_complete array<string>, detail map<string,string>, prev string, hash string"
+)
 
 
-def refuse_content(entries: DataFrame, detail: str = "detail_map") -> DataFrame:
+def refuse_content(entries: DataFrame, detail: str = "detail") -> DataFrame:
     """Fails on rows whose detail names a content field: the log holds identifiers alone."""
-    bad = F.exists(F.map_keys(detail), lambda k: k.rlike(CONTENT))
-    return entries.withColumn(detail, F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("audit: content field"))).otherwise(F.col(detail)))
+    bad = F.coalesce(F.exists(F.map_keys(detail), lambda k: k.rlike(CONTENT)), F.lit(False))
+    return entries.withColumn(detail, F.when(bad, F.raise_error(F.lit("audit: content field"))).otherwise(F.col(detail)))
 
 
-def record(entries: DataFrame) -> DataFrame:
-    """The entries (chain, seq, at, decision, principal, facts, detail) with prev and hash.
+def _entries(entries: DataFrame) -> DataFrame:
+    """The entries with every column; what is not given is null."""
+    kinds = {x.split()[0]: x.split()[1] for x in SCHEMA.replace("map<string,string>", "map").split(", ")} | {"detail": "map<string,string>"}
+    return entries.select(*[(F.col(c) if c in entries.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in COLUMNS])
 
+
+def heads(log: DataFrame) -> DataFrame:
+    """chain, seq, hash of the last entry of each chain."""
+    return log.groupBy("chain").agg(F.max(F.struct("seq", "hash")).alias("x")).select("chain", "x.*")
+
+
+def record(entries: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """The entries (chain, seq, at, decision, principal, facts, and if given required, missing, would_complete, detail) with prev and hash.
+
+    ``seq`` orders the new entries of a chain. They go on where the chain ends in ``log``: their seq counts on from its last, or
+    stays as it is for a new chain. ``detail`` maps names to JSON scalars (texts in quotes); names of content fields fail.
     Writing is sequential by nature, so a log is split into chains (a principal, a day), each hashed in order in a task of its own.
     """
+    rows = refuse_content(_entries(entries))
+    if log is None:
+        rows = rows.withColumn("h_seq", F.lit(None).cast("long")).withColumn("h_hash", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(heads(log).toDF("h_chain", "h_seq", "h_hash"), F.col("chain") == F.col("h_chain"), "left").drop("h_chain")
+
+    def plain(x):
+        return None if x is None else sorted(x)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq").reset_index(drop=True)
-        prev, prevs, hashes = GENESIS, [], []
+        pdf = pdf.sort_values("seq", kind="stable").reset_index(drop=True)
+        resumed = pd.notna(pdf["h_seq"].iloc[0])
+        prev = pdf["h_hash"].iloc[0] if resumed else GENESIS
+        if resumed:
+            pdf["seq"] = int(pdf["h_seq"].iloc[0]) + 1 + pdf.index
+        prevs, hashes = [], []
         for r in pdf.itertuples():
-            line = json.dumps([str(r.seq), r.at, r.decision, r.principal, ",".join(sorted(r.facts)), r.detail, prev], ensure_ascii=False, separators=(",", ":"))
+            detail = None if r.detail is None else [[k, json.loads(v)] for k, v in sorted(dict(r.detail).items())]
+            body = [r.seq, r.at, r.decision, r.principal, sorted(r.facts) if r.facts is not None else [], plain(r.required), plain(r.missing), plain(r.would_complete), detail, prev]
             prevs.append(prev)
-            prev = hashlib.sha256(line.encode()).hexdigest()
+            prev = hashlib.sha256(json.dumps(body, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
             hashes.append(prev)
-        return pdf.assign(prev=prevs, hash=hashes)
+        return pdf.drop(columns=["h_seq", "h_hash"]).assign(prev=prevs, hash=hashes)
+
+    return rows.groupBy("chain").applyInPandas(run, SCHEMA)
 
-    return entries.select("chain", "seq", "at", "decision", "principal", "facts", "detail").groupBy("chain").applyInPandas(run, SCHEMA)
+
+def append(entries: DataFrame, path: str) -> None:
+    """Adds entries to the log at ``path`` (JSON lines), or begins it."""
+    spark = entries.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    record(entries, read(spark, path) if there else None).write.mode("append").json(path, ignoreNullFields=True)
+
+
+def read(spark, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).json(path)
 
 
 def _canonical():
-    text = lambda c: F.to_json(F.struct(F.col(c).alias("x")), {"ignoreNullFields": "false"})
-    value = lambda c: F.regexp_replace(text(c), r'^\{"x":|\}$', "")
-    parts = [F.concat(F.lit('"'), F.col("seq").cast("string"), F.lit('"')), value("at"), value("decision"), value("principal")]
-    joined = F.array_join(F.array_sort("facts"), ",")
-    facts = F.regexp_replace(F.to_json(F.struct(joined.alias("x"))), r'^\{"x":|\}$', "")
-    return F.concat(F.lit("["), F.concat_ws(",", *parts, facts, value("detail"), value("prev")), F.lit("]"))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"}), r'^\{"x":|\}$', "")
+    ordered = lambda c: F.when(F.col(c).isNull(), F.lit("null")).otherwise(quoted(F.array_sort(c)))
+    facts = quoted(F.array_sort(F.coalesce("facts", F.array().cast("array<string>"))))
+    pairs = F.transform(F.array_sort(F.map_entries("detail")), lambda e: F.concat(F.lit("["), F.regexp_replace(F.to_json(F.array(e["key"])), r"^\[|\]$", ""), F.lit(","), e["value"], F.lit("]")))
+    detail = F.when(F.col("detail").isNull(), F.lit("null")).otherwise(F.concat(F.lit("["), F.array_join(pairs, ","), F.lit("]")))
+    parts = [F.col("seq").cast("string"), *[quoted(F.col(c)) for c in ("at", "decision", "principal")], facts, *[ordered(c) for c in LISTS], detail, quoted(F.col("prev"))]
+    return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
 
 
 def verify(log: DataFrame) -> DataFrame:
@@ -63,3 +107,8 @@ def verify(log: DataFrame) -> DataFrame:
 def summarise(log: DataFrame) -> DataFrame:
     """decision, n."""
     return log.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+def busiest(log: DataFrame, most: int = 10) -> DataFrame:
+    """principal, n of the ``most`` principals with the most entries; ties by principal."""
+    return log.groupBy("principal").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "principal").limit(most)

@@ -201,7 +201,20 @@ def required_by_levels(c: Case):
     return c.required
 
 
-@query("SELECT true AS same, count(*) AS n FROM (SELECT fact_id FROM required GROUP BY fact_id)")
+#: The requirement level by level, a second formulation beside the walk of the prelude.
+LEVELS = """, lv1 AS (SELECT DISTINCT p.fact_id, f.space FROM person_support p JOIN facts0 f ON f.fact_id = p.support_id), lv2 AS (SELECT DISTINCT r.fact_id, l.space FROM rests_on r JOIN lv1 l ON l.fact_id = r.support_id),
+lv3 AS (SELECT DISTINCT r.fact_id, l.space FROM rests_on r JOIN lv2 l ON l.fact_id = r.support_id), bylev AS (SELECT * FROM lv1 UNION ALL SELECT * FROM lv2 UNION ALL SELECT * FROM lv3),
+two AS (SELECT fact_id, list(space ORDER BY space) AS req2 FROM bylev GROUP BY fact_id)
+"""
+
+
+@query("SELECT fact_id, space FROM required")
+def required_by_stack(c: Case):
+    """Required spaces handed up along the supports, a third formulation."""
+    return provenance.required_by_stack(c.derived[1], c.w.facts0, c.derived[0])
+
+
+@query(LEVELS + "SELECT coalesce(a.req = b.req2, false) AS same, count(*) AS n FROM (SELECT fact_id, list(space ORDER BY space) AS req FROM required GROUP BY fact_id) a FULL JOIN two b USING (fact_id) GROUP BY same")
 def requirement_agreement(c: Case):
     """Facts on which the two formulations agree."""
     return provenance.agreement(provenance.required_by_walk(c.derived[1], c.w.facts0), c.required)
@@ -215,10 +228,10 @@ def admissible_counts(c: Case):
 
 
 @query("""SELECT fact_id, principal, array_to_string(list_sort(list_filter(req, lambda x: NOT list_contains(perm, x))), ',') AS missing
-  FROM pairs_fp WHERE level = 2 AND NOT ok""")
+  FROM pairs_fp WHERE NOT ok""")
 def missing_spaces(c: Case):
     """For refused pairings, the spaces that a principal lacks."""
-    rows = c.pairs(c.facts.filter("level = 2")).withColumn("gap", P.missing(F.col("perm"), F.col("req")))
+    rows = c.pairs(c.facts).withColumn("gap", P.missing(F.col("perm"), F.col("req")))
     return rows.filter(F.size("gap") > 0).select("fact_id", "principal", csv(F.array_sort("gap")).alias("missing"))
 
 
@@ -284,7 +297,7 @@ def audience_collapse(c: Case):
     )
 
 
-@query("SELECT count(*) AS n_pairs, 0::BIGINT AS n_violations FROM pairs_fp")
+@query(LEVELS + "SELECT count(*) AS n_pairs, count_if(list_has_all(perm, req2) AND NOT ok) AS n_violations FROM pairs_fp JOIN two USING (fact_id)")
 def invariant_violations(c: Case):
     """Pairs disclosed under one formulation of the requirement and not under the other."""
     walk = provenance.required_by_walk(c.derived[1], c.w.facts0).groupBy("fact_id").agg(F.array_sort(F.collect_set("space")).alias("truth"))
@@ -398,7 +411,8 @@ def evidence_loss(c: Case):
     return c.seen.agg(F.count(F.lit(1)).alias("n_held")).crossJoin(gone)
 
 
-@query("SELECT count(*) AS n_grants, 0::BIGINT AS drift FROM permitted")
+@query(""", again AS (SELECT principal, space FROM permitted UNION SELECT c.manager, p.space FROM org_closure c JOIN permitted p ON p.principal = c.report)
+SELECT (SELECT count(*) FROM permitted) AS n_grants, (SELECT count(*) FROM (SELECT * FROM again EXCEPT SELECT * FROM permitted)) + (SELECT count(*) FROM (SELECT * FROM permitted EXCEPT SELECT * FROM again)) AS drift""")
 def policy_roundtrip(c: Case):
     """A policy taken from the model and compiled again does not drift."""
     again = policy.compile_policy(c.permitted.toDF("subject", "space"), c.w.manages)
@@ -463,7 +477,7 @@ def newly_inferable(c: Case):
     return rows.filter(~P.admissible(F.col("perm"), F.col("req"))).select("principal", "a", "b")
 
 
-@query("""SELECT count_if(held) AS n_held, 0::BIGINT AS n_violations FROM (SELECT DISTINCT s_req, req, perm, list_has_all(perm, s_req) AS held FROM (
+@query("""SELECT count_if(held) AS n_held, count_if(held AND NOT list_has_all(perm, req)) AS n_violations FROM (SELECT DISTINCT s_req, req, perm, list_has_all(perm, s_req) AS held FROM (
   SELECT e.fact_id, list_sort(list_distinct(flatten(list(coalesce(q.req, [f.space]))))) AS s_req FROM rests_on e LEFT JOIN req q ON q.fact_id = e.support_id LEFT JOIN facts0 f ON f.fact_id = e.support_id GROUP BY e.fact_id)
   JOIN req USING (fact_id) CROSS JOIN (SELECT DISTINCT perm FROM perm))""")
 def theorem1_check(c: Case):
@@ -545,7 +559,8 @@ def aggregation_census(c: Case):
     return attack.census(c.said, c.widened, c.perms)
 
 
-@query()
+@query("""SELECT "case", count(*) AS size, string_agg(w, ',' ORDER BY w) AS witnesses FROM (SELECT p.fact_id AS "case", p.space, min(f.fact_id) AS w FROM person_support p JOIN facts0 f ON f.entity = p.entity AND f.space = p.space
+  GROUP BY ALL) GROUP BY "case\"""")
 def witness_cover(c: Case):
     """A smallest-first set of level-0 facts that together say what each person fact says."""
     want = derivation.person_support(c.w.facts0).select(F.col("fact_id").alias("case"), "entity", F.col("space").alias("claim"))
@@ -574,9 +589,9 @@ def refusal_mutual_information(c: Case):
 
 @query("""SELECT principal, space, documents, count(*) FILTER (WHERE hit) AS derived, count(*) FILTER (WHERE hit AND list_has_any(req, old)) AS by_combination FROM (
   SELECT p.principal, d.space, p.perm AS old, q.req, CASE WHEN list_contains(p.perm, d.space) THEN 0 ELSE d.n END AS documents, NOT list_has_all(p.perm, q.req) AND list_has_all(list_append(p.perm, d.space), q.req) AS hit
-  FROM perm p CROSS JOIN (SELECT space, count(*) AS n FROM facts0 GROUP BY space) d CROSS JOIN req q WHERE p.principal % 10 = 0) GROUP BY principal, space, documents""")
+  FROM perm p CROSS JOIN (SELECT space, count(*) AS n FROM facts0 GROUP BY space) d CROSS JOIN req q) GROUP BY principal, space, documents""")
 def grant_simulation(c: Case):
-    """What every single grant to every principal would unlock; the SQL still covers every tenth."""
+    """What every single grant to every principal would unlock."""
     return policy.simulate_grants(c.perms, c.perms.select("principal").crossJoin(c.w.facts0.select("space").distinct()), c.w.facts0, c.facts)
 
 
@@ -603,7 +618,19 @@ def graph_edges(c: Case):
     return out.union(kind(c.derived[1], "RESTS_ON")).union(kind(c.w.facts0, "ABOUT")).union(kind(person, "ABOUT")).groupBy("edge").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+NODE = """SELECT f.fact_id AS id, '{{"id":"' || f.fact_id || '","supports":[' || string_agg(j, ',' ORDER BY support_id) || ']}}' AS j FROM few f JOIN {} ON id = support_id GROUP BY f.fact_id"""
+
+
+@query(f""", few AS (SELECT fact_id, support_id FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY support_id) AS rn FROM (SELECT DISTINCT fact_id, support_id FROM rests_on)) WHERE rn <= 6),
+n0 AS (SELECT fact_id AS id, '{{"id":"' || fact_id || '"}}' AS j FROM facts0), n1 AS ({NODE.format('n0')}), n2 AS ({NODE.format('n1')})
+SELECT fact_id, string_agg(j, ' ' ORDER BY support_id) AS chain FROM few JOIN (SELECT * FROM n0 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2) ON id = support_id GROUP BY fact_id""")
 def derivation_chains(c: Case):
     """The supports of every derived fact, nested."""
-    return provenance.chains(c.derived[1])
+    return provenance.chains(c.derived[1]).select("fact_id", F.array_join("chain", " ").alias("chain"))
+
+
+@query("""SELECT w.fact_id, count(DISTINCT f.k1) AS n_citations, min(f.k1) AS first FROM walk w JOIN facts0 f ON f.fact_id = w.support_id GROUP BY w.fact_id""")
+def citations_under(c: Case):
+    """The orders that lie under each derived fact."""
+    cited = provenance.citations_under(c.derived[1], c.w.facts0.select(F.col("fact_id").alias("source_id"), F.col("ord.l_orderkey").alias("citation")))
+    return cited.groupBy("fact_id").agg(F.count(F.lit(1)).alias("n_citations"), F.min("citation").alias("first"))

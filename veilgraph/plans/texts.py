@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import audit, contest, planner, retrieval
+from ..operators import audit, contest, planner, provenance, retrieval
 from ..operators import permissions as P
 from ..sources.driver_tables import PRELUDE, read, world
 from .disclosure import Case, counted
@@ -158,14 +158,20 @@ def clip_text(spark, d):
     return read(spark, d, "benchmark").select("item_id", X.clip(F.col("text"), 60).alias("clipped"))
 
 
-def _log(spark, d):
+def _entries(spark, d):
     e = read(spark, d, "events")
     user = F.col("user_id").cast("string")
-    entries = e.select(
+    space = F.concat(F.lit("s:"), F.col("event_type"))
+    return e.select(
         user.alias("chain"), F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), F.col("event_type").alias("decision"),
-        F.concat(F.lit("p:"), user).alias("principal"), F.array(F.concat(F.lit("f:"), F.col("event_id").cast("string"))).alias("facts"), F.lit(None).cast("string").alias("detail"),
+        F.concat(F.lit("p:"), user).alias("principal"), F.array(F.concat(F.lit("f:"), F.col("event_id").cast("string"))).alias("facts"),
+        F.array(F.lit("s:home"), space).alias("required"), F.when(F.col("event_id") % 3 == 0, F.array(space)).alias("missing"), F.lit(None).cast("array<string>").alias("would_complete"),
+        F.create_map(F.lit("ms"), F.col("event_id").cast("string"), F.lit("endpoint"), F.lit('"ask"')).alias("detail"),
     )
-    return audit.record(entries)
+
+
+def _log(spark, d):
+    return audit.record(_entries(spark, d))
 
 
 @query("SELECT user_id::VARCHAR AS chain, count(*) AS entries, NULL::INTEGER AS broken_at, NULL::VARCHAR AS reason FROM events GROUP BY user_id")
@@ -174,12 +180,43 @@ def audit_chain_verify(spark, d):
     return audit.verify(_log(spark, d))
 
 
+@query("""SELECT user_id::VARCHAR AS chain, count(*) AS entries, max(event_id) FILTER (WHERE event_id % 2 = 0) AS last_of_first,
+  CASE WHEN count(*) FILTER (WHERE event_id % 2 = 0) > 0 THEN max(event_id) FILTER (WHERE event_id % 2 = 0) + count(*) FILTER (WHERE event_id % 2 = 1) ELSE max(event_id) END AS last_seq, true AS sound
+FROM events GROUP BY user_id""")
+def audit_resume(spark, d):
+    """A log of even events, gone on with by odd ones, still one sound chain."""
+    from ..operators.loops import settle
+
+    e = _entries(spark, d)
+    first = settle(audit.record(e.filter("seq % 2 = 0")))
+    whole = settle(first.unionByName(audit.record(e.filter("seq % 2 = 1"), first)))
+    told = audit.verify(whole).join(audit.heads(first).select("chain", F.col("seq").alias("last_of_first")), "chain", "left")
+    return told.join(audit.heads(whole).select("chain", F.col("seq").alias("last_seq")), "chain").select("chain", "entries", "last_of_first", "last_seq", F.col("broken_at").isNull().alias("sound"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events), gone AS (SELECT * FROM e WHERE event_id % 89 = 0),
+left_ AS (SELECT e.*, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS now, place - coalesce(lag(place) OVER (PARTITION BY user_id ORDER BY event_id), -1) > 1 AS gap FROM e WHERE event_id % 89 != 0),
+bad AS (SELECT user_id, now, CASE WHEN gap THEN 'does not follow' WHEN event_id % 97 = 0 THEN 'modified' END AS reason FROM left_ WHERE gap OR event_id % 97 = 0)
+SELECT l.user_id::VARCHAR AS chain, count(*) AS entries, (SELECT min(now)::INTEGER FROM bad b WHERE b.user_id = l.user_id) AS broken_at, (SELECT arg_min(reason, now) FROM bad b WHERE b.user_id = l.user_id) AS reason
+FROM left_ l GROUP BY l.user_id""")
+def audit_tampering(spark, d):
+    """Where a log with entries changed and removed first breaks."""
+    log = _log(spark, d).filter("seq % 89 != 0")
+    return audit.verify(log.withColumn("principal", F.when(F.col("seq") % 97 == 0, F.lit("p:other")).otherwise(F.col("principal"))))
+
+
 @query("SELECT event_type AS decision, count(*) AS n FROM events GROUP BY event_type")
 def audit_summary(spark, d):
     """Entries by decision."""
     return audit.summarise(_log(spark, d))
 
 
+@query("SELECT 'p:' || user_id AS principal, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, principal LIMIT 10")
+def audit_busiest(spark, d):
+    """The principals with the most entries."""
+    return audit.busiest(_log(spark, d))
+
+
 @query("""SELECT user_id, count(*) AS n, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.99), 6) AS p99, round(max(value), 6) AS worst FROM events GROUP BY user_id""")
 def latency_stats(spark, d):
     """Nearest-rank percentiles per user."""
@@ -221,9 +258,11 @@ def retention_curve(spark, d):
     return planner.retention_curve(planner.plan_sessions(*_planning(spark, d)))
 
 
-@query()
+TREE = "SELECT {level} AS level, node // 256 AS node, sha256(string_agg(digest, ',' ORDER BY node, digest)) AS digest FROM {below} GROUP BY node // 256"
+
+
+@query(f"""WITH l0 AS (SELECT coalesce(doc_id, -1) AS node, sha256(coalesce(text, '')) AS digest FROM documents), l1 AS ({TREE.format(level=1, below='l0')}), l2 AS ({TREE.format(level=2, below='l1')}),
+l3 AS ({TREE.format(level=3, below='l2')}), l4 AS ({TREE.format(level=4, below='l3')}) SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4""")
 def corpus_digest(spark, d):
-    """A digest over all documents, by parts."""
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part")
-    rows = read(spark, d, "documents").select(part, "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    return rows.groupBy("part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
+    """A tree of digests over all documents: each node digests those of up to 256 below it."""
+    return provenance.digest_tree(read(spark, d, "documents").select(F.coalesce("doc_id", F.lit(-1)).alias("node"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")), 4)
