@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from . import derivation as D
 
 
-def visible(facts0: DataFrame, permitted: DataFrame) -> DataFrame:
-    """principal, entity, space, fact_id, ord: the level-0 facts each principal may read."""
-    return facts0.join(permitted.select("principal", "space"), "space")
+def visible(facts0: DataFrame, permitted: DataFrame, by: str = "principal") -> DataFrame:
+    """by, entity, space, fact_id, ord: the level-0 facts each principal (or set of spaces) may read."""
+    return facts0.join(permitted.select(by, "space"), "space")
 
 
 def reconstruct(seen: DataFrame, by: str = "principal") -> dict[str, DataFrame]:
@@ -34,10 +34,10 @@ def rebuilt_claims(seen: DataFrame, by: str = "principal") -> DataFrame:
     )
 
 
-def phantom_denials(denied: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """``denied`` (principal, claim, level) with phantom: whether the refused claim can be rebuilt all the same."""
-    r = rebuilt.select("principal", "claim", F.lit(True).alias("hit")).distinct()
-    return denied.join(r, ["principal", "claim"], "left").withColumn("phantom", F.coalesce("hit", F.lit(False))).drop("hit")
+def phantom_denials(denied: DataFrame, rebuilt: DataFrame, by: str = "principal") -> DataFrame:
+    """``denied`` (by, claim, level) with phantom: whether the refused claim can be rebuilt all the same."""
+    r = rebuilt.select(by, "claim", F.lit(True).alias("hit")).distinct()
+    return denied.join(r, [by, "claim"], "left").withColumn("phantom", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
 def span_costs(seen: DataFrame, by: str = "principal") -> DataFrame:
@@ -80,8 +80,9 @@ def cuts_hold(seen: DataFrame, pairs: DataFrame, by: str = "principal") -> DataF
     case = F.concat_ws("|", F.col(by).cast("string"), "a", "b")
     costs = span_costs(seen, by)
     gone = withheld(seen, costs.join(pairs.select(by, "a", "b"), [by, "a", "b"], "left_semi"), by).withColumn("case", case)
-    # only facts of entities and spaces of the pair can matter to it
-    each = pairs.select(by, "a", "b", case.alias("case")).join(seen, by)
+    # of entities that do not stand in both spaces of a pair, no fact matters to it
+    both = costs.select(by, "a", "b", "entity")
+    each = pairs.select(by, "a", "b", case.alias("case")).join(both, [by, "a", "b"]).join(seen, [by, "entity"])
     left = each.join(gone.select("case", "fact_id").distinct(), ["case", "fact_id"], "left_anti")
     again = D.pairs(D.person_support(left.select("case", "entity", "space", "fact_id", "ord"), ("case",)), ("case",))
     hit = again.select("case", "a", "b", F.lit(True).alias("still"))

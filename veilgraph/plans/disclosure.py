@@ -65,6 +65,26 @@ class Case:
     def seen(self) -> DataFrame:
         return A.visible(self.w.facts0, self.permitted)
 
+    @cached_property
+    def sets(self) -> DataFrame:
+        """sig, perm, np: the distinct sets of spaces, and how many principals have each."""
+        return settle(self.perms.groupBy("perm").agg(F.count(F.lit(1)).alias("np")).withColumn("sig", F.sha2(csv("perm"), 256)))
+
+    @cached_property
+    def seen_by_set(self) -> DataFrame:
+        """sig, entity, space, fact_id, ord: what principals with a set of spaces may read; the adversary works once for all of them."""
+        return A.visible(self.w.facts0, self.sets.select("sig", F.explode("perm").alias("space")), "sig")
+
+    def by_principal(self, rows: DataFrame) -> DataFrame:
+        """Rows by ``sig`` for every principal with that set."""
+        return rows.join(self.perms.select("principal", F.sha2(csv("perm"), 256).alias("sig")), "sig").drop("sig")
+
+    def refused(self, facts: DataFrame) -> DataFrame:
+        """``facts`` (with req) x the sets of spaces that they are refused to."""
+        sets = self.sets.select("sig", "perm", "np")
+        distinct = facts.select("req").distinct().crossJoin(sets).filter(~P.admissible(F.col("perm"), F.col("req"))).drop("perm")
+        return facts.join(distinct, "req")
+
     @cached_property
     def claims(self) -> DataFrame:
         """fact_id, entity, space: what level-0 and person facts assert."""
@@ -347,41 +367,40 @@ pair_cost AS (SELECT principal, a, b, count(*) AS n_spans, CASE WHEN count(*) >=
 @query(SEEN + "SELECT principal, a, b, n_people FROM v_pair")
 def reconstruct_pairs(c: Case):
     """Pairings each principal can rebuild."""
-    return A.reconstruct(c.seen)["pair"]
+    return c.by_principal(A.reconstruct(c.seen_by_set, "sig")["pair"]).select("principal", "a", "b", "n_people")
 
 
 @query(SEEN + "SELECT principal, a, b, c FROM v_cluster")
 def reconstruct_clusters(c: Case):
     """Clusters each principal can rebuild."""
-    return A.reconstruct(c.seen)["cluster"]
+    return c.by_principal(A.reconstruct(c.seen_by_set, "sig")["cluster"]).select("principal", "a", "b", "c")
 
 
 @query("SELECT level, count(DISTINCT claim) AS n_claims, count(*) AS n_refusals FROM pairs_fp WHERE NOT ok GROUP BY level")
 def protected_claims(c: Case):
     """Refused derived claims."""
-    rows = c.facts.filter("level > 0").select("level", "claim", "req").crossJoin(c.perms.groupBy("perm").agg(F.count(F.lit(1)).alias("np")))
-    refused = rows.filter(~P.admissible(F.col("perm"), F.col("req")))
-    return refused.groupBy("level").agg(F.count_distinct("claim").alias("n_claims"), F.sum("np").alias("n_refusals"))
+    return c.refused(c.facts.filter("level > 0").select("level", "claim", "req")).groupBy("level").agg(F.count_distinct("claim").alias("n_claims"), F.sum("np").alias("n_refusals"))
 
 
 @query(SEEN + """SELECT level, count(*) AS n_denied, count_if(r.claim IS NOT NULL) AS n_phantom FROM pairs_fp d LEFT JOIN rebuilt r ON r.principal = d.principal AND r.claim = d.claim
   WHERE NOT ok GROUP BY level""")
 def phantom_by_depth(c: Case):
     """Refusals that protect nothing, by level."""
-    denied = c.pairs(c.facts.select("level", "claim", "req")).filter(~P.admissible(F.col("perm"), F.col("req"))).select("principal", "claim", "level")
-    return A.phantom_denials(denied, A.rebuilt_claims(c.seen)).groupBy("level").agg(F.count(F.lit(1)).alias("n_denied"), F.count_if("phantom").alias("n_phantom"))
+    told = A.phantom_denials(c.refused(c.facts.select("level", "claim", "req")), A.rebuilt_claims(c.seen_by_set, "sig"), "sig")
+    return told.groupBy("level").agg(F.sum("np").alias("n_denied"), F.sum(F.when(F.col("phantom"), F.col("np")).otherwise(0)).alias("n_phantom"))
 
 
 @query(SEEN + "SELECT principal, a, b, count(*) AS n_spans, sum(cost)::BIGINT AS total, max(cost) AS dearest FROM cost GROUP BY ALL")
 def span_cost(c: Case):
     """What ending the spans of each pair costs."""
-    return A.span_costs(c.seen).groupBy("principal", "a", "b").agg(F.count(F.lit(1)).alias("n_spans"), F.sum("cost").alias("total"), F.max("cost").alias("dearest"))
+    costs = A.span_costs(c.seen_by_set, "sig").groupBy("sig", "a", "b").agg(F.count(F.lit(1)).alias("n_spans"), F.sum("cost").alias("total"), F.max("cost").alias("dearest"))
+    return c.by_principal(costs).select("principal", "a", "b", "n_spans", "total", "dearest")
 
 
 @query(SEEN + "SELECT principal, a, b, n_spans, cost FROM pair_cost")
 def pair_cut(c: Case):
     """The cut of each pair."""
-    return A.pair_cuts(A.span_costs(c.seen))
+    return c.by_principal(A.pair_cuts(A.span_costs(c.seen_by_set, "sig"), "sig")).select("principal", "a", "b", "n_spans", "cost")
 
 
 @query(SEEN + """SELECT v.principal, v.a, v.b, v.c, least(coalesce(x.cost, 0), coalesce(y.cost, 0), coalesce(z.cost, 0)) AS cost FROM v_cluster v
@@ -389,13 +408,27 @@ def pair_cut(c: Case):
   LEFT JOIN pair_cost z ON z.principal = v.principal AND z.a = v.b AND z.b = v.c""")
 def cluster_cut(c: Case):
     """The cut of each cluster."""
-    return A.cluster_cuts(A.pair_cuts(A.span_costs(c.seen)), A.reconstruct(c.seen)["cluster"])
+    seen = c.seen_by_set
+    cuts = A.cluster_cuts(A.pair_cuts(A.span_costs(seen, "sig"), "sig"), A.reconstruct(seen, "sig")["cluster"], "sig")
+    return c.by_principal(cuts).select("principal", "a", "b", "c", "cost")
 
 
-@query()
+@query(SEEN + """, ranked AS (SELECT c.*, row_number() OVER (PARTITION BY c.principal, c.a, c.b ORDER BY c.cost DESC, c.entity) AS rk FROM cost c JOIN v_pair USING (principal, a, b)),
+n AS (SELECT principal, entity, space, count(*) AS n FROM seen GROUP BY ALL),
+side AS (SELECT r.principal, r.a, r.b, r.entity, CASE WHEN x.n <= y.n THEN r.a ELSE r.b END AS space FROM ranked r JOIN n x ON x.principal = r.principal AND x.entity = r.entity AND x.space = r.a
+  JOIN n y ON y.principal = r.principal AND y.entity = r.entity AND y.space = r.b WHERE rk > 1),
+kept AS (SELECT c.principal, c.a, c.b, s.entity, s.space, s.fact_id, s.k1, s.k2, s.k3, s.k4 FROM ranked c JOIN seen s ON s.principal = c.principal AND s.entity = c.entity
+  WHERE NOT EXISTS (SELECT 1 FROM side d WHERE d.principal = c.principal AND d.a = c.a AND d.b = c.b AND d.entity = s.entity AND d.space = s.space)),
+kf AS (SELECT *, row_number() OVER (PARTITION BY principal, a, b, entity ORDER BY k1, k2, k3, k4) AS nth, count(*) OVER (PARTITION BY principal, a, b, entity) AS ns FROM (
+  SELECT *, row_number() OVER (PARTITION BY principal, a, b, entity, space ORDER BY k1, k2, k3, k4) AS rn FROM kept) WHERE rn = 1),
+again AS (SELECT principal, a, b, count(*) AS n FROM (SELECT principal, a, b, entity FROM kf WHERE ns >= 2 AND nth <= 6 AND space IN (a, b) GROUP BY ALL HAVING count(*) = 2) GROUP BY ALL),
+gone AS (SELECT d.principal, d.a, d.b, count(*) AS n FROM side d JOIN seen s ON s.principal = d.principal AND s.entity = d.entity AND s.space = d.space GROUP BY ALL)
+SELECT v.principal, v.a, v.b, coalesce(again.n, 0) < 2 AS holds, coalesce(gone.n, 0) AS n_withheld FROM v_pair v LEFT JOIN again USING (principal, a, b) LEFT JOIN gone USING (principal, a, b)""")
 def cut_holds(c: Case):
     """Pairs that the cut truly ends, by deriving again without the withheld facts."""
-    return A.cuts_hold(c.seen, A.reconstruct(c.seen)["pair"].select("principal", "a", "b"))
+    seen = c.seen_by_set
+    held = A.cuts_hold(seen, A.reconstruct(seen, "sig")["pair"].select("sig", "a", "b"), "sig")
+    return c.by_principal(held).select("principal", "a", "b", "holds", "n_withheld")
 
 
 @query(SEEN + """, ranked AS (SELECT c.*, row_number() OVER (PARTITION BY c.principal, c.a, c.b ORDER BY c.cost DESC, c.entity) AS rk FROM cost c JOIN v_pair USING (principal, a, b)),
@@ -405,10 +438,11 @@ side AS (SELECT r.principal, r.entity, CASE WHEN x.n <= y.n THEN r.a ELSE r.b EN
 SELECT (SELECT count(*) FROM seen) AS n_held, (SELECT count(*) FROM (SELECT DISTINCT s.principal, s.fact_id FROM seen s JOIN side USING (principal, entity, space))) AS n_withheld""")
 def evidence_loss(c: Case):
     """How much readable evidence all cuts together withhold."""
-    pairs = A.reconstruct(c.seen)["pair"]
-    costs = A.span_costs(c.seen).join(pairs.select("principal", "a", "b"), ["principal", "a", "b"], "left_semi")
-    gone = A.withheld(c.seen, costs).select("principal", "fact_id").distinct().agg(F.count(F.lit(1)).alias("n_withheld"))
-    return c.seen.agg(F.count(F.lit(1)).alias("n_held")).crossJoin(gone)
+    seen, times = c.seen_by_set, c.sets.select("sig", "np")
+    pairs = A.reconstruct(seen, "sig")["pair"]
+    costs = A.span_costs(seen, "sig").join(pairs.select("sig", "a", "b"), ["sig", "a", "b"], "left_semi")
+    gone = A.withheld(seen, costs, "sig").select("sig", "fact_id").distinct().join(times, "sig").agg(F.coalesce(F.sum("np"), F.lit(0)).alias("n_withheld"))
+    return seen.groupBy("sig").count().join(times, "sig").agg(F.coalesce(F.sum(F.col("count") * F.col("np")), F.lit(0)).alias("n_held")).crossJoin(gone)
 
 
 @query(""", again AS (SELECT principal, space FROM permitted UNION SELECT c.manager, p.space FROM org_closure c JOIN permitted p ON p.principal = c.report)
@@ -573,18 +607,18 @@ s AS (SELECT d.principal, d.fact_id, d.level, avg(CASE WHEN k.space IS NULL THEN
 SELECT level, count(*) AS n, round(avg(share), 6) AS mean_share, count_if(share = 1) AS n_exact, count_if(share = 0) AS n_zero FROM s GROUP BY level""")
 def recovery_by_depth(c: Case):
     """How much of a refused person fact its asker already knows."""
-    denied = c.pairs(c.facts.filter("level = 1").select("fact_id", "level", "req")).filter(~P.admissible(F.col("perm"), F.col("req"))).select("principal", "fact_id", "level")
-    return channels.recovery(denied, derivation.person_support(c.w.facts0).select("fact_id", "entity", "space"), c.seen)
+    denied = c.refused(c.facts.filter("level = 1").select("fact_id", "level", "req")).select("sig", "fact_id", "level", "np")
+    return channels.recovery(denied, derivation.person_support(c.w.facts0).select("fact_id", "entity", "space"), c.seen_by_set, "sig", "np")
 
 
-@query("""SELECT round(sum(j.n / t.t * log2(j.n * t.t / (x.n * y.n))), 6) AS mi_bits, round((SELECT sum(-n / t * log2(n / t)) FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS t FROM pairs_fp WHERE level = 2 GROUP BY ok)), 6) AS entropy_x_bits
-  FROM (SELECT ok, filed_ok, count(*)::DOUBLE AS n FROM pairs_fp WHERE level = 2 GROUP BY ALL) j JOIN (SELECT ok, count(*)::DOUBLE AS n FROM pairs_fp WHERE level = 2 GROUP BY ALL) x ON x.ok = j.ok
-  JOIN (SELECT filed_ok, count(*)::DOUBLE AS n FROM pairs_fp WHERE level = 2 GROUP BY ALL) y ON y.filed_ok = j.filed_ok, (SELECT count(*)::DOUBLE AS t FROM pairs_fp WHERE level = 2) t""")
+@query("""SELECT round(sum(j.n / t.t * log2(j.n * t.t / (x.n * y.n))), 6) AS mi_bits, round((SELECT sum(-n / t * log2(n / t)) FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS t FROM pairs_fp GROUP BY ok)), 6) AS entropy_x_bits
+  FROM (SELECT ok, filed_ok, count(*)::DOUBLE AS n FROM pairs_fp GROUP BY ALL) j JOIN (SELECT ok, count(*)::DOUBLE AS n FROM pairs_fp GROUP BY ALL) x ON x.ok = j.ok
+  JOIN (SELECT filed_ok, count(*)::DOUBLE AS n FROM pairs_fp GROUP BY ALL) y ON y.filed_ok = j.filed_ok, (SELECT count(*)::DOUBLE AS t FROM pairs_fp) t""")
 def refusal_mutual_information(c: Case):
-    """Bits that the filed-under verdict gives away about the true one, for pairings."""
+    """Bits that the filed-under verdict gives away about the true one."""
     g = P.gates(F.col("perm"), F.col("req"), F.col("space"))
-    rows = c.pairs(c.facts.filter("level = 2").select("req", "space")).select(g["derivation-aware"].alias("ok"), g["document-acl"].alias("filed"))
-    return channels.mutual_information(rows, "ok", "filed")
+    rows = P.signatures(c.facts, c.perms).select(g["derivation-aware"].alias("ok"), g["document-acl"].alias("filed"), "n")
+    return channels.mutual_information(rows, "ok", "filed", "n")
 
 
 @query("""SELECT principal, space, documents, count(*) FILTER (WHERE hit) AS derived, count(*) FILTER (WHERE hit AND list_has_any(req, old)) AS by_combination FROM (
