@@ -47,12 +47,38 @@ def test_evaluation_sees_the_same_candidates(spark, service):
     t = evaluation.trials(hits, service.facts, service.perms)
     s = {r.system: (r.trials, r.leaked) for r in evaluation.summary(t).collect()}
     assert s == {"ungated": (4, 2), "document-acl": (4, 1), "derivation-aware": (4, 0)} and evaluation.parity(t).isEmpty()
-    walks = evaluation.narrowing(spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 0)], "case string, claim string, n_carriers long")).collect()
-    assert {r.case: r.won for r in walks} == {"a": True, "b": False}
     about = spark.createDataFrame([("f1", "ann", 0), ("d1", "bob", 1)], "fact_id string, entity string, level int")
     assert [r.answer for r in dense.answer_people(hits, about).filter("query_id = 0").collect()] == [["bob"]]
 
 
+def test_red_team_gains_every_claim_of_an_admitted_fact(spark):
+    rows = [("t", "ann", "A"), ("t", "ann", "B"), ("t", "ann", "C"), ("w1", "ann", "A"), ("w1", "ann", "B"), ("w2", "ann", "C"), ("u", "bob", "A"), ("u", "bob", "B")]
+    claims = spark.createDataFrame(rows, "fact_id string, entity string, space string")
+    facts = spark.createDataFrame([("t", 1, ["A", "B", "C"]), ("w1", 0, ["A"]), ("w2", 0, ["C"]), ("u", 1, ["A", "B"])], "fact_id string, level int, req array<string>")
+    sets = spark.createDataFrame([("all but b", ["A", "C"]), ("a", ["A"]), ("none", [])], "sig string, perm array<string>")
+    got = {(r.sig, r.target): (r.turns, round(r.coverage, 3), r.reconstructed) for r in evaluation.red_team(claims, facts, sets).collect()}
+    assert got["all but b", "t"] == (2, 1.0, True) and got["a", "t"] == (2, 0.667, False) and got["none", "t"] == (1, 0.0, False)
+    assert got["a", "u"] == (1, 0.0, False) and len(got) == 6
+    assert evaluation.red_team(claims, facts, sets, sequences=2).count() == 2
+
+
+def test_answers_of_every_kind(spark):
+    q = spark.createDataFrame(
+        [(1, "PR", True, '["https://x/a/pull/7"]'), (2, "url", True, '["http://y/z"]'), (3, "company", True, '["Acme"]'), (4, "person", True, '["ann"]'), (5, "essay", True, '["x"]'), (6, "url", False, '["u"]'), (7, "url", True, "text")],
+        "query_id long, type string, answerable boolean, ground_truth string",
+    )
+    asked = evaluation.scoreable(q)
+    assert {r.query_id: r.kind for r in asked.collect()} == {1: "pr", 2: "url", 3: "company", 4: "person"}
+    sources = spark.createDataFrame([("s1", "slack", None, "see https://x/a/pull/7, ok"), ("s2", "url", "http://y/z", "Acme was here http://y/q)."), ("s3", "pr", "https://x/b/pull/8", "")], "doc_id string, kind string, locator string, text string")
+    hits = spark.createDataFrame([(i, s, 1.0) for i in (1, 2, 3, 4) for s in ("s1", "s2", "s3")], "query_id long, doc_id string, score double")
+    about = spark.createDataFrame([("s1", "ann", 0)], "fact_id string, entity string, level int")
+    customers = spark.createDataFrame([("Acme",), ("Other",)], "name string")
+    got = evaluation.answers(asked, hits, sources, about, customers)
+    assert {r.query_id: r.answer for r in got.collect()} == {1: ["https://x/a/pull/7", "https://x/b/pull/8"], 2: ["http://y/q", "http://y/z", "https://x/a/pull/7"], 3: ["Acme"], 4: ["ann"]}
+    u = evaluation.utility(asked, got).collect()[0]
+    assert (u.n, u.recall) == (4, 1.0) and abs(u.precision - (0.5 + 1 / 3 + 2) / 4) < 1e-3
+
+
 def test_links(spark):
     row = spark.sql("SELECT 'see https://a.b/c), and http://x.y.' AS t").select(dense.links_in(F.col("t")).alias("u")).collect()[0]
     assert row.u == ["https://a.b/c", "http://x.y"]

@@ -20,14 +20,16 @@ SCHEMA = (
 )
 
 
-def refuse_content(entries: DataFrame, detail: str = "detail") -> DataFrame:
+def refuse_content(entries: DataFrame, detail: str = "detail_map") -> DataFrame:
     """Fails on rows whose detail names a content field: the log holds identifiers alone."""
     bad = F.coalesce(F.exists(F.map_keys(detail), lambda k: k.rlike(CONTENT)), F.lit(False))
     return entries.withColumn(detail, F.when(bad, F.raise_error(F.lit("audit: content field"))).otherwise(F.col(detail)))
 
 
 def _entries(entries: DataFrame) -> DataFrame:
-    """The entries with every column; what is not given is null."""
+    """The entries with every column; what is not given is null, and a detail in JSON becomes a map."""
+    if dict(entries.dtypes).get("detail") == "string":
+        entries = entries.withColumn("detail", F.expr("transform_values(cast(parse_json(detail) as map<string, variant>), (k, v) -> to_json(v))"))
     kinds = {x.split()[0]: x.split()[1] for x in SCHEMA.replace("map<string,string>", "map").split(", ")} | {"detail": "map<string,string>"}
     return entries.select(*[(F.col(c) if c in entries.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in COLUMNS])
 
@@ -41,10 +43,10 @@ def record(entries: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """The entries (chain, seq, at, decision, principal, facts, and if given required, missing, would_complete, detail) with prev and hash.
 
     ``seq`` orders the new entries of a chain. They go on where the chain ends in ``log``: their seq counts on from its last, or
-    stays as it is for a new chain. ``detail`` maps names to JSON scalars (texts in quotes); names of content fields fail.
+    stays as it is for a new chain. ``detail`` maps names to JSON scalars (texts in quotes), or is a JSON object; names of content fields fail.
     Writing is sequential by nature, so a log is split into chains (a principal, a day), each hashed in order in a task of its own.
     """
-    rows = refuse_content(_entries(entries))
+    rows = refuse_content(_entries(entries), "detail")
     if log is None:
         rows = rows.withColumn("h_seq", F.lit(None).cast("long")).withColumn("h_hash", F.lit(None).cast("string"))
     else:

@@ -140,3 +140,45 @@ def resolve(mentions: DataFrame, sources: DataFrame, employees: DataFrame, roste
     sure = mentions.filter("register = 'identifier'").selectExpr("source_id", "nth", "employee_id as resolved", "'identifier' as method", "1L as candidates", "1D as confidence")
     none = named.join(decided, ["source_id", "nth"], "left_anti").selectExpr("source_id", "nth", "cast(null as string) as resolved", "'abstained' as method", "0L as candidates", "0D as confidence")
     return sure.unionByName(decided).unionByName(none)
+
+
+def mention_stats(mentions: DataFrame) -> DataFrame:
+    """register, n, n_sources: mentions by register, and the sources that have any."""
+    return mentions.groupBy("register").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_id").alias("n_sources"))
+
+
+def pool_sizes(mentions: DataFrame, employees: DataFrame) -> DataFrame:
+    """source_id, nth, before: how many people a mention's name could mean, before anything is resolved."""
+    index = name_index(employees).groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"))
+    full = index.filter("kind = 'full'").select(F.col("key").alias("k"), F.col("n").alias("n_full"))
+    first = index.filter("kind = 'first'").select(F.col("key").alias("f"), F.col("n").alias("n_first"))
+    key = F.lower("surface")
+    rows = mentions.join(full, key == F.col("k"), "left").join(first, F.split(key, " ")[0] == F.col("f"), "left")
+    before = F.when(F.col("register") == "identifier", 1).otherwise(F.coalesce("n_full", "n_first", F.lit(0)))
+    return rows.select("source_id", "nth", before.cast("long").alias("before"))
+
+
+def resolution_stats(resolved: DataFrame, pools: DataFrame) -> DataFrame:
+    """method, n, n_resolved, mean_before, mean_after: how far the cascade narrows the people a name could mean."""
+    rows = resolved.join(pools, ["source_id", "nth"])
+    mean = lambda c: F.round(F.avg(c), 2)
+    return rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count("resolved").alias("n_resolved"), mean("before").alias("mean_before"), mean("candidates").alias("mean_after"))
+
+
+def resolution_accuracy(mentions: DataFrame, resolved: DataFrame, sources: DataFrame) -> DataFrame:
+    """method, evaluated, correct, wrong, abstained over names in transcripts that list their participants; a resolution is right if it is one of them."""
+    room = sources.filter("kind = 'meeting_transcript'").select("source_id", F.filter("participants", lambda p: p.startswith("eid_")).alias("room")).filter("size(room) > 0")
+    names = mentions.filter("register != 'identifier' and employee_id is null").select("source_id", "nth")
+    rows = names.join(room, "source_id").join(resolved, ["source_id", "nth"])
+    right = F.array_contains("room", F.col("resolved"))
+    return rows.groupBy("method").agg(
+        F.count(F.lit(1)).alias("evaluated"), F.count_if(F.coalesce(right, F.lit(False))).alias("correct"), F.count_if(F.col("resolved").isNotNull() & ~right).alias("wrong"),
+        F.count_if(F.col("resolved").isNull()).alias("abstained"),
+    )
+
+
+def accuracy_summary(by_method: DataFrame) -> DataFrame:
+    """evaluated, correct, wrong, abstained, precision, recall; precision is of those resolved, recall of all."""
+    total = by_method.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("evaluated", "correct", "wrong", "abstained")])
+    rate = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
+    return total.select("*", rate(F.col("correct"), F.col("correct") + F.col("wrong")).alias("precision"), rate(F.col("correct"), F.col("evaluated")).alias("recall"))

@@ -71,3 +71,39 @@ def simulate_grants(perms: DataFrame, grants: DataFrame, facts0: DataFrame, fact
     return rows.join(gain, ["old", "space"]).join(docs, "space", "left").select(
         "principal", "space", F.when(held, F.lit(0)).otherwise(F.coalesce("n_docs", F.lit(0))).alias("documents"), "derived", "by_combination"
     )
+
+
+def from_model(member_of: DataFrame) -> DataFrame:
+    """subject, space: the grants that a model of memberships stands for."""
+    return member_of.select(F.col("principal").alias("subject"), "space").distinct()
+
+
+def most_affected(impacts: DataFrame, most: int = 20) -> DataFrame:
+    """The ``most`` impacts by derived facts gained, then documents gained, then principal."""
+    return impacts.orderBy(F.desc("derived_gained"), F.desc("documents_gained"), "principal").limit(most)
+
+
+def impact_totals(impacts: DataFrame) -> DataFrame:
+    """One row: principals affected, what all of them gain and lose, and derived facts gained per document gained."""
+    names = ("documents_gained", "documents_lost", "derived_gained", "derived_lost", "by_combination")
+    total = impacts.agg(F.count(F.lit(1)).alias("principals"), *[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names])
+    return total.select("*", F.round(F.coalesce(F.try_divide("derived_gained", "documents_gained"), F.lit(0.0)), 6).alias("hidden_ratio"))
+
+
+def grant_summary(simulated: DataFrame) -> DataFrame:
+    """One row over simulated grants (documents, derived, by_combination): totals, how many unlock anything, mean and median yield."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    ratio = F.when(F.col("documents") > 0, F.col("derived") / F.col("documents"))
+    out = simulated.agg(
+        F.count(F.lit(1)).alias("simulated"), total("documents"), total("derived"), total("by_combination"), n(F.col("derived") > 0, "with_derived"), n(F.col("by_combination") > 0, "with_combination"),
+        F.round(F.median(ratio), 4).alias("median_per_document"),
+    )
+    return out.select("*", F.round(F.col("derived") / F.greatest("with_derived", F.lit(1)), 2).alias("mean_per_unlocking"))
+
+
+def widest(simulated: DataFrame, most: int = 5) -> DataFrame:
+    """The grant that unlocks most of each space (ties: the least principal), the ``most`` widest spaces first."""
+    key = F.struct((-F.col("derived")).alias("d"), "principal")
+    best = simulated.groupBy("space").agg(F.min(F.struct(key.alias("key"), "principal", "documents", "derived", "by_combination")).alias("x")).select("space", "x.principal", "x.documents", "x.derived", "x.by_combination")
+    return best.orderBy(F.desc("derived"), "space").limit(most)
