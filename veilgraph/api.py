@@ -11,8 +11,8 @@ from .operators import audit, permissions, planner, policy, provenance, retrieva
 class Service:
     """Facts (fact_id, level, space, text, req), permissions and reporting lines, and what can be asked of them."""
 
-    def __init__(self, facts: DataFrame, permitted: DataFrame, edges: DataFrame | None = None):
-        self.facts, self.permitted, self.edges = facts, permitted, edges
+    def __init__(self, facts: DataFrame, permitted: DataFrame, edges: DataFrame | None = None, asked: DataFrame | None = None):
+        self.facts, self.permitted, self.edges, self.asked = facts, permitted, edges, asked
         self.perms = permissions.as_arrays(permitted)
 
     def overview(self) -> DataFrame:
@@ -21,6 +21,18 @@ class Service:
     def principals(self) -> DataFrame:
         return self.perms.select("principal", F.size("perm").alias("n_spaces")).orderBy(F.desc("n_spaces"), "principal")
 
+    def questions(self, most: int = 50) -> DataFrame:
+        """The first questions of the corpus that have an answer."""
+        return self.asked.filter("answerable").orderBy("space", "question").limit(most)
+
+    def answer_as(self, principal, question: str, top: int = 8) -> DataFrame:
+        """said, doc_id, text: what a principal is told. Nothing found and nothing admitted are said alike, so that a refusal tells nothing."""
+        rows = self.ask_as(principal, question, top).filter("admitted").join(self.facts.select(F.col("fact_id").alias("doc_id"), "text"), "doc_id")
+        told = rows.select(F.lit("found").alias("said"), "doc_id", "text")
+        blank = self.facts.sparkSession.createDataFrame([("nothing available to you answers this",)], "said string")
+        nothing = blank.join(told.limit(1).select(F.lit(1).alias("some")), F.lit(True), "left").filter("some is null").select("said", F.lit(None).cast("string").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+        return told.unionByName(nothing)
+
     def _perm(self, principal):
         return self.perms.filter(F.col("principal") == principal).select("perm")
 
@@ -69,13 +81,59 @@ def audit_tail(log: DataFrame, n: int = 20) -> DataFrame:
     return log.orderBy(F.desc("seq")).limit(n)
 
 
-def verdict_matrix(facts: DataFrame, perms: DataFrame) -> DataFrame:
-    """fact_id, principal, verdicts: what each gate says of each derived fact."""
-    g = permissions.gates(F.col("perm"), F.col("req"), F.col("space"))
-    parts = [x for k, v in g.items() for x in (F.lit(k), v)]
-    return facts.filter("level > 0").crossJoin(perms).select("fact_id", "principal", F.create_map(*parts).alias("verdicts"))
+def session_state(disclosed: DataFrame) -> DataFrame:
+    """principal, size, queries, determines of what was disclosed in sessions (principal, query, fact_id, level, entity, space, claim)."""
+
+    def count(pdf):
+        import pandas as pd
+
+        facts = list(pdf.sort_values("fact_id")[["fact_id", "level", "entity", "space", "claim"]].itertuples(index=False, name=None))
+        return pd.DataFrame([(pdf["principal"].iloc[0], pdf["fact_id"].nunique(), pdf["query"].nunique(), len(planner.closure(facts)))], columns=["principal", "size", "queries", "determines"])
 
+    kind = disclosed.schema["principal"].dataType.simpleString()
+    return disclosed.groupBy("principal").applyInPandas(count, f"principal {kind}, size long, queries long, determines long")
 
-def report_card(checks: dict[str, DataFrame]) -> dict[str, str]:
-    """'pass' where a check's table of failures is empty, else 'fail'; 'missing' for None."""
-    return {name: "missing" if df is None else "pass" if df.isEmpty() else "fail" for name, df in checks.items()}
+
+def session_reset(disclosed: DataFrame, principals: DataFrame) -> DataFrame:
+    """What stays disclosed once the sessions of ``principals`` (principal) are reset."""
+    return disclosed.join(principals.select("principal"), "principal", "left_anti")
+
+
+def verdict_matrix(facts: DataFrame, perms: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """fact_id, principal, verdicts, and with ``edges`` the fact's chain: what each gate says of each derived fact."""
+    g = permissions.gates(F.col("perm"), F.col("req"), F.col("space"))
+    parts = [x for k, v in g.items() for x in (F.lit(k), v)]
+    out = facts.filter("level > 0").crossJoin(perms).select("fact_id", "principal", F.create_map(*parts).alias("verdicts"))
+    return out if edges is None else out.join(provenance.chains(edges), "fact_id", "left")
+
+
+#: What a report card asks of a run: area and claim of each check, by the summary that it reads and the rule it must meet.
+CHECKS = (
+    ("inference", "no refusal of level 1 is phantom", lambda s: s["phantom"]["1"] == 0),
+    ("inference", "every cut holds", lambda s: s["cuts_held"] == s["cuts"]),
+    ("inference", "phantom refusals have not grown", lambda s: s["phantom_total"] <= s["phantom_before"]),
+    ("planner", "no plan was returned unsafe", lambda s: s["unsafe"] == 0),
+    ("planner", "safety costs nothing at the usual depth", lambda s: s["constrained"] == 0),
+    ("planner", "the constraint binds somewhere", lambda s: any(s["sweep"])),
+    ("policy", "a policy compiled again does not drift", lambda s: s["drift"] == 0),
+    ("attack", "no leak under the claim-aware gate", lambda s: s["leaks"]["claim-aware"] == 0),
+    ("model", "no probe is told true by a model", lambda s: s["tp"] == 0),
+)
+
+
+def report_card(summaries: dict[str, dict], commit: str | None = None) -> list[tuple[str, str, str]]:
+    """(area, claim, status) of every check: 'missing' without a summary of its area, 'fail' where its rule is broken or cannot be read, 'stale'
+    where the summary was made at another commit, else 'pass'."""
+    out = []
+    for area, claim, rule in CHECKS:
+        s = summaries.get(area)
+        if s is None:
+            out.append((area, claim, "missing"))
+            continue
+        try:
+            good = bool(rule(s))
+        except (KeyError, TypeError):
+            good = False
+        old = commit is not None and s.get("commit") not in (None, "unknown", commit)
+        out.append((area, claim, "fail" if not good else "stale" if old else "pass"))
+    return out

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .retrieval import bm25
 
 DIMS = 256
 MASK = 0xFFFFFFFF
@@ -65,11 +66,20 @@ def _schema(docs: DataFrame):
     return T.StructType([*docs.select("doc_id").schema.fields, T.StructField("v", T.ArrayType(T.DoubleType()))])
 
 
-def by_citation(questions: DataFrame, support: DataFrame) -> DataFrame:
-    """query_id, doc_id, score: facts under each cited source, scored 1 / (1 + place of the citation)."""
+def by_citation(questions: DataFrame, support: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score: the facts under a question's citations, in their order, scored 1, 1/2, 1/3, ...
+
+    ``questions``: query_id, citations, text; ``support``: citation, fact_id, also of derived facts. Questions without
+    citations fall back to lexical retrieval over ``docs`` (doc_id, text), where given.
+    """
     cited = questions.select("query_id", F.posexplode("citations").alias("place", "citation"))
-    hit = cited.join(support.select("citation", F.col("fact_id").alias("doc_id")), "citation")
-    return hit.groupBy("query_id", "doc_id").agg(F.max(1.0 / (1 + F.col("place"))).alias("score"))
+    hit = cited.join(support.select("citation", F.col("fact_id").alias("doc_id")), "citation").groupBy("query_id", "doc_id").agg(F.min("place").alias("place"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("place", "doc_id"))
+    out = hit.select("query_id", "doc_id", (1.0 / nth).alias("score"))
+    if docs is None:
+        return out
+    plain = questions.filter(F.coalesce(F.size("citations"), F.lit(0)) <= 0).select("query_id", "text")
+    return out.unionByName(bm25(docs, plain).select("query_id", "doc_id", "score"))
 
 
 def answer_people(hits: DataFrame, about: DataFrame, share: float = 0.45, most: int = 12) -> DataFrame:

@@ -133,3 +133,45 @@ def write_graph(edges: dict[str, DataFrame], out: str) -> None:
     """The graph as one Parquet table per edge kind."""
     for kind, df in edges.items():
         df.write.mode("overwrite").parquet(f"{out}/{kind.lower()}")
+
+
+def customers(spark: SparkSession, path: str) -> DataFrame:
+    """name: the distinct names of customers in a JSON list, or in an object of them, under company, name or customer."""
+    entry = "struct<company:string,name:string,customer:string>"
+    whole = spark.read.text(path, wholetext=True)
+    listed = F.from_json("value", f"array<{entry}>")
+    keyed = F.map_values(F.from_json("value", f"map<string,{entry}>"))
+    rows = whole.select(F.explode(F.when(F.ltrim("value").startswith("["), listed).otherwise(keyed)).alias("c"))
+    return rows.select(F.explode(F.array("c.company", "c.name", "c.customer")).alias("name")).filter("length(name) > 1").distinct()
+
+
+def save_snapshot(spark: SparkSession, snapshot: DataFrame, path: str) -> None:
+    """A snapshot (one row of :data:`SNAPSHOT`) as JSON, as :func:`load_snapshot` reads it."""
+    snapshot.select(*[f.split(" ")[0].strip() for f in ("owner", "fetchedAt", "repos", "issues", "teams")]).coalesce(1).write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
+# Capitalised words that begin no name.
+NO_NAMES = "Do No The This Target Finance General How Not Data Room Access Integration Engineering Northwind Assigning Template".split()
+
+
+def named_people(texts: DataFrame) -> DataFrame:
+    """name: the distinct pairs of capitalised words of three letters or more in (text), but for those that begin no name."""
+    pairs = F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{2,}\s+[A-Z][a-z]{2,})\b"), F.lit(1)))
+    first, last = F.regexp_extract("name", r"^(\S+)", 1), F.regexp_extract("name", r"(\S+)$", 1)
+    return texts.select(pairs.alias("name")).filter(~first.isin(NO_NAMES) & ~last.isin(NO_NAMES)).distinct()
+
+
+def snapshot_stats(spark: SparkSession, path: str) -> DataFrame:
+    """One row: owner, fetched_at, repos, private, public, issues, comments, teams, team_grants."""
+    s = spark.read.schema(SNAPSHOT).option("multiLine", True).json(path)
+    total = lambda rows, part: F.aggregate(rows, F.lit(0), lambda t, x: t + F.greatest(F.size(x[part]), F.lit(0)))
+    private = F.size(F.filter("repos", lambda r: r["private"]))
+    return s.select(
+        "owner", F.col("fetchedAt").alias("fetched_at"), F.size("repos").alias("repos"), private.alias("private"), (F.size("repos") - private).alias("public"), F.size("issues").alias("issues"),
+        total("issues", "comments").alias("comments"), F.size("teams").alias("teams"), total("teams", "repos").alias("team_grants"),
+    )
+
+
+def employees_of(ids: DataFrame, employees: DataFrame) -> DataFrame:
+    """``ids`` (employee_id) with name, role and org where known."""
+    return ids.join(employees.select(F.col("id").alias("employee_id"), *[c for c in employees.columns if c != "id"]), "employee_id", "left")
