@@ -165,3 +165,18 @@ def test_hero_and_grants(spark):
     assert [tuple(x) for x in policy.widest(sim).collect()] == [("A", "p", 4, 2, 1), ("B", "p", 0, 0, 0)]
     impacts = spark.createDataFrame([("a", 1, 0, 2, 0, 0), ("b", 9, 0, 2, 0, 0), ("c", 9, 0, 3, 0, 1)], "principal string, documents_gained long, documents_lost long, derived_gained long, derived_lost long, by_combination long")
     assert [x.principal for x in policy.most_affected(impacts, 2).collect()] == ["c", "b"] and policy.impact_totals(impacts).first().hidden_ratio == round(7 / 19, 6)
+
+
+def test_best_documents_are_the_same_either_way(spark):
+    import random
+
+    from veilgraph.operators import retrieval
+
+    rng = random.Random(6)
+    word = lambda: f"w{min(int(rng.expovariate(0.1)), 60):02}x"
+    docs = spark.createDataFrame([(f"d{i:03}", " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(300)] + [("dnull", None), ("d300", "w00x"), ("d301", "w00x")], "doc_id string, text string").repartition(5)
+    queries = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randint(0, 8)))) for i in range(25)] + [(99, "unheard")], "query_id long, text string")
+    want = sorted(map(tuple, retrieval.ranked(retrieval.bm25(docs, queries), 7).select("query_id", "rank", "doc_id", "score").collect()))
+    assert sorted(map(tuple, retrieval.bm25_best(docs, queries, 7).select("query_id", "rank", "doc_id", "score").collect())) == want
+    assert sorted(map(tuple, retrieval.bm25_best(docs, queries, 7, most=3).select("query_id", "rank", "doc_id", "score").collect())) == want
+    assert retrieval.bm25_best(docs.limit(0), queries, 7).count() == retrieval.bm25_best(docs, queries.limit(0), 7).count() == 0

@@ -65,25 +65,34 @@ def extract(sources: DataFrame, employees: DataFrame, widest: int = 3) -> DataFr
     )
     kept = known.filter(keep).select("source_id", "space", "surface", "register", "employee_id", "offset", "nth")
 
-    def consume(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        rows = []
-        for r in pdf.sort_values("nth").itertuples():
-            if r.register in ("full-name", "first-name"):
-                i, width = int(r.employee_id), len(r.surface.split(" "))
-                # the first word decides, as a name starts at a word that no other name has taken
-                if i in taken:
-                    continue
-                taken.update(range(i, i + width))
-                rows.append((r.source_id, r.space, r.surface, r.register, None, r.offset))
-            else:
-                rows.append((r.source_id, r.space, r.surface, r.register, r.employee_id, r.offset))
-        out = pd.DataFrame(rows, columns=["source_id", "space", "surface", "register", "employee_id", "offset"]).sort_values("offset", kind="stable")
-        out["nth"] = range(len(out))
-        # the first of each (register, surface) stays, with its place in the whole list
-        return out.drop_duplicates(["register", "surface"])
-
-    return kept.groupBy("source_id").applyInPandas(consume, SCHEMA)
+    def consume(batches):
+        for pdf in batches:
+            rows = []
+            for source_id, found in zip(pdf["source_id"], pdf["found"]):
+                taken: set[int] = set()
+                mine = []
+                for m in found:
+                    surface, register, extra, offset = m["surface"], m["register"], m["employee_id"], m["offset"]
+                    if register in ("full-name", "first-name"):
+                        i, width = int(extra), len(surface.split(" "))
+                        # the first word decides, as a name starts at a word that no other name has taken
+                        if i in taken:
+                            continue
+                        taken.update(range(i, i + width))
+                        extra = None
+                    mine.append((source_id, m["space"], surface, register, extra, offset))
+                mine.sort(key=lambda r: r[5])
+                seen: set = set()
+                # the first of each (register, surface in any case) stays, with its place in the whole list
+                for nth, r in enumerate(mine):
+                    if (r[3], r[2].lower()) not in seen:
+                        seen.add((r[3], r[2].lower()))
+                        rows.append((*r, nth))
+            yield pd.DataFrame(rows, columns=["source_id", "space", "surface", "register", "employee_id", "offset", "nth"])
+
+    # the mentions of one source, in the order in which they were tried
+    each = kept.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("nth", "space", "surface", "register", "employee_id", "offset"))).alias("found"))
+    return each.mapInPandas(consume, SCHEMA)
 
 
 def resolve(mentions: DataFrame, sources: DataFrame, employees: DataFrame, roster: DataFrame) -> DataFrame:

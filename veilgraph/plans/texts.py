@@ -68,7 +68,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 def _bm25(spark, d, k):
     docs = read(spark, d, "documents")
     queries = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return docs, retrieval.ranked(retrieval.bm25(docs, queries), k)
+    return docs, retrieval.bm25_best(docs, queries, k)
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, rank, round(score, 3) AS score FROM r WHERE rank <= 10")
