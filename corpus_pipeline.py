@@ -1,7 +1,12 @@
 """The training-corpus pipeline: what it rejects, merges, sanitises, mixes and encodes.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which :func:`run` writes to the
-cluster's shared folder and reads again for the next one. All but the last return the columns of documents.
+cluster's shared folder and reads again for the next one. All but the last return the columns of documents; extra columns are left out.
+
+Defined results, in every stage: repeated rows are each treated alike and all stay or all go; an empty table gives an empty result. Rows without an id
+are kept by every stage, and near copies of nothing; rows without a text score as the share of toxic labels, are near copies of nothing, stay null, take
+no words of the mix (so the mix leaves them out) and have no tokens. Without labels of both kinds nothing is toxic as long as less than half of the labels are.
+Texts of any length are worked on whole. Ties between near copies go to the lowest id.
 """
 
 from __future__ import annotations
