@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """``df`` checkpointed in the folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and everything runs on one machine."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="veilgraph-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="veilgraph-"))
     return df.checkpoint()
 
 
