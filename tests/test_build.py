@@ -180,3 +180,18 @@ def test_best_documents_are_the_same_either_way(spark):
     assert sorted(map(tuple, retrieval.bm25_best(docs, queries, 7).select("query_id", "rank", "doc_id", "score").collect())) == want
     assert sorted(map(tuple, retrieval.bm25_best(docs, queries, 7, most=3).select("query_id", "rank", "doc_id", "score").collect())) == want
     assert retrieval.bm25_best(docs.limit(0), queries, 7).count() == retrieval.bm25_best(docs, queries.limit(0), 7).count() == 0
+
+
+def test_planner_sweep_plans_every_depth_alone(spark):
+    from veilgraph.operators import planner
+
+    rows = [(1, 0, r, f"f{r}", 0, f"e{r // 2 % 2}", "AB"[r % 2], "") for r in range(1, 9)] + [(2, 5, 1, "x", 0, "e9", "A", "")]
+    cand = spark.createDataFrame(rows, "principal long, query long, rank int, fact_id string, level int, entity string, space string, claim string")
+    secret = spark.createDataFrame([(1, "pair|A|B"), (2, "none")], "principal long, claim string")
+    got = {r.k: (r.queries, r.bound, r.suppressed) for r in planner.sweep(cand, secret, (1, 3, 8)).collect()}
+    want = {}
+    for k in (1, 3, 8):
+        kept, dropped, safe = planner.plan([r[3:] for r in rows if r[0] == 1 and r[2] <= k], [], {"pair|A|B"})
+        assert safe
+        want[k] = (2, int(bool(dropped)), len(dropped))
+    assert got == want and want[8][1] == 1

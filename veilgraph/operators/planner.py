@@ -140,3 +140,19 @@ def retention_curve(plans: DataFrame) -> DataFrame:
     per = plans.groupBy("query").agg(F.sum("n_disclosed").alias("d"), F.sum("n_admissible").alias("a"))
     w = Window.orderBy("query").rowsBetween(Window.unboundedPreceding, 0)
     return per.select("query", F.round(F.sum("d").over(w) / F.sum("a").over(w), 6).alias("retention"))
+
+
+def sweep(candidates: DataFrame, protected: DataFrame, depths: tuple[int, ...] = (10, 20, 50, 100, 200)) -> DataFrame:
+    """k, queries, bound, suppressed, retention: answers planned alone from the first ``k`` candidates of each, for every depth.
+
+    ``bound``: answers from which something had to go. If no depth binds, the guarantee is free and also untested.
+    """
+    each = candidates.withColumn("k", F.explode(F.array(*[F.lit(d) for d in depths]))).filter(F.col("rank") <= F.col("k"))
+    # every depth of an answer is a query of its own, so that one pass over the principals plans them all
+    key = F.col("query") * len(depths) + F.array_position(F.array(*[F.lit(d) for d in depths]), F.col("k")) - 1
+    plans = plan_sessions(each.withColumn("query", key.cast("long")).drop("k"), protected, session=False)
+    depth = F.element_at(F.array(*[F.lit(d) for d in depths]), (F.col("query") % len(depths) + 1).cast("int"))
+    return plans.groupBy(depth.alias("k")).agg(
+        F.count(F.lit(1)).alias("queries"), F.count_if(F.col("n_suppressed") > 0).alias("bound"), F.sum("n_suppressed").alias("suppressed"),
+        F.round(F.sum("n_disclosed") / F.sum("n_admissible"), 6).alias("retention"),
+    )

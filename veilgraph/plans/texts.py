@@ -261,6 +261,12 @@ def retention_curve(spark, d):
 TREE = "SELECT {level} AS level, node // 256 AS node, sha256(string_agg(digest, ',' ORDER BY node, digest)) AS digest FROM {below} GROUP BY node // 256"
 
 
+@query()
+def planner_sweep(spark, d):
+    """How deep answers go before the plan has to hold something back."""
+    return planner.sweep(*_planning(spark, d, turns=4, size=1 << 30))
+
+
 @query(f"""WITH l0 AS (SELECT coalesce(doc_id, -1) AS node, sha256(coalesce(text, '')) AS digest FROM documents), l1 AS ({TREE.format(level=1, below='l0')}), l2 AS ({TREE.format(level=2, below='l1')}),
 l3 AS ({TREE.format(level=3, below='l2')}), l4 AS ({TREE.format(level=4, below='l3')}) SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4""")
 def corpus_digest(spark, d):
