@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .scratch import let_go
 from .units import NEW_WORD, Encoder, load
 
 #: Texts are worked on together in slices of about so many bytes and at most so many rows; encoding gains from longer ones.
@@ -152,6 +153,7 @@ def in_slices(batches, text: str, most=SLICE_BYTES):
             part = batch.slice(i, j - i)
             yield part, part.column(at).to_pylist()
             i = j
+    let_go()
 
 
 def encode(docs: DataFrame, path: str, text="text") -> DataFrame:

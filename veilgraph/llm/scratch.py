@@ -10,18 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 
+#: Rows of an Arrow batch where the session leaves Spark's own number: batches of texts stay at some MB on both sides.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 SETTING, CLEAN_UP = "spark.checkpoint.dir", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def ready(spark: SparkSession) -> None:
+    """Sends the package to the workers and keeps Arrow batches small."""
+    ship(spark)
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, BATCH_ROWS)
+
+
+def let_go() -> None:
+    """In a Python worker, at the end of a task: hands freed memory back, as workers outlive tasks and stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the setting is missing (tests, a laptop) a temporary folder is made
-    and put into the session's settings, so that it is chosen once.
+    Where the setting is missing and everything runs on one machine (tests, a laptop), a temporary folder is made
+    and put into the session's settings, so that it is chosen once; a cluster without the setting is refused.
     """
-    ship(spark)
+    ready(spark)
     known = spark.conf.get(SETTING, None)
     if not known:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"{SETTING} must name a folder that the whole cluster shares")
         known = "file://" + tempfile.mkdtemp(prefix="veilgraph-")
         spark.conf.set(SETTING, known)
     return known.rstrip("/")
@@ -66,5 +90,5 @@ def drop(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
