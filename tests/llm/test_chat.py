@@ -150,3 +150,9 @@ def test_formatted_is_in_order(spark):
 
 def test_empty_table(spark):
     assert chat.op7(spark.createDataFrame([], ROWS)).count() == 0
+
+
+def test_long_messages(spark):
+    text = "".join(call(f"i{k}", after=[f"i{k - 1}"] if k % 50 else []) + result(f"i{k}", "r" * 300) for k in range(1500)) + "z" * 1_000_000
+    got = chat.op7(spark.createDataFrame([(1, 0, "assistant", text)], ROWS)).collect()
+    assert len(got) == 3001 and {r.status for r in got if r.kind == "result"} == {"ok"} and max(r.place.level for r in got) == 49

@@ -86,3 +86,18 @@ def test_connected_components(spark, edges):
             parent[b] = a
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {x: find(x) for x in parent}
+
+
+def test_names_of_sets_that_share_half_a_digest(docs_of, monkeypatch):
+    whole = jaccard.digest
+    monkeypatch.setattr(jaccard, "digest", lambda found: b"\0" * 8 + whole(found)[8:])  # all first halves are alike
+    rows = texts(4, n_groups=2, copies=4)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(rows), 3, 90).collect()}
+    assert found == brute(rows, 3, 90)
+
+
+def test_long_texts(docs_of):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, " ".join(f"v{i}" for i in range(200_000))), (4, "short")]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op6(docs_of(rows)).collect()}
+    assert found == {1: (199_998, 1), 2: (199_999, 1), 3: (199_998, 3), 4: (1, 4)}

@@ -55,3 +55,31 @@ def test_stages(spark, corpus):
 
 def test_run(spark, corpus):
     assert cp.run(spark, corpus[0]).count() > 200
+
+
+def test_nulls_repeats_and_long_texts_in_every_stage(spark, tmp_path):
+    long = " ".join(f"w{i % 977} x{i}" for i in range(120_000))
+    rows = [
+        (None, None, None, None, None), (None, "an id is missing here", "en", "s", 5), (1, None, "en", None, None), (1, None, "en", None, None), (2, "", None, "s", 0),
+        (3, long, "en", "s", len(long)), (4, long + " tail", "en", "s", None), (5, "twice the same row", "en", "s", 1), (5, "twice the same row", "en", "s", 1), (6, "mail a.b@c.org", "en", None, 1),
+    ]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, None, 1), (5, 1, None), (6, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = cp.stash(cp.reject_toxic(spark, docs, str(tmp_path)), "t")
+    assert kept.count() == len(rows)  # without labels of both kinds nothing is toxic
+    one = cp.stash(cp.merge_near_copies(spark, kept, str(tmp_path)), "t")
+    assert sorted((r.doc_id or 0) for r in one.collect()) == [0, 0, 1, 1, 2, 3, 5, 5, 6]
+    clean = cp.stash(cp.sanitise(spark, one, str(tmp_path)), "t")
+    assert {r.text for r in clean.filter("doc_id = 6").collect()} == {"mail [EMAIL]"} and clean.count() == 9
+    mixed = cp.stash(cp.mix_sources(spark, clean, str(tmp_path)), "t")
+    assert mixed.columns == cp.COLUMNS
+    assert {r.n_tokens for r in cp.encode(spark, one.filter("doc_id in (1, 2)"), str(tmp_path)).collect()} == {0}
+    assert cp.run(spark, str(tmp_path)).columns == ["doc_id", "source", "n_tokens", "ids"]
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0

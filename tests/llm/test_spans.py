@@ -241,3 +241,9 @@ def test_terms_become_the_class_that_gives_away_less(docs_of):
     assert pii.GENERALISE <= terms[11].share < pii.REMOVE and terms[11].kept in ("zor", "z")
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert clean[0] == f"matter0 of {terms[11].kept}* [EMAIL]" and clean[4] == "Zorbulon travels"
+
+
+def test_long_texts_of_personal_data(docs_of):
+    body = " ".join(f"word{i % 5000} 10.0.{i % 256}.{i % 199} " + "filler text " * 8 for i in range(8000))
+    found = pii.op2(docs_of([(1, body), (2, "x")])).filter("doc_id = 1").collect()[0]
+    assert found.n_ip == 8000 and len(body) > 900_000
