@@ -70,15 +70,20 @@ def base_spans(docs: DataFrame, text="text") -> DataFrame:
     return found.withColumn("vg_words", words).drop("vg_word", "vg_cut_word", "vg_at_word")
 
 
+def _beginnings(words: Column) -> Column:
+    """The distinct classes that words fall into."""
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(*[F.substring(w, 1, k) for k in CLASSES]))))
+
+
 def _held(found: DataFrame) -> DataFrame:
     """doc_id, vg_hash, entities, words (array<struct<term, start, end>>), copies for each text that holds an entity; equal rows are one."""
     m = found.filter("size(vg_entities) > 0").select("doc_id", "vg_hash", F.col("vg_entities").alias("entities"), F.col("vg_words").alias("words"))
     return m.groupBy("doc_id", "vg_hash").agg(F.first("entities").alias("entities"), F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))
 
 
-def disclosing_terms(held: DataFrame, docs: DataFrame, text="text", generalise=GENERALISE, support=SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """The terms that give away at least ``generalise`` of an entity's information: (entity, term, share, n_entity), and
-    (doc_id, vg_hash, entity, term) for the documents that hold both.
+def disclosing_terms(held: DataFrame, docs: DataFrame, text="text", generalise=GENERALISE, support=SUPPORT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The terms that give away at least ``generalise`` of an entity's information: (entity, term, share, n_entity);
+    (doc_id, vg_hash, entity, term) for the documents that hold both; and (class, n_class), how many documents have a word of each class.
 
     No term that can reach ``generalise`` is passed over: as a pair stands in at most ``n_entity`` documents, its share is at most
     ``log(n_docs / n_term) / log(n_docs / n_entity)``, so terms with more than ``n_docs^(1-g) n_entity^g`` documents are left out of pairs.
@@ -93,8 +98,11 @@ def disclosing_terms(held: DataFrame, docs: DataFrame, text="text", generalise=G
     bound = lambda n_entity: F.pow(F.lit(n), F.lit(1 - generalise)) * F.pow(n_entity.cast("double"), F.lit(generalise)) * (1 + 1e-9)
     most = entity.agg(F.max("n_entity")).first()[0] or 0
     words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
-    term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    term = term.filter((F.col("n_term") >= support) & (F.col("n_term") <= bound(F.lit(most))))
+    # words and their classes (behind a mark that begins no word) are counted in one pass over the texts
+    kinds = docs.select(words.alias("w")).select(F.explode(F.concat("w", F.transform(_beginnings(F.col("w")), lambda c: F.concat(F.lit("*"), c)))).alias("term"))
+    counts = stash(kinds.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).filter(F.col("n_term") >= support), "pii-counts")
+    term = counts.filter(~F.col("term").startswith("*") & (F.col("n_term") <= bound(F.lit(most))))
+    n_class = counts.filter(F.col("term").startswith("*")).select(F.expr("substring(term, 2)").alias("class"), F.col("n_term").alias("n_class"))
     theirs = held.select(*keys, F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term")).join(term, "term")
     mine = mine.join(entity, "entity").withColumnsRenamed({"doc_id": "e_id", "vg_hash": "e_hash"})
     same = F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("vg_hash") == F.col("e_hash"))
@@ -107,23 +115,15 @@ def disclosing_terms(held: DataFrame, docs: DataFrame, text="text", generalise=G
     p_e, p_t = F.col("n_entity") / F.lit(n), F.col("n_term") / F.lit(n)
     share = F.log(F.col("n_pair") / F.lit(n) / (p_e * p_t)) / -F.log(p_e)
     told = pair.filter(F.col("support") >= support).select("entity", "term", share.alias("share"), "n_entity").filter(F.col("share") >= generalise)
-    return told, both.select(*keys, "entity", "term")
+    return told, both.select(*keys, "entity", "term"), n_class
 
 
-def _beginnings(words: Column) -> Column:
-    """The distinct classes that words fall into."""
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(*[F.substring(w, 1, k) for k in CLASSES]))))
-
-
-def harmless_classes(telling: DataFrame, held: DataFrame, docs: DataFrame, text="text", generalise=GENERALISE, remove=REMOVE) -> DataFrame:
+def harmless_classes(telling: DataFrame, held: DataFrame, n_class: DataFrame, n_docs: int, generalise=GENERALISE, remove=REMOVE) -> DataFrame:
     """entity, term, fits: of each telling term that need not be removed, the lengths of the beginnings whose class gives away less than ``generalise``."""
-    n = float(max(docs.count(), 1))
+    n = float(max(n_docs, 1))
     cut = telling.filter(F.col("share") < remove).withColumn("k", F.explode(F.array(*map(F.lit, CLASSES)))).filter(F.length("term") > F.col("k"))
     cut = stash(cut.select("entity", "term", "n_entity", "k", F.expr("substring(term, 1, k)").alias("class")), "pii-classes")
     asked = cut.select("class").distinct()
-    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower)
-    # counted by document before they are dealt out by class
-    n_class = docs.select(F.explode(_beginnings(words)).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_class")).join(asked, "class", "left_semi")
     theirs = held.select("copies", "entities", F.explode(_beginnings(F.transform("words", lambda w: w["term"]))).alias("class")).join(asked, "class", "left_semi")
     n_pair = theirs.select("copies", "class", F.explode("entities").alias("entity")).join(cut.select("entity", "class").distinct(), ["entity", "class"], "left_semi")
     n_pair = n_pair.groupBy("entity", "class").agg(F.sum("copies").alias("n_pair"))
@@ -134,9 +134,9 @@ def harmless_classes(telling: DataFrame, held: DataFrame, docs: DataFrame, text=
 
 def _places(held: DataFrame, docs: DataFrame, text: str, generalise: float, support: int) -> DataFrame:
     """vg_t_id, vg_t_hash, vg_terms: array<struct<start, end, share, kept>> of the disclosing terms of each text; ``kept`` is the class that a term becomes, null to remove it."""
-    telling, both = disclosing_terms(held, docs, text, generalise, support)
+    telling, both, n_class = disclosing_terms(held, docs, text, generalise, support)
     telling = stash(telling, "pii-terms")
-    fits = harmless_classes(telling, held, docs, text, generalise)
+    fits = harmless_classes(telling, held, n_class, docs.count(), generalise)
     told = both.join(telling.join(fits, ["entity", "term"], "left").select("entity", "term", "share", "fits"), ["entity", "term"])
     every = [F.bool_and(F.coalesce(F.array_contains("fits", F.lit(k)), F.lit(False))) for k in CLASSES]
     longest = F.coalesce(*[F.when(fit, F.lit(k)) for k, fit in zip(CLASSES, every)])
@@ -163,7 +163,8 @@ def _with_terms(found: DataFrame, places: DataFrame) -> DataFrame:
 def detect(docs: DataFrame, text="text", generalise=GENERALISE, support=SUPPORT) -> DataFrame:
     """``docs`` with the base spans and vg_terms, array<struct<start, end, share, kept>> of disclosing terms."""
     found = base_spans(docs, text)
-    spans = stash(found.select("doc_id", "vg_hash", "vg_entities", "vg_words").filter("size(vg_entities) > 0"), "pii-found")
+    # of all rows: a filter here would have the optimizer repeat the whole span search in it
+    spans = stash(found.select("doc_id", "vg_hash", "vg_entities", "vg_words"), "pii-found")
     places = _places(stash(_held(spans), "pii-held"), docs, text, generalise, support)
     return _with_terms(found, places)
 
