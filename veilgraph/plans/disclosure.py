@@ -79,11 +79,10 @@ class Case:
         """Rows by ``sig`` for every principal with that set."""
         return rows.join(self.perms.select("principal", F.sha2(csv("perm"), 256).alias("sig")), "sig").drop("sig")
 
-    def refused(self, facts: DataFrame) -> DataFrame:
-        """``facts`` (with req) x the sets of spaces that they are refused to."""
-        sets = self.sets.select("sig", "perm", "np")
-        distinct = facts.select("req").distinct().crossJoin(sets).filter(~P.admissible(F.col("perm"), F.col("req"))).drop("perm")
-        return facts.join(distinct, "req")
+    def refusals(self, facts: DataFrame) -> DataFrame:
+        """level, req, n: how often facts with a requirement are refused."""
+        s = P.signatures(facts, self.perms, "level").filter(~P.admissible(F.col("perm"), F.col("req")))
+        return s.groupBy("level", "req").agg(F.sum("n").alias("n"))
 
     @cached_property
     def claims(self) -> DataFrame:
@@ -321,8 +320,7 @@ def audience_collapse(c: Case):
 def invariant_violations(c: Case):
     """Pairs disclosed under one formulation of the requirement and not under the other."""
     walk = provenance.required_by_walk(c.derived[1], c.w.facts0).groupBy("fact_id").agg(F.array_sort(F.collect_set("space")).alias("truth"))
-    sets = c.facts.join(walk, "fact_id").groupBy("req", "truth").agg(F.count(F.lit(1)).alias("nf")).crossJoin(c.perms.groupBy("perm").agg(F.count(F.lit(1)).alias("np")))
-    n = F.col("nf") * F.col("np")
+    sets, n = P.signatures(c.facts.join(walk, "fact_id"), c.perms, "truth"), F.col("n")
     bad = P.admissible(F.col("perm"), F.col("req")) & ~P.admissible(F.col("perm"), F.col("truth"))
     return sets.agg(F.sum(n).alias("n_pairs"), F.sum(F.when(bad, n).otherwise(0)).alias("n_violations"))
 
@@ -343,9 +341,8 @@ def dkl_score(c: Case):
   ORDER BY n_audience, n_spaces DESC, fact_id LIMIT 40""")
 def risk_surface(c: Case):
     """The 40 derived facts with the smallest audience."""
-    aud = P.signatures(c.facts, c.perms).groupBy("req").agg(F.max("n_principals").alias("x"))
-    sets = c.facts.select("req").distinct().crossJoin(c.perms.groupBy("perm").agg(F.count(F.lit(1)).alias("np")))
-    aud = sets.groupBy("req").agg(F.sum(F.when(P.admissible(F.col("perm"), F.col("req")), F.col("np")).otherwise(0)).alias("n_audience"))
+    ok = F.when(P.admissible(F.col("perm"), F.col("req")), F.col("n_principals")).otherwise(0)
+    aud = P.signatures(c.facts.withColumn("space", F.get("req", F.lit(0))), c.perms).groupBy("req").agg(F.sum(ok).alias("n_audience"))
     rows = c.facts.join(aud, "req").select("fact_id", "level", "n_audience", F.size("req").cast("long").alias("n_spaces"))
     return rows.orderBy("n_audience", F.desc("n_spaces"), "fact_id").limit(40)
 
@@ -379,15 +376,20 @@ def reconstruct_clusters(c: Case):
 @query("SELECT level, count(DISTINCT claim) AS n_claims, count(*) AS n_refusals FROM pairs_fp WHERE NOT ok GROUP BY level")
 def protected_claims(c: Case):
     """Refused derived claims."""
-    return c.refused(c.facts.filter("level > 0").select("level", "claim", "req")).groupBy("level").agg(F.count_distinct("claim").alias("n_claims"), F.sum("np").alias("n_refusals"))
+    told = c.refusals(c.facts).filter("level > 0")
+    claims_ = c.facts.join(told.select("level", "req"), ["level", "req"], "left_semi").groupBy("level").agg(F.count_distinct("claim").alias("n_claims"))
+    return claims_.join(told.groupBy("level").agg(F.sum("n").alias("n_refusals")), "level")
 
 
 @query(SEEN + """SELECT level, count(*) AS n_denied, count_if(r.claim IS NOT NULL) AS n_phantom FROM pairs_fp d LEFT JOIN rebuilt r ON r.principal = d.principal AND r.claim = d.claim
   WHERE NOT ok GROUP BY level""")
 def phantom_by_depth(c: Case):
     """Refusals that protect nothing, by level."""
-    told = A.phantom_denials(c.refused(c.facts.select("level", "claim", "req")), A.rebuilt_claims(c.seen_by_set, "sig"), "sig")
-    return told.groupBy("level").agg(F.sum("np").alias("n_denied"), F.sum(F.when(F.col("phantom"), F.col("np")).otherwise(0)).alias("n_phantom"))
+    # what is rebuilt meets the facts by its claim; only the refused ones count
+    hit = A.rebuilt_claims(c.seen_by_set, "sig").distinct().join(c.facts.select("level", "claim", "req"), "claim").join(c.sets, "sig")
+    hit = hit.filter(~P.admissible(F.col("perm"), F.col("req"))).groupBy("level").agg(F.sum("np").alias("n_phantom"))
+    denied = c.refusals(c.facts).groupBy("level").agg(F.sum("n").alias("n_denied"))
+    return denied.join(hit, "level", "left").select("level", "n_denied", F.coalesce("n_phantom", F.lit(0)).alias("n_phantom"))
 
 
 @query(SEEN + "SELECT principal, a, b, count(*) AS n_spans, sum(cost)::BIGINT AS total, max(cost) AS dearest FROM cost GROUP BY ALL")
@@ -607,8 +609,9 @@ s AS (SELECT d.principal, d.fact_id, d.level, avg(CASE WHEN k.space IS NULL THEN
 SELECT level, count(*) AS n, round(avg(share), 6) AS mean_share, count_if(share = 1) AS n_exact, count_if(share = 0) AS n_zero FROM s GROUP BY level""")
 def recovery_by_depth(c: Case):
     """How much of a refused person fact its asker already knows."""
-    denied = c.refused(c.facts.filter("level = 1").select("fact_id", "level", "req")).select("sig", "fact_id", "level", "np")
-    return channels.recovery(denied, derivation.person_support(c.w.facts0).select("fact_id", "entity", "space"), c.seen_by_set, "sig", "np")
+    people = c.facts.filter("level = 1")
+    refused = c.refusals(people).groupBy("level").agg(F.sum("n").alias("n"))
+    return channels.recovery(refused, people.select("fact_id", "level", "req"), derivation.person_support(c.w.facts0).select("fact_id", "entity", "space"), c.seen_by_set, c.sets)
 
 
 @query("""SELECT round(sum(j.n / t.t * log2(j.n * t.t / (x.n * y.n))), 6) AS mi_bits, round((SELECT sum(-n / t * log2(n / t)) FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS t FROM pairs_fp GROUP BY ok)), 6) AS entropy_x_bits
