@@ -195,3 +195,19 @@ def test_planner_sweep_plans_every_depth_alone(spark):
         assert safe
         want[k] = (2, int(bool(dropped)), len(dropped))
     assert got == want and want[8][1] == 1
+
+
+def test_a_reset_within_a_batch_starts_a_new_session(spark, tmp_path):
+    from veilgraph.streaming.ledger import plan_stream
+
+    schema = "principal string, rank int, fact_id string, level int, entity string, space string, claim string"
+    one = [("p", 0, "f1", 0, "x", "A", "")]
+    two = [("p", 0, "f2", 0, "x", "B", ""), ("p", 1, None, None, None, None, None), ("p", 2, "f3", 0, "x", "B", "")]
+    for i, rows in enumerate((one, two)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    q = plan_stream(stream, lambda principal: {"person:x"}).writeStream.format("memory").queryName("reset_ledger").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.fact_id: (r.query, r.disclosed) for r in spark.table("reset_ledger").collect()}
+    assert got == {"f1": (1, True), "f2": (2, False), "f3": (1, True)}
