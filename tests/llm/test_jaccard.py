@@ -101,3 +101,10 @@ def test_long_texts(docs_of):
     rows = [(1, long), (2, long + " end"), (3, " ".join(f"v{i}" for i in range(200_000))), (4, "short")]
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op6(docs_of(rows)).collect()}
     assert found == {1: (199_998, 1), 2: (199_999, 1), 3: (199_998, 3), 4: (1, 4)}
+
+
+def test_keep_one_beside_a_clashing_name(docs_of):
+    from pyspark.sql import functions as F
+
+    left = jaccard.keep_one(docs_of([(1, "a b c d e f"), (2, "a b c d e f")]).withColumn("vg_gone", F.lit(1)))
+    assert [(r.doc_id, r.vg_gone) for r in left.collect()] == [(1, 1)]

@@ -30,3 +30,14 @@ def test_mix_repeats_and_reruns(docs_of):
     a, b = (sorted((r.doc_id or -1) for r in mixing.mix(docs).collect()) for _ in range(2))
     assert a == b and mixing.mix(docs).columns == docs.columns
     assert mixing.mix(docs_of([])).count() == 0
+
+
+def test_own_columns_of_the_same_names_stay(docs_of):
+    from pyspark.sql import functions as F
+
+    docs = docs_of([(i, "a b c", f"s{i % 2}") for i in range(8)])
+    for c in ("vg_copies", "vg_i", "vg_size", "vg_rank", "vgp_p"):
+        docs = docs.withColumn(c, F.concat(F.lit(c), "doc_id"))
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and out.count() > 0
+    assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in ("vg_copies", "vg_i", "vg_size", "vg_rank"))

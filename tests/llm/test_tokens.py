@@ -69,3 +69,10 @@ def test_random_access_and_small_segments(spark, docs_of, tmp_path):
 
 def test_empty_table(docs_of):
     assert codes.op5(docs_of([]), PATH).count() == 0 and bpe.op8(docs_of([]), PATH).count() == 0
+
+
+def test_names_that_clash_are_refused(docs_of):
+    from pyspark.sql import functions as F
+
+    with pytest.raises(ValueError, match="vg_ids"):
+        bpe.encode(docs_of([(1, "x")]).withColumn("VG_ids", F.lit(1)), PATH)

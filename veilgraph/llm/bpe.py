@@ -9,7 +9,8 @@ leave. Decoding joins the bytes of the tokens.
 Defined results: null and empty texts have no ids and decode to the empty text;
 special tokens in a text become their ids; ids that are no valid UTF-8 together
 decode with replacement characters; repeated rows are each encoded; an empty
-table gives an empty result; extra columns pass through (the columns added start with ``vg_``).
+table gives an empty result; extra columns pass through (the columns added are ``vg_ids`` and ``vg_text``; a table that has
+them already is refused).
 """
 
 from __future__ import annotations
@@ -156,9 +157,16 @@ def in_slices(batches, text: str, most=SLICE_BYTES):
     let_go()
 
 
+def with_room(df: DataFrame, *added: str) -> list[str]:
+    """The columns of ``df``; an error where one has the name of a column to be added."""
+    if taken := {c.lower() for c in df.columns} & set(added):
+        raise ValueError(f"the table has columns of the result's names: {sorted(taken)}")
+    return df.columns
+
+
 def encode(docs: DataFrame, path: str, text="text") -> DataFrame:
     """``docs`` with vg_ids, the ids as array<int>."""
-    names = [c for c in docs.columns]
+    names = with_room(docs, "vg_ids")
 
     def run(batches):
         c = codec(path)
@@ -171,7 +179,7 @@ def encode(docs: DataFrame, path: str, text="text") -> DataFrame:
 
 def decode(tokens: DataFrame, path: str, ids="vg_ids") -> DataFrame:
     """``tokens`` with vg_text, the text that the ids stand for."""
-    names = [c for c in tokens.columns]
+    names = with_room(tokens, "vg_text")
 
     def run(batches):
         c = codec(path)

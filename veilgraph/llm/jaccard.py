@@ -358,7 +358,7 @@ def keep_one(docs: DataFrame, width=5, percent=80) -> DataFrame:
     """``docs`` with the lowest id of every component only; rows repeated under that id all stay."""
     found = jaccard_components(docs, width, percent)
     gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("vg_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("vg_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["vg_gone"], "left_anti")
 
 
 def op6(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ the bytes of media without any never move. Every media is verified against its d
 
 Defined results: null and empty texts are 64 bytes 0; equal texts share media, chunks and
 values; repeated rows have a row each; an empty table gives an empty result;
-extra columns pass through (the columns added start with ``vg_``).
+extra columns pass through :func:`recipes` (the columns added start with ``vg_``; a table that has them already is refused).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import in_slices
+from .bpe import in_slices, with_room
 from .scratch import drop, new_path, stash, writing
 
 UNIT, RATE = 64, 8000
@@ -104,7 +104,7 @@ def _chunks(media: bytes):
 
 def recipes(docs: DataFrame, text="text") -> DataFrame:
     """``docs`` without ``text``, with vg_n_bytes, vg_media (its digest), vg_media_bytes and vg_chunks."""
-    names = [c for c in docs.columns if c != text]
+    names = [c for c in with_room(docs, "vg_n_bytes", "vg_media", "vg_media_bytes", "vg_chunks") if c != text]
 
     def run(batches):
         for part, texts in in_slices(batches, text):

@@ -6,7 +6,8 @@ fractional part is an inclusion probability ``p``. Documents draw a uniform
 ``u`` from a digest of their id, and are ranked by ``odds(u) / odds(p)``; the
 sample is the front of that order whose words come nearest to what is left of
 the target. The front is found by counting words in cells of the rank (two
-rounds), so no source is ever sorted or gathered in one task.
+rounds), so no source is ever sorted or gathered in one task. As ``p`` is one number per source, the rank
+within a source is the order of the draws; it is between sources that inclusion differs.
 
 Defined results: null or empty texts have size 0 and take nothing; a null source
 is a source of its own, ordered last; rows repeated under one id and size share
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import stash
+from .spans import shielded
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -187,9 +189,10 @@ def apply_mix(docs: DataFrame, plan: DataFrame, text="text") -> DataFrame:
 
 
 def mix(docs: DataFrame, **rules) -> DataFrame:
-    """The mixed corpus: every document as often as the mix takes it, with the columns of ``docs``."""
-    out = apply_mix(docs, plan_mix(docs, **rules)).filter("vg_copies > 0")
-    return out.withColumn("vg_i", F.explode(F.sequence(F.lit(1), F.col("vg_copies").cast("int")))).select(*docs.columns)
+    """The mixed corpus: every document as often as the mix takes it, with the columns of ``docs``, whatever their names."""
+    plain, named = shielded(docs)
+    out = apply_mix(plain, plan_mix(plain, **rules)).filter("vg_copies > 0")
+    return named(out.withColumn("vg_i", F.explode(F.sequence(F.lit(1), F.col("vg_copies").cast("int")))))
 
 
 def op10(docs: DataFrame) -> DataFrame:

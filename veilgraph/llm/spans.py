@@ -62,11 +62,11 @@ def with_spans(df, text: Column, rules, prefix="vg_"):
 
 
 def shielded(df):
-    """``df`` with its own columns that begin like those added here (``vg_``) under free names, and the function that gives them their names back."""
+    """``df`` with its own columns that begin like those added here (``vg_``, ``vgp_``) under free names, and the function that gives them their names back."""
     names = {c.lower() for c in df.columns}
     away = {}
     for c in df.columns:
-        if c.lower().startswith("vg_"):
+        if c.lower().startswith(("vg_", "vgp_")):
             free = f"own_{c}"
             while free.lower() in names:
                 free = f"own_{free}"
