@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["permitted_spaces", "facts_l2", "required_by_walk", "gate_leaks_by_level", "phantom_by_depth", "bm25_topk", "audit_chain_verify", "disclosure_dependent_truth"]
+NAMES = ["permitted_spaces", "facts_l2", "required_by_walk", "gate_leaks_by_level", "phantom_by_depth", "bm25_topk", "audit_chain_verify", "disclosure_dependent_truth",
+         "aggregation_census", "cut_holds", "audit_tampering", "resolution_cascade", "derivation_chains", "corpus_digest", "contest_notices"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
