@@ -180,7 +180,7 @@ def audit_chain_verify(spark, d):
     return audit.verify(_log(spark, d))
 
 
-@query("""SELECT user_id::VARCHAR AS chain, count(*) AS entries, max(event_id) FILTER (WHERE event_id % 2 = 0) AS last_of_first,
+@query("""SELECT user_id::VARCHAR AS chain, count(*) AS entries, coalesce(max(event_id) FILTER (WHERE event_id % 2 = 0), -1) AS last_of_first,
   CASE WHEN count(*) FILTER (WHERE event_id % 2 = 0) > 0 THEN max(event_id) FILTER (WHERE event_id % 2 = 0) + count(*) FILTER (WHERE event_id % 2 = 1) ELSE max(event_id) END AS last_seq, true AS sound
 FROM events GROUP BY user_id""")
 def audit_resume(spark, d):
@@ -191,18 +191,19 @@ def audit_resume(spark, d):
     first = settle(audit.record(e.filter("seq % 2 = 0")))
     whole = settle(first.unionByName(audit.record(e.filter("seq % 2 = 1"), first)))
     told = audit.verify(whole).join(audit.heads(first).select("chain", F.col("seq").alias("last_of_first")), "chain", "left")
-    return told.join(audit.heads(whole).select("chain", F.col("seq").alias("last_seq")), "chain").select("chain", "entries", "last_of_first", "last_seq", F.col("broken_at").isNull().alias("sound"))
+    return told.join(audit.heads(whole).select("chain", F.col("seq").alias("last_seq")), "chain").select("chain", "entries", F.coalesce("last_of_first", F.lit(-1)).alias("last_of_first"), "last_seq", F.col("broken_at").isNull().alias("sound"))
 
 
 @query("""WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events), gone AS (SELECT * FROM e WHERE event_id % 89 = 0),
 left_ AS (SELECT e.*, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS now, place - coalesce(lag(place) OVER (PARTITION BY user_id ORDER BY event_id), -1) > 1 AS gap FROM e WHERE event_id % 89 != 0),
 bad AS (SELECT user_id, now, CASE WHEN gap THEN 'does not follow' WHEN event_id % 97 = 0 THEN 'modified' END AS reason FROM left_ WHERE gap OR event_id % 97 = 0)
-SELECT l.user_id::VARCHAR AS chain, count(*) AS entries, (SELECT min(now)::INTEGER FROM bad b WHERE b.user_id = l.user_id) AS broken_at, (SELECT arg_min(reason, now) FROM bad b WHERE b.user_id = l.user_id) AS reason
+SELECT l.user_id::VARCHAR AS chain, count(*) AS entries, coalesce((SELECT min(now)::INTEGER FROM bad b WHERE b.user_id = l.user_id), -1) AS broken_at, coalesce((SELECT arg_min(reason, now) FROM bad b WHERE b.user_id = l.user_id), '') AS reason
 FROM left_ l GROUP BY l.user_id""")
 def audit_tampering(spark, d):
-    """Where a log with entries changed and removed first breaks."""
+    """Where a log with entries changed and removed first breaks; -1 for chains that stay sound."""
     log = _log(spark, d).filter("seq % 89 != 0")
-    return audit.verify(log.withColumn("principal", F.when(F.col("seq") % 97 == 0, F.lit("p:other")).otherwise(F.col("principal"))))
+    told = audit.verify(log.withColumn("principal", F.when(F.col("seq") % 97 == 0, F.lit("p:other")).otherwise(F.col("principal"))))
+    return told.select("chain", "entries", F.coalesce("broken_at", F.lit(-1)).alias("broken_at"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 @query("SELECT event_type AS decision, count(*) AS n FROM events GROUP BY event_type")
