@@ -137,6 +137,7 @@ _codecs: dict[str, Codec] = {}
 def codec(path: str) -> Codec:
     if path not in _codecs:
         _codecs[path] = Codec(path)
+        let_go()  # reading the file takes several times what is kept of it
     return _codecs[path]
 
 
@@ -170,7 +171,7 @@ def encode(docs: DataFrame, path: str, text="text") -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for part, texts in in_slices(batches, text, ENCODED_BYTES):
+        for part, texts in in_slices(batches, text, ENCODED_BYTES // 2):
             ids, bounds = c.encode(texts)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))], names=[*names, "vg_ids"])
 
@@ -193,7 +194,7 @@ def decode(tokens: DataFrame, path: str, ids="vg_ids") -> DataFrame:
 def op8(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         c = codec(path)
-        for part, texts in in_slices(batches, "text", ENCODED_BYTES):
+        for part, texts in in_slices(batches, "text", ENCODED_BYTES // 2):
             ids, bounds = c.encode(texts)
             each = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
             sha = [hashlib.sha256(x.tobytes()).hexdigest() for x in each]
