@@ -103,3 +103,50 @@ def test_planted_pairs_are_found_in_passes(spark):
         want = near.sum(axis=1)
         assert all(got[i] <= want[i] for i in range(len(m)))  # none is false, none counts twice
         assert sum(got.values()) >= 0.99 * want.sum()
+
+
+def test_links_hang_on_no_size(spark):
+    """Pairs just above the limit, alone and among others: the same links, all of them."""
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    base, side = unit(rng.standard_normal((4500, 48))), rng.standard_normal((4500, 48))
+    side = unit(side - (side * base).sum(1, keepdims=True) * base)
+    pairs = np.concatenate([base, 0.9501 * base + np.sqrt(1 - 0.9501**2) * side])
+    for m in (pairs, np.concatenate([pairs, unit(rng.standard_normal((7000, 48)))])):
+        want = np.concatenate([(unit(m[i : i + 1000]) @ unit(m).T >= 0.95).sum(axis=1) - 1 for i in range(0, len(m), 1000)])
+        assert (want[:9000] == 1).all() and not want[9000:].any()
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>")
+        found = {r.vec_id: (r.n_links, r.component_id) for r in vectors.op9(df).collect()}
+        assert found == {i: (int(want[i]), i - 4500 if 4500 <= i < 9000 else i) for i in range(len(m))}
+
+
+def test_a_caller_may_choose_passes(spark):
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    base = unit(rng.standard_normal((2500, 32)))
+    m = unit(np.concatenate([base, base[:500] + 0.28 * unit(rng.standard_normal((500, 32)))]))
+    near = m @ m.T >= 0.95
+    np.fill_diagonal(near, False)
+    bits, passes = vectors.plan(len(m), list(m[:1000]), 0.95, move=20)
+    assert bits >= 4 and passes > vectors.TOGETHER
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(df, recall=vectors.RECALL, move=20).collect()}
+    want = near.sum(axis=1)
+    assert want.sum() >= 1000 and all(got[i] <= want[i] for i in range(len(m)))
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
+def test_looks_lose_no_pair():
+    rng = np.random.default_rng(13)
+    for dim in (2, 16, 17, 64, 200, 1024):
+        x = rng.standard_normal((2500, dim))
+        x[:300] = x[300:600] + 0.3 * rng.standard_normal((300, dim))
+        x[600:700] = x[700] + 0.2 * rng.standard_normal((100, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        times = rng.integers(1, 4, len(x))
+        near = x @ x.T >= 0.95
+        np.fill_diagonal(near, False)
+        assert (vectors._links(x, None, times, None, 0.95)[0] == near @ times).all()
+        a, b = slice(0, 1100), slice(1100, None)
+        across = vectors._links(x[a], x[b], times[a], times[b], 0.95)[0]
+        assert (across == np.concatenate([near[a, b] @ times[b], near[b, a] @ times[a]])).all()

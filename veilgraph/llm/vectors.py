@@ -1,18 +1,22 @@
-"""Embedding near-duplicates by sorted projection passes.
-
-In every pass the distinct vectors are ordered by a random hash, the signs of their products with fresh random
-directions one after the other, and a vector is compared with its window: all vectors that share the first ``bits``
-signs. Two vectors at the limit agree in a sign with probability ``p = 1 - acos(limit) / pi``, so
-``ceil(log(1 - RECALL) / log(1 - p^bits))`` passes find any such pair with a probability of ``RECALL`` at least, at every table
-size; what is closer is found more surely. :func:`plan` chooses ``bits`` by the work it costs, from the number of vectors and from how
-crowded the windows of a bounded sample are: more vectors take more bits and more passes, never a wider miss. A window that is more
-than a block is dealt into blocks, and every pair of its blocks is compared in a task of its own; no window is cut short.
-
-Within a task the vectors are sorted by the signs of their projections on ``AXES`` orthonormal directions and cut into
-runs of ``RUN``; two runs are compared, in double precision, unless the boxes of their projections are further apart
-than vectors at the limit can be (``|Pu - Pv|^2 <= |u - v|^2 = 2 - 2 cos``), or an earlier pass has compared them. A pair counts
-in the first pass whose window holds both, so passes add up. Only a row per linked
-vector leaves a task: how many rows it links with there, and the least node it is connected to there, which together
+"""Embedding near-duplicates by sorted projections.
+
+Every link is found, at every table size and however the vectors lie: the distinct vectors are dealt into blocks, and every pair of
+blocks is compared in a task of its own. Within a task the vectors are sorted by the signs of their projections on ``AXES`` orthonormal
+directions and cut into runs of ``RUN``; two runs are compared unless the boxes of their projections are further apart than vectors at
+the limit can be (``|Pu - Pv|^2 <= |u - v|^2 = 2 - 2 cos``). A pair is looked at in single precision first, by as few projections as part a
+sample well (``u v <= Pu Pv + |Ru| |Rv|``, ``R`` being what they leave of a vector) or by all components, with room for rounding; what passes is decided in
+double precision, pair by pair. Pruning hangs on the data, results do not. Where vectors lie evenly in many dimensions nothing is too far apart
+to be looked at, and the work is quadratic in the distinct vectors; blocks are dealt out in parts of ``COPIES`` copies of the table, so disk is not.
+
+A caller that names a ``recall`` below 1 chooses random hashes instead, for tables where that is too much; no table size does. In every
+pass the vectors are then ordered by the signs of their products with fresh random directions, and a vector is compared with its window: all
+vectors that share the first ``bits`` signs. Two vectors at the limit agree in a sign with probability ``p = 1 - acos(limit) / pi``, so
+``ceil(log(1 - recall) / log(1 - p^bits))`` passes find any such pair with a probability of ``recall`` at least; what is closer is found more
+surely. :func:`plan` chooses ``bits`` by the work it costs, from the number of vectors and from how crowded the windows of a bounded sample are.
+Windows are compared as the whole table is, less the pairs that an earlier pass has compared: a pair counts in the first pass whose
+window holds both, so passes add up.
+
+Only a row per linked vector leaves a task: how many rows it links with there, and the least node it is connected to there, which together
 give link counts and components without listing pairs.
 Vectors equal in every component are one node with a multiplicity, so one very common vector costs one row.
 
@@ -38,7 +42,11 @@ from .scratch import stash
 AXES, RUN = 64, 1024
 #: Most vectors of a block; a smaller window makes up to ``SPREAD`` blocks of at least ``LEAST_BLOCK``, for tasks to share. No result hangs on them.
 BLOCK, SPREAD, LEAST_BLOCK = 65536, 8, 2048
-#: The least probability with which a pair at the limit is found.
+#: Most copies of a vector that are dealt out at a time where the whole table is one window.
+COPIES = 4
+#: Projections of a first look at a pair, the rows of a sample that tells if they do, the share of its pairs they may leave, and the pairs of two runs that are worth a product of matrices.
+LOOKS, LOOK_ROWS, FEW, MANY = (16, 32), 256, 1 / 256, 16384
+#: The least probability with which passes find a pair at the limit.
 RECALL = 0.999
 #: Passes whose rows are dealt out together, and most passes of a plan.
 TOGETHER, MOST_PASSES = 4, 96
@@ -83,6 +91,44 @@ def _sorted_runs(x: np.ndarray, axes: np.ndarray, centre: np.ndarray) -> tuple[n
     return order, np.minimum.reduceat(at[order], starts), np.maximum.reduceat(at[order], starts)
 
 
+def _look(x: np.ndarray, width: int) -> np.ndarray:
+    """Rows in single precision whose products are the cosines' upper bounds by ``width`` projections, or the cosines if it is 0."""
+    if not width:
+        return x.astype(np.float32)
+    at = x @ _axes(x.shape[1])[:, :width]
+    rest = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", at, at), 0))
+    return np.column_stack([at, rest]).astype(np.float32)
+
+
+def _least(limit: float, columns: int) -> np.float32:
+    """What products of ``columns`` numbers in single precision may come to for a pair at ``limit``."""
+    return np.float32(limit - (columns + 8) * 2.0**-23)
+
+
+def _width(x: np.ndarray, y: np.ndarray, limit: float) -> int:
+    """The fewest projections of ``LOOKS`` that leave few pairs of a sample, else 0: all components. It tells in the work only."""
+    step, other = -(-len(x) // LOOK_ROWS), -(-len(y) // LOOK_ROWS)
+    a, b = x[::step], y[other // 2 :: other]
+    for width in LOOKS:
+        if width < x.shape[1] and (_look(a, width) @ _look(b, width).T >= _least(limit, width + 1)).mean() <= FEW:
+            return width
+    return 0
+
+
+def _near(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
+    """Which of the pairs of rows ``a`` of ``x`` and ``b`` of ``y`` link, by sums over one pair at a time: the last digits hang on no block."""
+    near, doubt = np.zeros(len(a), bool), np.arange(len(a))
+    if len(a) > MANY:
+        cosines = (x @ y.T)[a, b]
+        near = cosines >= limit
+        doubt = np.flatnonzero(np.abs(cosines - limit) <= (x.shape[1] + 8) * 2.0**-51)
+    step = max(1, 2**20 // x.shape[1])
+    for first in range(0, len(doubt), step):
+        some = doubt[first : first + step]
+        near[some] = np.einsum("ij,ij->i", x[a[some]], y[b[some]]) >= limit
+    return near
+
+
 def _joined(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Lets each place of ``roots`` point to the least place it is connected to, now that ``a`` and ``b`` are."""
     while True:
@@ -155,6 +201,9 @@ def _links(x, y, times_x, times_y, limit: float, past_x=None, past_y=None) -> tu
         parts.append((m[order], times[order], first + order, low, high, past, np.minimum.reduceat(past, starts), np.maximum.reduceat(past, starts)))
     (m, tm, pm, low, high, past, p_low, p_high), (o, to, po, o_low, o_high, o_past, o_p_low, o_p_high) = parts[0], parts[-1]
     total = sum(len(s[0]) for s in sides)
+    width = _width(m, o, limit)
+    look = _look(m, width)
+    o_look, least = look if own else _look(o, width), _least(limit, look.shape[1])
     counts, roots = np.zeros(total, np.int64), np.arange(total)
     reach = 2 - 2 * limit + 1e-9
     for i in range(len(low)):
@@ -165,10 +214,12 @@ def _links(x, y, times_x, times_y, limit: float, past_x=None, past_y=None) -> tu
             if own and j < i:
                 continue
             c = slice(j * RUN, (j + 1) * RUN)
-            near = m[r] @ o[c].T >= limit
+            across = look[r] @ o_look[c].T >= least
+            a, b = np.divmod(np.flatnonzero(across), across.shape[1])
             if own and i == j:
-                near = np.triu(near, 1)
-            a, b = np.nonzero(near)
+                a, b = a[a < b], b[a < b]
+            near = _near(m[r], o[c], a, b, limit)
+            a, b = a[near], b[near]
             for q in range(past.shape[1]):
                 new = past[r][a, q] != o_past[c][b, q]
                 a, b = a[new], b[new]
@@ -180,10 +231,11 @@ def _links(x, y, times_x, times_y, limit: float, past_x=None, past_y=None) -> tu
     return counts, roots
 
 
-def linked(nodes: DataFrame, turns, bits: int, limit: float, block=BLOCK) -> DataFrame:
+def linked(nodes: DataFrame, turns, bits: int, limit: float, block=BLOCK, part=0, parts=1) -> DataFrame:
     """node, head, n: for (node, unit, times), a row per node and task that found links of it in the passes ``turns``.
 
-    ``n`` adds up over the tasks and passes to the rows that the node links with, its equals not counted; the edges
+    Of the pairs of blocks of a window, only those of ``part`` are compared; each is in one of the ``parts``.
+    ``n`` adds up over the tasks, parts and passes to the rows that the node links with, its equals not counted; the edges
     (node, head) have the components of the links.
     """
 
@@ -199,16 +251,22 @@ def linked(nodes: DataFrame, turns, bits: int, limit: float, block=BLOCK) -> Dat
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(units), turn, np.int32)), pa.array(dims), pa.array(codes[:, j])], names=["node", "unit", "times", "turn", "dim", "window"])
 
     key = ["turn", "dim", "window"]
-    dealt = nodes.select("node", "unit", "times").mapInArrow(deal, "node long, unit binary, times long, turn int, dim long, window long")
-    # windows of more than a block; they are as few as blocks are full
+    dealt = nodes.select("node", "unit", "times")
+    if bits:
+        dealt = dealt.mapInArrow(deal, "node long, unit binary, times long, turn int, dim long, window long")
+    else:
+        dealt = dealt.select("*", F.lit(turns[0]).alias("turn"), (F.length("unit") / 8).cast("long").alias("dim"), F.lit(0).cast("long").alias("window"))
+    # windows of more than a block: a row for LEAST_BLOCK vectors of a pass at most, so they are broadcast; a join by their
+    # key would leave all blocks of a window in one task
     size = dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
     blocks = F.greatest(F.ceil(F.col("size") / block), F.least(F.lit(SPREAD), F.ceil(F.col("size") / LEAST_BLOCK)), F.lit(1)).cast("int")
     large = size.select(*key, blocks.alias("blocks")).filter("blocks > 1")
-    spread = dealt.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    spread = dealt.join(F.broadcast(large), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         *key, "node", "unit", "times", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block"
     )
+    spread = spread.filter(F.pmod(F.col("lo") + F.col("hi"), F.lit(parts)) == part)
 
     def run(group, pdf):
         import pandas as pd
@@ -227,19 +285,27 @@ def linked(nodes: DataFrame, turns, bits: int, limit: float, block=BLOCK) -> Dat
     return spread.groupBy(*key, "lo", "hi").applyInPandas(run, "node long, head long, n long")
 
 
-def near_duplicates(rows: DataFrame, limit=0.95, block=BLOCK, recall=RECALL, move=MOVE) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of ``rows`` (vec_id, embedding)."""
+def near_duplicates(rows: DataFrame, limit=0.95, block=BLOCK, recall=1.0, move=MOVE) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of ``rows`` (vec_id, embedding).
+
+    All links count; with a ``recall`` below 1, those that hashes find (``move`` is what :func:`plan` takes).
+    """
     known = stash(unit_vectors(rows), "vec-units")
     nodes = stash(
         known.filter("node is not null").groupBy("node").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("least")),
         "vec-nodes",
     )
-    sample = [np.frombuffer(bytes(r["unit"]), np.float64) for r in nodes.select("node", "unit").orderBy("node").limit(SAMPLE).collect()]
-    bits, passes = plan(nodes.count(), sample, limit, recall, move)
+    number, bits, passes, parts = nodes.count(), 0, 1, 1
+    if recall < 1:
+        sample = [np.frombuffer(bytes(r["unit"]), np.float64) for r in nodes.select("node", "unit").orderBy("node").limit(SAMPLE).collect()]
+        bits, passes = plan(number, sample, limit, recall, move)
+    if not bits:
+        parts = max(1, math.ceil(max(number / block, min(SPREAD, number / LEAST_BLOCK)) / COPIES))
     found = None
     for first in range(0, passes, TOGETHER):
-        some = stash(linked(nodes, tuple(range(first, min(first + TOGETHER, passes))), bits, limit, block), "vec-links")
-        found = some if found is None else found.unionByName(some)
+        for part in range(parts):
+            some = stash(linked(nodes, tuple(range(first, min(first + TOGETHER, passes))), bits, limit, block, part, parts), "vec-links")
+            found = some if found is None else found.unionByName(some)
     roots = components(found.select(F.col("node").alias("a"), F.col("head").alias("b")))
     links = found.groupBy("node").agg(F.sum("n").alias("links"))
     named = nodes.select("node", "times", "least").join(roots.toDF("r_node", "root"), F.col("node") == F.col("r_node"), "left")
