@@ -1,7 +1,7 @@
 """The training-corpus pipeline: what it rejects, merges, sanitises, mixes and encodes.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which :func:`run` writes to the
-cluster's shared folder and reads again for the next one. All but the last return the columns of documents; extra columns are left out.
+cluster's shared folder and reads again for the next one. Each begins with small executors: the heap that the one before has grown is handed back. All but the last return the columns of documents; extra columns are left out.
 
 Defined results, in every stage: repeated rows are each treated alike and all stay or all go; an empty table gives an empty result. Rows without an id
 are kept by every stage, and near copies of nothing; rows without a text score as the share of toxic labels, are near copies of nothing, stay null, take
@@ -15,18 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilgraph.llm import bpe, jaccard, mixing, pii, toxicity
 from veilgraph.llm.queries import tokenizer_path
-from veilgraph.llm.scratch import drop, stash, table
+from veilgraph.llm.scratch import drop, give_back, stash, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
+    give_back(spark)
     return toxicity.keep_harmless(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def merge_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 80 % of their 5-word shingles, the lowest id stays."""
+    give_back(spark)
     return jaccard.keep_one(docs.select(*COLUMNS), width=5, percent=80)
 
 
@@ -34,12 +36,14 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and what gives it away is replaced; n_chars follows the new text."""
     from pyspark.sql import functions as F
 
+    give_back(spark)
     clean = pii.sanitise(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
+    give_back(spark)
     return mixing.mix(docs.select(*COLUMNS))
 
 
@@ -47,6 +51,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and the token ids of every document of the mix."""
     from pyspark.sql import functions as F
 
+    give_back(spark)
     out = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path())
     return out.select("doc_id", "source", F.size("vg_ids").cast("long").alias("n_tokens"), F.col("vg_ids").alias("ids"))
 

@@ -1,5 +1,6 @@
 """The pipeline's stages on a fixture where the right rows are known."""
 
+import gc
 import random
 
 import pytest
@@ -79,6 +80,30 @@ def test_nulls_repeats_and_long_texts_in_every_stage(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).columns == ["doc_id", "source", "n_tokens", "ids"]
 
 
+def test_heap_is_handed_back_before_bpe(spark, corpus):
+    docs, jvm = spark.read.parquet(f"{corpus[0]}/documents.parquet"), spark._jvm.java.lang.Runtime.getRuntime()
+    large = spark.sparkContext._gateway.new_array(spark._jvm.long, 60 << 20)  # 480 MB
+    used, grown = jvm.totalMemory() - jvm.freeMemory(), jvm.totalMemory()
+    assert used > 480e6
+    del large
+    gc.collect()
+    cp.encode(spark, docs, corpus[0])
+    assert jvm.totalMemory() - jvm.freeMemory() < used - 400e6 and jvm.totalMemory() < grown
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_each_stage_hands_the_heap_back_first(spark, corpus, monkeypatch, name):
+    class Begun(Exception):
+        pass
+
+    def give_back(_):
+        raise Begun
+
+    monkeypatch.setattr(cp, "give_back", give_back)
+    with pytest.raises(Begun):
+        dict(cp.STAGES)[name](spark, spark.read.parquet(f"{corpus[0]}/documents.parquet"), corpus[0])
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -171,7 +171,7 @@ def encode(docs: DataFrame, path: str, text="text") -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for part, texts in in_slices(batches, text, ENCODED_BYTES // 2):
+        for part, texts in in_slices(batches, text, ENCODED_BYTES // 8):
             ids, bounds = c.encode(texts)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))], names=[*names, "vg_ids"])
 
