@@ -2,6 +2,7 @@
 
 import gc
 import random
+import time
 
 import pytest
 
@@ -87,6 +88,7 @@ def test_heap_is_handed_back_before_bpe(spark, corpus):
     assert used > 480e6
     del large
     gc.collect()
+    time.sleep(1)  # Python tells the JVM from a thread of its own
     cp.encode(spark, docs, corpus[0])
     assert jvm.totalMemory() - jvm.freeMemory() < used - 400e6 and jvm.totalMemory() < grown
 
