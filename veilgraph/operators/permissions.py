@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .loops import transitive
+from . import counting
+from .loops import settle, transitive
 
 
 def org_closure(manages: DataFrame) -> DataFrame:
@@ -70,3 +71,36 @@ def signatures(facts: DataFrame, perms: DataFrame, *group: str) -> DataFrame:
     names = [*group, "space", "req", "n_facts", "perm", "n_principals"]
     out = met.join(f, "f_key").select(*names).unionByName(rest.withColumn("perm", none).select(*names))
     return out.withColumn("n", F.col("n_facts") * F.col("n_principals"))
+
+
+def audiences(facts: DataFrame, perms: DataFrame, *group: str, also: str | None = None) -> DataFrame:
+    """Distinct (group, space, req) with n_facts, and how many principals there are, and each gate lets through: everyone, ok, filed, some, ok_filed, ok_some.
+
+    ok: those who may read all of req; filed: the filed-under space; some: any of req. ``also``: a further array; ok_also are those who may read
+    all of req and of it. Distinct sets are counted by bitmaps (:mod:`counting`), and no pair of them becomes a row.
+    """
+    f = settle(facts.groupBy(*group, "space", "req").agg(F.count(F.lit(1)).alias("n_facts")))
+    sets = counting.counted_sets(perms)
+    own, home = counting.wanted(F.col("req")), F.array("space")
+    asks = {"w_req": own, "w_home": home, "w_both": counting.wanted(own, home)}
+    if also:
+        asks["w_also"] = counting.wanted(own, F.col(also))
+    f = f.withColumns(asks)
+    told = counting.holders(f.select(F.explode(F.array(*asks)).alias("want")), sets)
+
+    def with_(df: DataFrame, ask: str, **names: str) -> DataFrame:
+        return df.join(told.select(F.col("want").alias(ask), *[F.col(k).alias(v) for k, v in names.items()]), ask, "left").drop(ask)
+
+    f = with_(with_(with_(f, "w_req", n_all="ok", n_any="some"), "w_home", n_all="filed"), "w_both", n_all="ok_filed")
+    f = with_(f, "w_also", n_all="ok_also") if also else f
+    # all of something is some of it
+    f = f.withColumn("ok_some", F.when(F.size("req") > 0, F.col("ok")))
+    f = f.crossJoin(sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("everyone"))).filter("everyone > 0")
+    return f.fillna(0, ["ok", "some", "filed", "ok_filed", "ok_some", *(["ok_also"] if also else [])])
+
+
+def let_through() -> Column:
+    """For every row of :func:`audiences`: gate, open, leaked and false_denials of each gate, in principals."""
+    ok, shut = F.col("ok"), F.lit(0).cast("long")
+    rows = (("ungated", F.col("everyone"), ok), ("document-acl", F.col("filed"), F.col("ok_filed")), ("any-source", F.col("some"), F.col("ok_some")), ("derivation-aware", ok, ok))
+    return F.array(*[F.struct(F.lit(k).alias("gate"), n.alias("open"), (n - both + shut).alias("leaked"), (ok - both + shut).alias("false_denials")) for k, n, both in rows])

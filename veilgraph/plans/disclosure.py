@@ -242,8 +242,8 @@ def requirement_agreement(c: Case):
 @query("SELECT level, count_if(ok) AS n_admissible, count_if(NOT ok) AS n_denied FROM pairs_fp GROUP BY level")
 def admissible_counts(c: Case):
     """Admissible and denied (fact, principal) pairs by level, over distinct sets."""
-    s = P.signatures(c.facts, c.perms, "level").withColumn("ok", P.admissible(F.col("perm"), F.col("req")))
-    return s.groupBy("level").agg(F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("n_admissible"), F.sum(F.when(F.col("ok"), 0).otherwise(F.col("n"))).alias("n_denied"))
+    s, n = P.audiences(c.facts, c.perms, "level"), F.col("n_facts")
+    return s.groupBy("level").agg(F.sum(n * F.col("ok")).alias("n_admissible"), F.sum(n * (F.col("everyone") - F.col("ok"))).alias("n_denied"))
 
 
 @query("""SELECT fact_id, principal, array_to_string(list_sort(list_filter(req, lambda x: NOT list_contains(perm, x))), ',') AS missing
