@@ -16,6 +16,7 @@ from veilgraph.operators import permissions as P
 #: Queries that count over sets without testing each pair of them.
 NO_PAIRS = [
     "admissible_counts",
+    "attribution_flips",
 ]
 
 

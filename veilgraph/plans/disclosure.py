@@ -297,10 +297,9 @@ def false_denials(c: Case):
 @query("""SELECT level, count_if(NOT ok AND len(req) >= 2) AS n_considered, count_if(NOT ok AND len(req) >= 2 AND any_ok) AS n_flips FROM pairs_fp GROUP BY level""")
 def attribution_flips(c: Case):
     """Refusals that turn on which source is cited."""
-    s = P.signatures(c.facts, c.perms, "level")
-    n = lambda cond, alias: F.sum(F.when(cond, F.col("n")).otherwise(0)).alias(alias)
-    considered = ~P.admissible(F.col("perm"), F.col("req")) & (F.size("req") >= 2)
-    return s.groupBy("level").agg(n(considered, "n_considered"), n(considered & F.arrays_overlap("perm", "req"), "n_flips"))
+    s, n = P.audiences(c.facts.withColumn("several", F.coalesce(F.size("req") >= 2, F.lit(False))), c.perms, "level", "several"), F.col("n_facts")
+    several = lambda x, name: F.sum(F.when(F.col("several"), n * x).otherwise(0)).alias(name)
+    return s.groupBy("level").agg(several(F.col("everyone") - F.col("ok"), "n_considered"), several(F.col("some") - F.col("ok_some"), "n_flips"))
 
 
 @query("""SELECT level, count(*) AS n_facts, round(avg(len(req)), 6) AS mean_spaces, round(avg(n_aud), 6) AS mean_audience, count_if(n_aud = 0) AS n_invisible FROM (
