@@ -17,6 +17,7 @@ from veilgraph.operators import permissions as P
 NO_PAIRS = [
     "admissible_counts",
     "attribution_flips",
+    "audience_collapse",
 ]
 
 

@@ -306,12 +306,10 @@ def attribution_flips(c: Case):
   SELECT fact_id, level, any_value(req) AS req, count_if(ok) AS n_aud FROM pairs_fp GROUP BY fact_id, level) GROUP BY level""")
 def audience_collapse(c: Case):
     """How audiences shrink with the level."""
-    s = P.signatures(c.facts, c.perms, "level").groupBy("level", "space", "req", "n_facts").agg(
-        F.sum(F.when(P.admissible(F.col("perm"), F.col("req")), F.col("n_principals")).otherwise(0)).alias("aud")
-    )
+    s = P.audiences(c.facts, c.perms, "level")
     w = lambda x: F.round(F.sum(x * F.col("n_facts")) / F.sum("n_facts"), 6)
     return s.groupBy("level").agg(
-        F.sum("n_facts").alias("n_facts"), w(F.size("req")).alias("mean_spaces"), w(F.col("aud")).alias("mean_audience"), F.sum(F.when(F.col("aud") == 0, F.col("n_facts")).otherwise(0)).alias("n_invisible")
+        F.sum("n_facts").alias("n_facts"), w(F.size("req")).alias("mean_spaces"), w(F.col("ok")).alias("mean_audience"), F.sum(F.when(F.col("ok") == 0, F.col("n_facts")).otherwise(0)).alias("n_invisible")
     )
 
 
