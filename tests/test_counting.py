@@ -18,6 +18,7 @@ NO_PAIRS = [
     "admissible_counts",
     "attribution_flips",
     "audience_collapse",
+    "dkl_score",
 ]
 
 

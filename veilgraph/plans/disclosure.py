@@ -326,12 +326,10 @@ def invariant_violations(c: Case):
   SELECT ok, unnest(['ungated', 'document-acl', 'any-source', 'derivation-aware']) AS gate, unnest([true, filed_ok, any_ok, ok]) AS open FROM pairs_fp) GROUP BY gate""")
 def dkl_score(c: Case):
     """One score per gate."""
-    s = P.signatures(c.facts, c.perms)
-    g = P.gates(F.col("perm"), F.col("req"), F.col("space"))
-    s = s.withColumn("ok", g["derivation-aware"]).withColumn("x", F.explode(F.array(*[F.struct(F.lit(k).alias("gate"), v.alias("open")) for k, v in g.items()])))
-    n = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
-    leaked = n(F.col("x.open") & ~F.col("ok"))
-    return s.groupBy("x.gate").agg(F.sum("n").alias("pairs"), leaked.alias("leaked"), F.round(leaked / F.sum("n"), 6).alias("leak_rate"), n(F.col("ok") & ~F.col("x.open")).alias("false_denials"))
+    s, n = P.audiences(c.facts, c.perms), F.col("n_facts")
+    s = s.select("n_facts", "everyone", F.explode(P.let_through()).alias("x"))
+    leaked = F.sum(n * F.col("x.leaked"))
+    return s.groupBy("x.gate").agg(F.sum(n * F.col("everyone")).alias("pairs"), leaked.alias("leaked"), F.round(leaked / F.sum(n * F.col("everyone")), 6).alias("leak_rate"), F.sum(n * F.col("x.false_denials")).alias("false_denials"))
 
 
 @query("""SELECT fact_id, level, n_audience, n_spaces FROM (SELECT fact_id, level, count_if(ok) AS n_audience, any_value(len(req)) AS n_spaces FROM pairs_fp GROUP BY fact_id, level)
