@@ -19,6 +19,7 @@ NO_PAIRS = [
     "attribution_flips",
     "audience_collapse",
     "dkl_score",
+    "false_denials",
 ]
 
 

@@ -287,11 +287,8 @@ def gate_leaks_by_level(c: Case):
 @query("SELECT level, count_if(ok AND NOT filed_ok) AS n_filed, count_if(ok AND NOT any_ok) AS n_any FROM pairs_fp GROUP BY level")
 def false_denials(c: Case):
     """What the other gates refuse although it is permitted."""
-    s = P.signatures(c.facts, c.perms, "level")
-    g = P.gates(F.col("perm"), F.col("req"), F.col("space"))
-    n = lambda cond, alias: F.sum(F.when(cond, F.col("n")).otherwise(0)).alias(alias)
-    ok = g["derivation-aware"]
-    return s.groupBy("level").agg(n(ok & ~g["document-acl"], "n_filed"), n(ok & ~g["any-source"], "n_any"))
+    s, n = P.audiences(c.facts, c.perms, "level"), F.col("n_facts")
+    return s.groupBy("level").agg(F.sum(n * (F.col("ok") - F.col("ok_filed"))).alias("n_filed"), F.sum(n * (F.col("ok") - F.col("ok_some"))).alias("n_any"))
 
 
 @query("""SELECT level, count_if(NOT ok AND len(req) >= 2) AS n_considered, count_if(NOT ok AND len(req) >= 2 AND any_ok) AS n_flips FROM pairs_fp GROUP BY level""")
