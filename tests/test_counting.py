@@ -20,6 +20,7 @@ NO_PAIRS = [
     "audience_collapse",
     "dkl_score",
     "false_denials",
+    "gate_any_source",
 ]
 
 

@@ -267,10 +267,8 @@ def gate_any_source(c: Case):
 
 
 def _gate(c: Case, name: str) -> DataFrame:
-    s = P.signatures(c.facts, c.perms, "level")
-    g = P.gates(F.col("perm"), F.col("req"), F.col("space"))
-    n = lambda cond, alias: F.sum(F.when(cond, F.col("n")).otherwise(0)).alias(alias)
-    return s.groupBy("level").agg(n(g[name], "n_disclosed"), n(g[name] & ~g["derivation-aware"], "n_leaked"))
+    s, n = P.audiences(c.facts, c.perms, "level").withColumn("x", F.explode(P.let_through())).filter(F.col("x.gate") == name), F.col("n_facts")
+    return s.groupBy("level").agg(F.sum(n * F.col("x.open")).alias("n_disclosed"), F.sum(n * F.col("x.leaked")).alias("n_leaked"))
 
 
 @query("""SELECT gate, level, count(*) AS n_pairs, count_if(open) AS n_disclosed, count_if(open AND NOT ok) AS n_leaked FROM (
