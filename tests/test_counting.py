@@ -21,6 +21,7 @@ NO_PAIRS = [
     "dkl_score",
     "false_denials",
     "gate_any_source",
+    "gate_document_acl",
 ]
 
 
