@@ -22,6 +22,7 @@ NO_PAIRS = [
     "false_denials",
     "gate_any_source",
     "gate_document_acl",
+    "gate_leaks_by_level",
 ]
 
 

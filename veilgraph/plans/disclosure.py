@@ -275,11 +275,8 @@ def _gate(c: Case, name: str) -> DataFrame:
   SELECT level, ok, unnest(['ungated', 'document-acl', 'any-source', 'derivation-aware']) AS gate, unnest([true, filed_ok, any_ok, ok]) AS open FROM pairs_fp) GROUP BY gate, level""")
 def gate_leaks_by_level(c: Case):
     """Leaks of every gate by level."""
-    s = P.signatures(c.facts, c.perms, "level")
-    g = P.gates(F.col("perm"), F.col("req"), F.col("space"))
-    s = s.withColumn("ok", g["derivation-aware"]).withColumn("x", F.explode(F.array(*[F.struct(F.lit(k).alias("gate"), v.alias("open")) for k, v in g.items()])))
-    n = lambda cond, alias: F.sum(F.when(cond, F.col("n")).otherwise(0)).alias(alias)
-    return s.groupBy("x.gate", "level").agg(F.sum("n").alias("n_pairs"), n(F.col("x.open"), "n_disclosed"), n(F.col("x.open") & ~F.col("ok"), "n_leaked"))
+    s, n = P.audiences(c.facts, c.perms, "level").select("level", "n_facts", "everyone", F.explode(P.let_through()).alias("x")), F.col("n_facts")
+    return s.groupBy("x.gate", "level").agg(F.sum(n * F.col("everyone")).alias("n_pairs"), F.sum(n * F.col("x.open")).alias("n_disclosed"), F.sum(n * F.col("x.leaked")).alias("n_leaked"))
 
 
 @query("SELECT level, count_if(ok AND NOT filed_ok) AS n_filed, count_if(ok AND NOT any_ok) AS n_any FROM pairs_fp GROUP BY level")
