@@ -23,6 +23,7 @@ NO_PAIRS = [
     "gate_any_source",
     "gate_document_acl",
     "gate_leaks_by_level",
+    "invariant_violations",
 ]
 
 

@@ -309,9 +309,8 @@ def audience_collapse(c: Case):
 def invariant_violations(c: Case):
     """Pairs disclosed under one formulation of the requirement and not under the other."""
     walk = provenance.required_by_walk(c.derived[1], c.w.facts0).groupBy("fact_id").agg(F.array_sort(F.collect_set("space")).alias("truth"))
-    sets, n = P.signatures(c.facts.join(walk, "fact_id"), c.perms, "truth"), F.col("n")
-    bad = P.admissible(F.col("perm"), F.col("req")) & ~P.admissible(F.col("perm"), F.col("truth"))
-    return sets.agg(F.sum(n).alias("n_pairs"), F.sum(F.when(bad, n).otherwise(0)).alias("n_violations"))
+    sets, n = P.audiences(c.facts.join(walk, "fact_id"), c.perms, "truth", also="truth"), F.col("n_facts")
+    return sets.agg(F.sum(n * F.col("everyone")).alias("n_pairs"), F.sum(n * (F.col("ok") - F.col("ok_also"))).alias("n_violations"))
 
 
 @query("""SELECT gate, count(*) AS pairs, count_if(open AND NOT ok) AS leaked, round(count_if(open AND NOT ok) / count(*), 6) AS leak_rate, count_if(ok AND NOT open) AS false_denials FROM (
