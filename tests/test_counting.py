@@ -24,6 +24,7 @@ NO_PAIRS = [
     "gate_document_acl",
     "gate_leaks_by_level",
     "invariant_violations",
+    "protected_claims",
 ]
 
 

@@ -81,8 +81,8 @@ class Case:
 
     def refusals(self, facts: DataFrame) -> DataFrame:
         """level, req, n: how often facts with a requirement are refused."""
-        s = P.signatures(facts, self.perms, "level").filter(~P.admissible(F.col("perm"), F.col("req")))
-        return s.groupBy("level", "req").agg(F.sum("n").alias("n"))
+        s = P.audiences(facts, self.perms, "level").withColumn("refused", F.col("everyone") - F.col("ok")).filter("refused > 0")
+        return s.groupBy("level", "req").agg(F.sum(F.col("n_facts") * F.col("refused")).alias("n"))
 
     @cached_property
     def claims(self) -> DataFrame:
