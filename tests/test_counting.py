@@ -25,6 +25,7 @@ NO_PAIRS = [
     "gate_leaks_by_level",
     "invariant_violations",
     "protected_claims",
+    "refusal_mutual_information",
 ]
 
 
