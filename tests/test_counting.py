@@ -26,6 +26,7 @@ NO_PAIRS = [
     "invariant_violations",
     "protected_claims",
     "refusal_mutual_information",
+    "risk_surface",
 ]
 
 

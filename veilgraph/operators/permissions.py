@@ -52,27 +52,6 @@ def gates(perm: Column, req: Column, space: Column) -> dict[str, Column]:
     }
 
 
-def signatures(facts: DataFrame, perms: DataFrame, *group: str) -> DataFrame:
-    """Distinct (group, space, req) x distinct perm, with n_facts, n_principals and their product n.
-
-    Counting over all (fact, principal) pairs is done over pairs of distinct sets instead. Only sets that share a
-    space with a requirement or its filed-under space are paired, by a join on spaces; all others are one row with an empty ``perm``, as no gate
-    tells them apart. So work hangs on the sets that meet, and not on their product.
-    """
-    f = facts.groupBy(*group, "space", "req").agg(F.count(F.lit(1)).alias("n_facts"))
-    f = f.withColumn("f_key", F.sha2(F.to_json(F.struct(*group, "space", "req"), {"ignoreNullFields": "false"}), 256))
-    p = perms.groupBy("perm").agg(F.count(F.lit(1)).alias("n_principals")).withColumn("p_key", F.sha2(F.array_join("perm", "\u0001"), 256))
-    none = F.array().cast("array<string>")
-    touched = f.select("f_key", F.explode(F.array_union(F.coalesce("req", none), F.array("space"))).alias("s"))
-    met = touched.join(p.select("p_key", F.explode("perm").alias("s")), "s").select("f_key", "p_key").distinct().join(p, "p_key")
-    total = perms.agg(F.count(F.lit(1)).alias("everyone"))
-    held = met.groupBy("f_key").agg(F.sum("n_principals").alias("held"))
-    rest = f.join(held, "f_key", "left").crossJoin(total).withColumn("n_principals", F.col("everyone") - F.coalesce("held", F.lit(0))).filter("n_principals > 0")
-    names = [*group, "space", "req", "n_facts", "perm", "n_principals"]
-    out = met.join(f, "f_key").select(*names).unionByName(rest.withColumn("perm", none).select(*names))
-    return out.withColumn("n", F.col("n_facts") * F.col("n_principals"))
-
-
 def audiences(facts: DataFrame, perms: DataFrame, *group: str, also: str | None = None) -> DataFrame:
     """Distinct (group, space, req) with n_facts, and how many principals there are, and each gate lets through: everyone, ok, filed, some, ok_filed, ok_some.
 

@@ -327,8 +327,7 @@ def dkl_score(c: Case):
   ORDER BY n_audience, n_spaces DESC, fact_id LIMIT 40""")
 def risk_surface(c: Case):
     """The 40 derived facts with the smallest audience."""
-    ok = F.when(P.admissible(F.col("perm"), F.col("req")), F.col("n_principals")).otherwise(0)
-    aud = P.signatures(c.facts.withColumn("space", F.get("req", F.lit(0))), c.perms).groupBy("req").agg(F.sum(ok).alias("n_audience"))
+    aud = P.audiences(c.facts.withColumn("space", F.get("req", F.lit(0))), c.perms).groupBy("req").agg(F.sum("ok").alias("n_audience"))
     rows = c.facts.join(aud, "req").select("fact_id", "level", "n_audience", F.size("req").cast("long").alias("n_spaces"))
     return rows.orderBy("n_audience", F.desc("n_spaces"), "fact_id").limit(40)
 
