@@ -27,6 +27,7 @@ NO_PAIRS = [
     "protected_claims",
     "refusal_mutual_information",
     "risk_surface",
+    "theorem1_check",
 ]
 
 

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .counting import holders, wanted
+from .loops import settle
 from .permissions import admissible
 
 
@@ -49,13 +51,13 @@ def claim_locality(claims: DataFrame, facts: DataFrame) -> DataFrame:
 
 def theorem1(edges: DataFrame, facts: DataFrame, all_req: DataFrame, perms: DataFrame) -> DataFrame:
     """n_held, n_violations: sets that may read every support of a fact but not the fact."""
-    sets = perms.select("perm").distinct()
     support = edges.join(all_req.toDF("support_id", "s_req"), "support_id").select("fact_id", "s_req")
     union = support.groupBy("fact_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("s_req")))).alias("s_req"))
-    rows = union.join(facts.select("fact_id", "req"), "fact_id").select("s_req", "req").distinct().crossJoin(sets)
-    holds = F.size(F.array_except("s_req", "perm")) == 0
-    refused = F.size(F.array_except("req", "perm")) > 0
-    return rows.agg(F.count_if(holds).alias("n_held"), F.count_if(holds & refused).alias("n_violations"))
+    rows = settle(union.join(facts.select("fact_id", "req"), "fact_id").select("s_req", "req").distinct().select(wanted(F.col("s_req")).alias("s"), wanted(F.col("s_req"), F.col("req")).alias("both")))
+    told = holders(rows.select(F.explode(F.array("s", "both")).alias("want")), settle(perms.select(F.col("perm").alias("names"), F.lit(1).cast("long").alias("n")).distinct())).select("want", "n_all")
+    rows = rows.join(told.toDF("s", "n_held"), "s").join(told.toDF("both", "n_both"), "both")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.agg(zero(F.col("n_held")).alias("n_held"), zero(F.col("n_held") - F.col("n_both")).alias("n_violations"))
 
 
 def witness_cover(candidates: DataFrame) -> DataFrame:
