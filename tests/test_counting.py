@@ -28,6 +28,7 @@ NO_PAIRS = [
     "refusal_mutual_information",
     "risk_surface",
     "theorem1_check",
+    "over_restriction",
 ]
 
 

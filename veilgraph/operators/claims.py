@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .permissions import admissible
+from .permissions import audiences
 
 #: Up to so many names are searched by one automaton in every task (some tens of MB); more by a join on containment.
 MOST_NAMES = 200_000
@@ -79,12 +79,11 @@ def names_but_does_not_rest_on(req: Column, named: Column) -> Column:
 def over_restricted(facts: DataFrame, perms: DataFrame) -> DataFrame:
     """level, n_allowed, n_over: (fact, principal) pairs that the rule on evidence allows, and those of them that the claim-aware gate withholds.
 
-    Counted over distinct (req, widened) x distinct permission sets.
+    Counted over distinct (req, widened) and distinct permission sets.
     """
-    f = facts.groupBy("level", "req", "widened").agg(F.count(F.lit(1)).alias("nf"))
-    p = perms.groupBy("perm").agg(F.count(F.lit(1)).alias("np"))
-    rows = f.crossJoin(p).filter(admissible(F.col("perm"), F.col("req"))).withColumn("n", F.col("nf") * F.col("np"))
-    return rows.groupBy("level").agg(F.sum("n").alias("n_allowed"), F.sum(F.when(admissible(F.col("perm"), F.col("widened")), 0).otherwise(F.col("n"))).alias("n_over"))
+    rows, n = audiences(facts.withColumn("space", F.lit(None).cast("string")), perms, "level", "widened", also="widened"), F.col("n_facts")
+    out = rows.groupBy("level").agg(F.sum(n * F.col("ok")).alias("n_allowed"), F.sum(n * (F.col("ok") - F.col("ok_also"))).alias("n_over"))
+    return out.filter("n_allowed > 0")
 
 
 def prose_channel(facts: DataFrame) -> DataFrame:
