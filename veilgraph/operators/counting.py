@@ -133,7 +133,8 @@ def holders(asked: DataFrame, sets: DataFrame) -> DataFrame:
         s = Sets(right["names"], right["n"].to_numpy())
         rows = [s.tally(w) for w in left["want"].to_pylist()]
         n = np.array(rows, np.int64).reshape(-1, 3)
-        return pa.table({"want": left["want"], "n_all": n[:, 0], "n_any": n[:, 1], "n_two": n[:, 2]})
+        kept = pa.array(left["want"].to_pylist(), pa.list_(pa.string()))
+        return pa.table({"want": kept, "n_all": n[:, 0], "n_any": n[:, 1], "n_two": n[:, 2]})
 
     asked = settle(asked.select("want").filter("want is not null").distinct())
     out = tiled(asked, sets, run, "want array<string>, n_all long, n_any long, n_two long")

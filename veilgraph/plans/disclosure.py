@@ -75,6 +75,21 @@ class Case:
         """sig, entity, space, fact_id, ord: what principals with a set of spaces may read; the adversary works once for all of them."""
         return A.visible(self.w.facts0, self.sets.select("sig", F.explode("perm").alias("space")), "sig")
 
+    @cached_property
+    def named_sets(self) -> DataFrame:
+        """sig, names, n: :attr:`sets` under the names of :mod:`counting`."""
+        return self.sets.select("sig", F.col("perm").alias("names"), F.col("np").alias("n"))
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        """entity, a, b, cost, side."""
+        return settle(A.spans_everywhere(self.w.facts0))
+
+    @cached_property
+    def rebuilt(self) -> DataFrame:
+        """sig, a, b, n_people."""
+        return settle(A.rebuilt_pairs(self.w.facts0, self.named_sets))
+
     def by_principal(self, rows: DataFrame) -> DataFrame:
         """Rows by ``sig`` for every principal with that set."""
         return rows.join(self.perms.select("principal", F.sha2(csv("perm"), 256).alias("sig")), "sig").drop("sig")
@@ -349,7 +364,7 @@ pair_cost AS (SELECT principal, a, b, count(*) AS n_spans, CASE WHEN count(*) >=
 @query(SEEN + "SELECT principal, a, b, n_people FROM v_pair")
 def reconstruct_pairs(c: Case):
     """Pairings each principal can rebuild."""
-    return c.by_principal(A.reconstruct(c.seen_by_set, "sig")["pair"]).select("principal", "a", "b", "n_people")
+    return c.by_principal(c.rebuilt).select("principal", "a", "b", "n_people")
 
 
 @query(SEEN + "SELECT principal, a, b, c FROM v_cluster")
