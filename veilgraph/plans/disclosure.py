@@ -370,7 +370,7 @@ def reconstruct_pairs(c: Case):
 @query(SEEN + "SELECT principal, a, b, c FROM v_cluster")
 def reconstruct_clusters(c: Case):
     """Clusters each principal can rebuild."""
-    return c.by_principal(A.reconstruct(c.seen_by_set, "sig")["cluster"]).select("principal", "a", "b", "c")
+    return c.by_principal(derivation.clusters(c.rebuilt, ("sig",))).select("principal", "a", "b", "c")
 
 
 @query("SELECT level, count(DISTINCT claim) AS n_claims, count(*) AS n_refusals FROM pairs_fp WHERE NOT ok GROUP BY level")
