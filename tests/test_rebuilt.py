@@ -33,3 +33,9 @@ def test_pairs_and_clusters_are_those_of_the_rules(spark, monkeypatch):
     got, want = A.rebuilt_pairs(facts0, sets), A.reconstruct(seen, "sig")
     assert _rows(got, "sig", "a", "b", "n_people") == _rows(want["pair"], "sig", "a", "b", "n_people")
     assert _rows(derivation.clusters(got, ("sig",)), "sig", "a", "b", "c") == _rows(want["cluster"], "sig", "a", "b", "c")
+
+
+def test_cuts_of_a_pair_are_the_same_for_all_who_hold_both_spaces(spark):
+    facts0, sets, seen = _case(spark, 2)
+    got = A.within(sets, A.cheapest(A.spans_everywhere(facts0)))
+    assert _rows(got, "sig", "a", "b", "n_spans", "cost") == _rows(A.pair_cuts(A.span_costs(seen, "sig"), "sig"), "sig", "a", "b", "n_spans", "cost")

@@ -395,14 +395,13 @@ def phantom_by_depth(c: Case):
 @query(SEEN + "SELECT principal, a, b, count(*) AS n_spans, sum(cost)::BIGINT AS total, max(cost) AS dearest FROM cost GROUP BY ALL")
 def span_cost(c: Case):
     """What ending the spans of each pair costs."""
-    costs = A.span_costs(c.seen_by_set, "sig").groupBy("sig", "a", "b").agg(F.count(F.lit(1)).alias("n_spans"), F.sum("cost").alias("total"), F.max("cost").alias("dearest"))
-    return c.by_principal(costs).select("principal", "a", "b", "n_spans", "total", "dearest")
+    return c.by_principal(A.within(c.named_sets, A.cheapest(c.spans))).select("principal", "a", "b", "n_spans", "total", "dearest")
 
 
 @query(SEEN + "SELECT principal, a, b, n_spans, cost FROM pair_cost")
 def pair_cut(c: Case):
     """The cut of each pair."""
-    return c.by_principal(A.pair_cuts(A.span_costs(c.seen_by_set, "sig"), "sig")).select("principal", "a", "b", "n_spans", "cost")
+    return c.by_principal(A.within(c.named_sets, A.cheapest(c.spans))).select("principal", "a", "b", "n_spans", "cost")
 
 
 @query(SEEN + """SELECT v.principal, v.a, v.b, v.c, least(coalesce(x.cost, 0), coalesce(y.cost, 0), coalesce(z.cost, 0)) AS cost FROM v_cluster v
@@ -410,9 +409,11 @@ def pair_cut(c: Case):
   LEFT JOIN pair_cost z ON z.principal = v.principal AND z.a = v.b AND z.b = v.c""")
 def cluster_cut(c: Case):
     """The cut of each cluster."""
-    seen = c.seen_by_set
-    cuts = A.cluster_cuts(A.pair_cuts(A.span_costs(seen, "sig"), "sig"), A.reconstruct(seen, "sig")["cluster"], "sig")
-    return c.by_principal(cuts).select("principal", "a", "b", "c", "cost")
+    cuts = A.cheapest(c.spans).select(F.lit(0).alias("all"), "a", "b", "cost")
+    # a set with three spaces pays for their pairs what all sets do
+    found = settle(derivation.clusters(c.rebuilt, ("sig",)))
+    priced = A.cluster_cuts(cuts, found.select(F.lit(0).alias("all"), "a", "b", "c").distinct(), "all").drop("all")
+    return c.by_principal(found.join(priced, ["a", "b", "c"])).select("principal", "a", "b", "c", "cost")
 
 
 @query(SEEN + """, ranked AS (SELECT c.*, row_number() OVER (PARTITION BY c.principal, c.a, c.b ORDER BY c.cost DESC, c.entity) AS rk FROM cost c JOIN v_pair USING (principal, a, b)),
