@@ -440,11 +440,7 @@ side AS (SELECT r.principal, r.entity, CASE WHEN x.n <= y.n THEN r.a ELSE r.b EN
 SELECT (SELECT count(*) FROM seen) AS n_held, (SELECT count(*) FROM (SELECT DISTINCT s.principal, s.fact_id FROM seen s JOIN side USING (principal, entity, space))) AS n_withheld""")
 def evidence_loss(c: Case):
     """How much readable evidence all cuts together withhold."""
-    seen, times = c.seen_by_set, c.sets.select("sig", "np")
-    pairs = A.reconstruct(seen, "sig")["pair"]
-    costs = A.span_costs(seen, "sig").join(pairs.select("sig", "a", "b"), ["sig", "a", "b"], "left_semi")
-    gone = A.withheld(seen, costs, "sig").select("sig", "fact_id").distinct().join(times, "sig").agg(F.coalesce(F.sum("np"), F.lit(0)).alias("n_withheld"))
-    return seen.groupBy("sig").count().join(times, "sig").agg(F.coalesce(F.sum(F.col("count") * F.col("np")), F.lit(0)).alias("n_held")).crossJoin(gone)
+    return A.evidence_lost(c.w.facts0, c.named_sets, c.spans, c.rebuilt)
 
 
 @query(""", again AS (SELECT principal, space FROM permitted UNION SELECT c.manager, p.space FROM org_closure c JOIN permitted p ON p.principal = c.report)
