@@ -502,7 +502,7 @@ def newly_inferable(c: Case):
     """Pairings that a grant makes rebuildable while they stay refused."""
     after = _change(c)
     ch = policy.changes(c.permitted, after).select("principal")
-    pair = lambda perm: A.reconstruct(A.visible(c.w.facts0, perm.join(ch, "principal", "left_semi")))["pair"].select("principal", "a", "b")
+    pair = lambda perm: A.rebuilt_pairs(c.w.facts0, settle(P.as_arrays(perm.join(ch, "principal", "left_semi")).withColumnRenamed("perm", "names")), "principal").select("principal", "a", "b")
     fresh = pair(after).join(pair(c.permitted), ["principal", "a", "b"], "left_anti")
     req = c.facts.filter("level = 2").select(F.split("claim", r"\|").alias("k"), "req").select(F.col("k")[1].alias("a"), F.col("k")[2].alias("b"), "req")
     rows = fresh.join(req, ["a", "b"]).join(P.as_arrays(after), "principal")
