@@ -18,6 +18,7 @@ from .loops import settle
 
 #: The most sets, asked rows, and names of either in a tile.
 SETS, ASKED, NAMES = 1 << 16, 1 << 12, 1 << 21
+NOWHERE = np.zeros(0, np.int64)
 
 
 class Sets:
@@ -50,7 +51,7 @@ class Sets:
         """The sets that hold a name; kept unless the name is rare."""
         got = self.packed.get(name)
         if got is None:
-            at = self.at.get(name, ())
+            at = self.at.get(name, NOWHERE)
             mask = np.zeros(self.size, bool)
             mask[at] = True
             got = np.packbits(mask)
