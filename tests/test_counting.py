@@ -72,3 +72,20 @@ def test_audiences_of_odd_facts(spark):
     counts = lambda r: (r.ok, r.filed, r.some, r.ok_filed, r.ok_some)
     assert {k: counts(r) for k, r in got.items()} == {"a,b": (2, 2, 3, 2, 2), "b": (3, 1, 3, 1, 3), None: (0, 0, 0, 0, 0), "": (4, 2, 0, 2, 0), "q": (0, 0, 0, 0, 0)}
     assert {r.everyone for r in got.values()} == {4}
+
+
+def test_namesakes_are_counted_and_not_listed(spark):
+    """A name that many share is looked up once, not once for each of them: no window over pools, and the same choices."""
+    from veilgraph.operators import mentions
+
+    staff = spark.createDataFrame([(f"eid_{i:06x}", f"Ana L{i}") for i in range(300)], "id string, name string")
+    eid = lambda i: f"eid_{i:06x}"
+    rows = [(f"d{i}", "s", "document", eid(i), [eid(i)], "then Ana wrote") for i in range(300)] + [("two", "s", "document", eid(1), [eid(2)], "eid_000002 and Ana"), ("team", "t", "document", None, [], "and Ana")]
+    src = spark.createDataFrame(rows, "source_id string, space string, kind string, author string, participants array<string>, text string")
+    roster = spark.createDataFrame([("t", eid(7)), ("u", eid(8))], "space string, employee_id string")
+    found = mentions.extract(src, staff)
+    out = mentions.resolve(found, src, staff, roster)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.source_id, r.method): (r.resolved, r.candidates) for r in out.join(found.filter("register = 'first-name'").select("source_id", "nth"), ["source_id", "nth"]).collect()}
+    want = {(f"d{i}", "co-presence"): (eid(i), 1) for i in range(300)} | {("two", "proximity"): (eid(2), 2), ("team", "space-roster"): (eid(7), 1)}
+    assert got == want

@@ -103,34 +103,43 @@ def resolve(mentions: DataFrame, sources: DataFrame, employees: DataFrame, roste
     """
     index = name_index(employees)
     key = F.lower("surface")
-    full = index.filter("kind = 'full'").select(F.col("key").alias("k"), F.col("employee_id").alias("cand"))
-    first = index.filter("kind = 'first'").select(F.col("key").alias("k"), F.col("employee_id").alias("cand"))
     named = mentions.filter("register != 'identifier'")
-    by_full = named.join(full, key == F.col("k")).drop("k")
-    rest = named.join(by_full.select("source_id", "nth"), ["source_id", "nth"], "left_anti")
-    by_first = rest.join(first, F.split(key, " ")[0] == F.col("k")).drop("k")
-    pool = by_full.unionByName(by_first)
+    # how many a name could mean, and which if it is one; the people themselves only where a source or a roster has them
+    names = index.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("employee_id").alias("any"))
+    full = names.filter("kind = 'full'").select(F.col("key").alias("k"), F.col("n").alias("n_full"), F.col("any").alias("any_full"))
+    first = names.filter("kind = 'first'").select(F.col("key").alias("f"), F.col("n").alias("n_first"), F.col("any").alias("any_first"))
+    asked = named.select("source_id", "nth", "space", "offset", key.alias("key")).join(full, F.col("key") == F.col("k"), "left").withColumn("f_key", F.split("key", " ")[0]).join(first, F.col("f_key") == F.col("f"), "left")
+    by_full = F.col("n_full").isNotNull()
+    asked = asked.filter(by_full | F.col("n_first").isNotNull()).select(
+        "source_id", "nth", "space", "offset", F.when(by_full, "full").otherwise("first").alias("kind"), F.when(by_full, F.col("k")).otherwise(F.col("f")).alias("name"),
+        F.coalesce("n_full", "n_first").alias("n"), F.when(by_full, F.col("any_full")).otherwise(F.col("any_first")).alias("any"),
+    )
     declared = sources.select("source_id", F.explode(F.filter(F.concat(F.array("author"), F.coalesce("participants", F.array().cast("array<string>"))), lambda p: p.startswith("eid_"))).alias("cand"))
     roll = declared.select("source_id").distinct().withColumn("roll", F.lit(True))
     anchors = mentions.filter("register = 'identifier'").select("source_id", F.col("employee_id").alias("cand"), F.col("offset").alias("at"))
     present = declared.unionByName(anchors.select("source_id", "cand")).distinct().withColumn("here", F.lit(True))
     near = anchors.groupBy("source_id", "cand").agg(F.collect_set("at").alias("ats"))
     team = roster.select("space", F.col("employee_id").alias("cand")).distinct().withColumn("on_team", F.lit(True))
-    rows = (
-        pool.join(present, ["source_id", "cand"], "left").join(team, ["space", "cand"], "left").join(near, ["source_id", "cand"], "left").join(roll, "source_id", "left")
-        .withColumn("distance", F.array_min(F.transform("ats", lambda a: F.abs(a - F.col("offset")))))
-    )
-    w = Window.partitionBy("source_id", "nth")
+    people = index.select("kind", F.col("key").alias("name"), F.col("employee_id").alias("cand"))
+    here = asked.join(present, "source_id").join(people, ["kind", "name", "cand"])
+    here = here.join(team, ["space", "cand"], "left").join(near, ["source_id", "cand"], "left").withColumn("distance", F.array_min(F.transform("ats", lambda a: F.abs(a - F.col("offset")))))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    rows = rows.withColumn("n_here", F.sum(yes("here").cast("int")).over(w)).withColumn("in_pool", (F.col("n_here") <= 1) | yes("here"))
-    rows = rows.withColumn("n_team", F.sum((F.col("in_pool") & yes("on_team")).cast("int")).over(w))
-    rows = rows.withColumn("narrow", F.col("in_pool") & ((F.col("n_team") == 0) | yes("on_team")))
     pick = lambda c: F.min(F.when(c, F.col("cand")))
-    g = rows.groupBy("source_id", "nth").agg(
-        F.count(F.lit(1)).alias("n"), F.max("n_here").alias("n_here"), F.max("n_team").alias("n_team"), F.max(yes("roll")).alias("roll"),
-        F.sum(F.col("in_pool").cast("int")).alias("n_pool"), F.sum(F.col("narrow").cast("int")).alias("n_narrow"), pick(F.lit(True)).alias("any"), pick(yes("here")).alias("here"),
-        pick(F.col("in_pool") & yes("on_team")).alias("team"), F.min(F.when(F.col("narrow") & F.col("distance").isNotNull(), F.struct("distance", "cand"))).alias("nearest"), pick(F.col("narrow")).alias("left"),
+    at = F.min(F.when(F.col("distance").isNotNull(), F.struct("distance", "cand")))
+    n_in = lambda c: F.sum(c.cast("int"))
+    here = here.groupBy("source_id", "nth").agg(
+        F.count(F.lit(1)).alias("n_here"), pick(F.lit(True)).alias("here"), n_in(yes("on_team")).alias("n_here_team"), pick(yes("on_team")).alias("here_team"),
+        F.min(F.when(yes("on_team") & F.col("distance").isNotNull(), F.struct("distance", "cand"))).alias("near_team"), at.alias("near_here"),
     )
+    rostered = team.join(people, "cand").groupBy("space", "kind", "name").agg(F.count(F.lit(1)).alias("n_roster"), F.min("cand").alias("roster"))
+    rows = asked.join(here, ["source_id", "nth"], "left").join(rostered, ["space", "kind", "name"], "left").join(roll, "source_id", "left")
+    rows = rows.withColumn("n_here", F.coalesce("n_here", F.lit(0)))
+    # two namesakes here or more: the pool is they; else it is everyone of that name
+    few, none = F.col("n_here") >= 2, F.lit(0)
+    rows = rows.withColumn("n_team", F.when(few, F.coalesce("n_here_team", none)).otherwise(F.coalesce("n_roster", none))).withColumn("team", F.when(few, F.col("here_team")).otherwise(F.col("roster")))
+    rows = rows.withColumn("n_pool", F.when(few, F.col("n_here")).otherwise(F.col("n"))).withColumn("n_narrow", F.when(F.col("n_team") > 0, F.col("n_team")).otherwise(F.col("n_pool")))
+    rows = rows.withColumn("nearest", F.when(F.col("n_team") > 0, F.col("near_team")).otherwise(F.col("near_here"))).withColumn("left", F.when(F.col("n_team") > 0, F.col("team")).otherwise(F.col("any")))
+    g = rows.withColumn("roll", yes("roll"))
 
     def choice(who, method: str, pool, confidence: float):
         return F.struct(who.cast("string").alias("resolved"), F.lit(method).alias("method"), pool.cast("long").alias("candidates"), F.lit(confidence).alias("confidence"))

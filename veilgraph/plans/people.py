@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import adversary, contest, evaluation, graph, mentions, policy, sampling
 from ..operators import permissions as P
+from ..operators.loops import settle
 from ..sources.driver_tables import PRELUDE, read, world
 from .disclosure import CHANGE, TEXTS, Case, _change, counted
 
@@ -107,7 +108,7 @@ def _people(spark, d):
 
 def _resolved(spark, d):
     staff, sources = _people(spark, d)
-    found = mentions.extract(sources, staff)
+    found = settle(mentions.extract(sources, staff))
     roster = sources.limit(0).select("space", F.col("author").alias("employee_id"))
     return staff, sources, found, mentions.resolve(found, sources, staff, roster)
 
