@@ -89,3 +89,18 @@ def test_namesakes_are_counted_and_not_listed(spark):
     got = {(r.source_id, r.method): (r.resolved, r.candidates) for r in out.join(found.filter("register = 'first-name'").select("source_id", "nth"), ["source_id", "nth"]).collect()}
     want = {(f"d{i}", "co-presence"): (eid(i), 1) for i in range(300)} | {("two", "proximity"): (eid(2), 2), ("team", "space-roster"): (eid(7), 1)}
     assert got == want
+
+
+def test_facts_under_sets_and_one_space_short(spark, monkeypatch):
+    monkeypatch.setattr(counting, "SETS", 16)
+    sets = sorted({tuple(s) for s in _world(3, 40, "abcdef")})
+    asked = [(w, i + 1) for i, w in enumerate([*_world(4, 25, "abcdefg"), ["x"], []])]
+    names = spark.createDataFrame([(f"s{i}", list(s)) for i, s in enumerate(sets)], "sig string, names array<string>")
+    rows_ = spark.createDataFrame(asked, "want array<string>, n long")
+    under = {r.sig: r.n for r in counting.covered(names, rows_, "sig").collect()}
+    assert all(under.get(f"s{i}", 0) == sum(n for w, n in asked if set(w) <= set(s)) for i, s in enumerate(sets))
+    short = {(r.sig, r.name): (r.n, r.n_more) for r in counting.one_short(names, rows_, "sig").collect()}
+    for i, s in enumerate(sets):
+        for name in "abcdefgx":
+            lack = [(w, n) for w, n in asked if set(w) - set(s) == {name}]
+            assert short.get((f"s{i}", name), (0, 0)) == (sum(n for _, n in lack), sum(n for w, n in lack if len(w) > 1))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .permissions import admissible, as_arrays, permitted
+from . import counting
+from .loops import settle
+from .permissions import as_arrays, permitted
 
 
 def compile_policy(grants: DataFrame, manages: DataFrame | None) -> DataFrame:
@@ -40,13 +42,18 @@ def preview(before: DataFrame, after: DataFrame, facts0: DataFrame, facts: DataF
         moved = changed.select("principal", F.explode(which).alias("space"))
         return moved.join(docs, "space").groupBy("principal").agg(F.sum("n").alias(name))
 
-    sets = changed.select("old", "new").distinct()
-    req = facts.groupBy("req").agg(F.count(F.lit(1)).alias("n"))
-    old, new = admissible(F.col("old"), F.col("req")), admissible(F.col("new"), F.col("req"))
-    derived = sets.crossJoin(req).groupBy("old", "new").agg(
-        F.sum(F.when(~old & new, F.col("n")).otherwise(0)).alias("derived_gained"),
-        F.sum(F.when(old & ~new, F.col("n")).otherwise(0)).alias("derived_lost"),
-        F.sum(F.when(~old & new & F.arrays_overlap("req", "old"), F.col("n")).otherwise(0)).alias("by_combination"),
+    # facts under old, new, what is in both, and what is new alone, each counted once
+    sets = settle(changed.select("old", "new").distinct().withColumns({"kept": F.array_intersect("old", "new"), "fresh": F.array_except("new", "old")}))
+    sides = ("old", "new", "kept", "fresh")
+    each = settle(sets.select(F.explode(F.array(*[F.array_sort(c) for c in sides])).alias("names")).distinct().withColumn("sig", F.sha2(F.to_json("names"), 256)))
+    req = settle(facts.filter("req is not null").groupBy(counting.wanted(F.col("req")).alias("want")).agg(F.count(F.lit(1)).alias("n")))
+    under = settle(each.join(counting.covered(each, req, "sig"), "sig", "left").select("names", F.coalesce("n", F.lit(0)).alias("n")))
+    for c in sides:
+        sets = sets.join(under.select(F.col("names").alias("k"), F.col("n").alias(f"n_{c}")), F.array_sort(c) == F.col("k")).drop("k")
+    free = req.agg(F.coalesce(F.sum(F.when(F.size("want") == 0, F.col("n"))), F.lit(0)).alias("free"))
+    gained = F.col("n_new") - F.col("n_kept")
+    derived = sets.crossJoin(free).select(
+        "old", "new", gained.alias("derived_gained"), (F.col("n_old") - F.col("n_kept")).alias("derived_lost"), (gained - (F.col("n_fresh") - F.col("free"))).alias("by_combination")
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return (
@@ -58,18 +65,14 @@ def preview(before: DataFrame, after: DataFrame, facts0: DataFrame, facts: DataF
 
 def simulate_grants(perms: DataFrame, grants: DataFrame, facts0: DataFrame, facts: DataFrame) -> DataFrame:
     """principal, space, documents, derived, by_combination for each single grant (principal, space) tried alone."""
-    rows = grants.join(perms, "principal", "left").withColumn("old", F.coalesce("perm", F.array().cast("array<string>"))).drop("perm")
-    rows = rows.withColumn("new", F.array_sort(F.array_union("old", F.array("space"))))
+    rows = grants.join(perms, "principal", "left").withColumn("old", F.coalesce("perm", F.array().cast("array<string>"))).drop("perm").withColumn("sig", F.sha2(F.to_json("old"), 256))
     docs = facts0.groupBy("space").agg(F.count(F.lit(1)).alias("n_docs"))
-    req = facts.groupBy("req").agg(F.count(F.lit(1)).alias("n"))
-    sets = rows.select("old", "new", "space").distinct().crossJoin(req)
-    hit = ~admissible(F.col("old"), F.col("req")) & admissible(F.col("new"), F.col("req"))
-    gain = sets.groupBy("old", "space").agg(
-        F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("derived"), F.sum(F.when(hit & F.arrays_overlap("req", "old"), F.col("n")).otherwise(0)).alias("by_combination")
-    )
+    req = facts.filter("req is not null").groupBy(counting.wanted(F.col("req")).alias("want")).agg(F.count(F.lit(1)).alias("n"))
+    # a grant unlocks what lacks its space alone, and only in combination what asks for more than it
+    gain = counting.one_short(settle(rows.select("sig", F.col("old").alias("names")).distinct()), req, "sig").select("sig", F.col("name").alias("space"), F.col("n").alias("derived"), F.col("n_more").alias("by_combination"))
     held = F.array_contains("old", F.col("space"))
-    return rows.join(gain, ["old", "space"]).join(docs, "space", "left").select(
-        "principal", "space", F.when(held, F.lit(0)).otherwise(F.coalesce("n_docs", F.lit(0))).alias("documents"), "derived", "by_combination"
+    return rows.join(gain, ["sig", "space"], "left").join(docs, "space", "left").select(
+        "principal", "space", F.when(held, F.lit(0)).otherwise(F.coalesce("n_docs", F.lit(0))).alias("documents"), F.coalesce("derived", F.lit(0)).alias("derived"), F.coalesce("by_combination", F.lit(0)).alias("by_combination")
     )
 
 
