@@ -29,6 +29,7 @@ NO_PAIRS = [
     "risk_surface",
     "theorem1_check",
     "over_restriction",
+    "aggregation_census",
 ]
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .counting import holders, wanted
+from .counting import Sets, counted_sets, holders, tiled, wanted
 from .loops import settle
-from .permissions import admissible
 
 
 GATES = ("ungated", "document-acl", "derivation-aware", "claim-aware")
@@ -18,29 +21,56 @@ def census(claims: DataFrame, facts: DataFrame, perms: DataFrame) -> DataFrame:
     """gate, level, denied, leaks, coverage_sum over refused derived facts that claim anything, and principals.
 
     ``claims``: fact_id, entity, space (a fact asserts that an entity is in a space); ``facts``: fact_id, level, space, req, widened. Principals
-    count by the set of spaces they may read. Facts that carry a claim are grouped by what the gates look at before they meet a set, so
-    only carriers of a refused fact's claims are looked at, once for all gates.
+    count by the set of spaces they may read. Facts that carry a claim are grouped by what the gates look at, and targets by their carriers; each
+    kind of target meets the sets as bitmaps (:mod:`counting`), and no pair of a target and a set becomes a row.
     """
-    sets = perms.groupBy("perm").agg(F.count(F.lit(1)).alias("n_principals")).withColumn("sig", F.xxhash64("perm"))
-    targets = facts.filter("level > 0").join(claims.select("fact_id").distinct(), "fact_id", "left_semi")
-    targets = targets.crossJoin(sets).filter(~admissible(F.col("perm"), F.col("req"))).select("sig", "perm", "n_principals", F.col("fact_id").alias("target"), "level")
-    wanted = targets.join(claims.toDF("target", "entity", "w_space"), "target")
-    # two carriers are enough to know whether one beside the target itself asserts the claim
-    kinds = claims.withColumnRenamed("space", "w_space").join(facts.select("fact_id", "space", "req", "widened"), "fact_id")
+    sets = counted_sets(perms)
+    said = settle(claims.select("fact_id", "entity", F.col("space").alias("w_space")).distinct())
+    # what the gates look at in a carrier; two carriers are enough to know whether one beside the target itself asserts the claim
+    kinds = said.join(facts.select("fact_id", "space", "req", "widened"), "fact_id")
     kinds = kinds.groupBy("entity", "w_space", "space", "req", "widened").agg(F.min("fact_id").alias("one"), F.max("fact_id").alias("two"))
-    met = wanted.join(kinds, ["entity", "w_space"], "left")
-    perm, other = F.col("perm"), F.coalesce((F.col("one") != F.col("target")) | (F.col("two") != F.col("target")), F.lit(False))
-    filed = F.coalesce(F.array_contains(perm, F.col("space")), F.lit(False))
-    opened = {"ungated": F.lit(True), "document-acl": filed, "derivation-aware": admissible(perm, F.col("req")), "claim-aware": admissible(perm, F.col("widened"))}
-    hit = met.groupBy("sig", "target", "level", "n_principals", "entity", "w_space").agg(*[F.max((other & opened[g]).cast("int")).alias(g) for g in GATES])
-    full = hit.groupBy("sig", "target", "level", "n_principals").agg(F.count(F.lit(1)).alias("n_claims"), *[F.sum(g).alias(g) for g in GATES])
-    each = full.select("level", "n_principals", "n_claims", F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.col(g).alias("n_hit")) for g in GATES])).alias("x"))
-    each = each.select("level", "n_principals", "n_claims", "x.gate", "x.n_hit")
-    return each.groupBy("gate", "level").agg(
-        F.sum("n_principals").alias("denied"),
-        F.sum(F.when(F.col("n_hit") == F.col("n_claims"), F.col("n_principals")).otherwise(0)).alias("leaks"),
-        F.round(F.sum(F.col("n_hit") / F.col("n_claims") * F.col("n_principals")), 6).alias("coverage_sum"),
-    )
+    targets = facts.filter("level > 0").select(F.col("fact_id").alias("target"), "level", F.col("req").alias("t_req"))
+    wanted_ = targets.join(said.withColumnRenamed("fact_id", "target"), "target")
+    other = (F.col("one") != F.col("target")) | (F.col("two") != F.col("target"))
+    carrier = F.when(other, F.struct("space", "req", "widened"))
+    each = wanted_.join(kinds, ["entity", "w_space"], "left").groupBy("target", "level", "t_req", "entity", "w_space").agg(F.array_sort(F.collect_set(carrier)).alias("carriers"))
+    # targets alike in all that is looked at are counted together
+    cases = each.groupBy("target", "level", "t_req").agg(F.array_sort(F.collect_list("carriers")).alias("carried"))
+    cases = cases.groupBy("level", F.coalesce("t_req", F.array(F.lit(None).cast("string"))).alias("want"), "carried").agg(F.count(F.lit(1)).alias("n_targets"))
+    cases = settle(cases.select("level", "want", "n_targets", F.size("carried").alias("n_claims"), F.to_json("carried").alias("carried")))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        s, total = Sets(right["names"], right["n"].to_numpy()), {}
+        nobody = np.zeros_like(s.full)
+        rows = zip(*[left[c].to_pylist() for c in ("level", "want", "n_targets", "n_claims", "carried")])
+        for level, want, n_targets, n_claims, carried in rows:
+            refused = s.full & ~s.all_of(want)
+            denied = s.count(refused)
+            if not denied:
+                continue
+            whole, hits = dict.fromkeys(GATES, refused), dict.fromkeys(GATES, 0)
+            for carriers in json.loads(carried):
+                opened = {g: nobody for g in GATES}
+                for c in carriers:
+                    req, wide = c.get("req"), c.get("widened")
+                    opened["ungated"] = s.full
+                    opened["document-acl"] = opened["document-acl"] | s.bits(c.get("space"))
+                    opened["derivation-aware"] = opened["derivation-aware"] | (nobody if req is None else s.all_of(req))
+                    opened["claim-aware"] = opened["claim-aware"] | (nobody if wide is None else s.all_of(wide))
+                for g in GATES:
+                    hits[g] += s.count(refused & opened[g])
+                    whole[g] = whole[g] & opened[g]
+            for g in GATES:
+                t = total.setdefault((g, level, n_claims), [0, 0, 0])
+                for k, n in enumerate((denied, s.count(whole[g]), hits[g])):
+                    t[k] += n * n_targets
+        rows = [(*k, *v) for k, v in total.items()]
+        kinds_ = (("gate", pa.string()), ("level", pa.int32()), ("n_claims", pa.int32()), ("denied", pa.int64()), ("leaks", pa.int64()), ("hits", pa.int64()))
+        return pa.table({c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(kinds_)})
+
+    out = tiled(cases, sets, run, "gate string, level int, n_claims int, denied long, leaks long, hits long", at=lambda n: F.pmod(F.xxhash64("carried"), F.lit(n)).cast("string"))
+    out = out.groupBy("gate", "level", "n_claims").agg(F.sum("denied").alias("denied"), F.sum("leaks").alias("leaks"), F.sum("hits").alias("hits"))
+    return out.groupBy("gate", "level").agg(F.sum("denied").alias("denied"), F.sum("leaks").alias("leaks"), F.round(F.sum(F.col("hits") / F.col("n_claims")), 6).alias("coverage_sum"))
 
 
 def claim_locality(claims: DataFrame, facts: DataFrame) -> DataFrame:
