@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +44,7 @@ def record(entries: DataFrame, log: DataFrame | None = None) -> DataFrame:
 
     ``seq`` orders the new entries of a chain. They go on where the chain ends in ``log``: their seq counts on from its last, or
     stays as it is for a new chain. ``detail`` maps names to JSON scalars (texts in quotes), or is a JSON object; names of content fields fail.
-    Writing is sequential by nature, so a log is split into chains (a principal, a day), each hashed in order in a task of its own.
+    Writing is sequential by nature, so a log is split into chains (a principal, a day), each hashed in order within one task.
     """
     rows = refuse_content(_entries(entries), "detail")
     if log is None:
@@ -55,22 +55,29 @@ def record(entries: DataFrame, log: DataFrame | None = None) -> DataFrame:
     def plain(x):
         return None if x is None else sorted(x)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable").reset_index(drop=True)
-        resumed = pd.notna(pdf["h_seq"].iloc[0])
-        prev = pdf["h_hash"].iloc[0] if resumed else GENESIS
-        if resumed:
-            pdf["seq"] = int(pdf["h_seq"].iloc[0]) + 1 + pdf.index
-        prevs, hashes = [], []
-        for r in pdf.itertuples():
-            detail = None if r.detail is None else [[k, json.loads(v)] for k, v in sorted(dict(r.detail).items())]
-            body = [r.seq, r.at, r.decision, r.principal, sorted(r.facts) if r.facts is not None else [], plain(r.required), plain(r.missing), plain(r.would_complete), detail, prev]
-            prevs.append(prev)
-            prev = hashlib.sha256(json.dumps(body, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
-            hashes.append(prev)
-        return pdf.drop(columns=["h_seq", "h_hash"]).assign(prev=prevs, hash=hashes)
-
-    return rows.groupBy("chain").applyInPandas(run, SCHEMA)
+    def run(batches):
+        # the entries of a task's chains, one chain after the other, each in order; what a chain has come to goes on from batch to batch
+        chain = at = prev = None
+        begun = False
+        for b in batches:
+            cols = {c: b.column(c).to_pylist() for c in b.schema.names}
+            seqs, prevs, hashes = [], [], []
+            for i, name in enumerate(cols["chain"]):
+                if not begun or name != chain:
+                    begun, chain, at = True, name, cols["h_seq"][i]
+                    prev = GENESIS if at is None else cols["h_hash"][i]
+                seq = cols["seq"][i] if at is None else at + 1
+                at = None if at is None else seq
+                detail = None if cols["detail"][i] is None else [[k, json.loads(v)] for k, v in sorted(dict(cols["detail"][i]).items())]
+                body = [seq, cols["at"][i], cols["decision"][i], cols["principal"][i], sorted(cols["facts"][i] or []), *[plain(cols[c][i]) for c in LISTS], detail, prev]
+                seqs.append(seq)
+                prevs.append(prev)
+                prev = hashlib.sha256(json.dumps(body, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+                hashes.append(prev)
+            new = {"seq": pa.array(seqs, pa.int64()), "prev": pa.array(prevs, pa.string()), "hash": pa.array(hashes, pa.string())}
+            yield pa.RecordBatch.from_arrays([new.get(c, b.column(c) if c in b.schema.names else None) for c in (*COLUMNS, "prev", "hash")], names=[*COLUMNS, "prev", "hash"])
+
+    return rows.repartition("chain").sortWithinPartitions("chain", "seq").mapInArrow(run, SCHEMA)
 
 
 def append(entries: DataFrame, path: str) -> None:
