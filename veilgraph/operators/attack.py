@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,16 +92,29 @@ def theorem1(edges: DataFrame, facts: DataFrame, all_req: DataFrame, perms: Data
 def witness_cover(candidates: DataFrame) -> DataFrame:
     """case, size, witnesses: a greedy set cover per case over (case, claim, fact_id); ties go to the least fact."""
 
-    def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_fact = {f: set(g) for f, g in pdf.groupby("fact_id")["claim"]}
-        left, chosen = set(pdf["claim"]), []
+    def cover(rows) -> list:
+        by_fact: dict = {}
+        for x in rows:
+            by_fact.setdefault(x["fact_id"], set()).add(x["claim"])
+        left, chosen = {x["claim"] for x in rows}, []
         while left:
             best = min(by_fact, key=lambda f: (-len(by_fact[f] & left), f))
             chosen.append(best)
             left -= by_fact.pop(best)
-        return pd.DataFrame({"case": [pdf["case"].iloc[0]], "size": [len(chosen)], "witnesses": [",".join(map(str, chosen))]})
-
-    return candidates.groupBy("case").applyInPandas(cover, "case string, size long, witnesses string")
+        return chosen
+
+    def run(batches):
+        for b in batches:
+            chosen = [cover(rows) for rows in b.column(1).to_pylist()]
+            out = [b.column(0).cast(pa.string()), pa.array([len(c) for c in chosen], pa.int64()), pa.array([",".join(map(str, c)) for c in chosen], pa.string())]
+            yield pa.RecordBatch.from_arrays(out, names=["case", "size", "witnesses"])
+
+    # of facts that say the same of a case, the least is chosen first, and none of the others after it
+    says = candidates.groupBy("case", "fact_id").agg(F.array_sort(F.collect_set("claim")).alias("claims"))
+    least = says.groupBy("case", "claims").agg(F.min("fact_id").alias("fact_id"))
+    one = F.explode("claims").alias("claim")
+    each = least.select("case", "fact_id", one).groupBy("case").agg(F.collect_list(F.struct("claim", "fact_id")).alias("rows"))
+    return each.mapInArrow(run, "case string, size long, witnesses string")
 
 
 def replay(probes: DataFrame, cache: DataFrame) -> DataFrame:
